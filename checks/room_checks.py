@@ -184,7 +184,9 @@ def densify_boundary(spark, sf):
 @check(
     "points_in_outline_table",
     """select l.l_orderkey room, l.l_linenumber ln, l.l_partkey pk, l.l_suppkey sk, l.l_shipdate::date::varchar ship,
-        count(*) filter (where (y1>l_tax*10)<>(y2>l_tax*10) and l_discount*8<(x2-x1)*(l_tax*10-y1)/(y2-y1)+x1)%2=1 inside
+        count(*) filter (where (y1>l_tax*10)<>(y2>l_tax*10) and l_discount*8<(x2-x1)*(l_tax*10-y1)/(y2-y1)+x1)%2=1
+          and not count(*) filter (where abs((x2-x1)*(l_tax*10-y1)-(y2-y1)*(l_discount*8-x1))<=1e-12*sqrt((x2-x1)^2+(y2-y1)^2)
+            and l_discount*8 between least(x1,x2)-1e-12 and greatest(x1,x2)+1e-12 and l_tax*10 between least(y1,y2)-1e-12 and greatest(y1,y2)+1e-12)>0 inside
       from lineitem l join order_edges e on e.room=l.l_orderkey group by 1,2,3,4,5,l_discount,l_tax,l_quantity,l_extendedprice""",
 )
 def points_in_outline_table(spark, sf):

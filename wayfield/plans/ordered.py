@@ -3,8 +3,8 @@
 Tracking operators need a row order inside a session, a room or a fold, and one such group may hold a large part of
 the table. A window partitioned by the group alone would then run in one task. The helpers here split every large
 group into *slices* of its order column, run ordinary Spark windows inside the slices, and carry the few values that
-cross a border (counts, sums, last rows) in a table with one row per slice of a large group. Groups below
-``rows_per_slice`` stay whole and cost nothing extra, so the same plan serves both.
+cross a border (counts, sums, last rows) in a table with one row per slice of a large group. Group sizes are measured
+first; where no group is above ``rows_per_slice`` the plan is the plain window.
 """
 
 from __future__ import annotations
@@ -15,24 +15,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from wayfield.session import cut_lineage
+
 ROWS_PER_SLICE = 2_000_000
 _FANOUT = 1 << 20
 
 
 def with_slices(
     df: DataFrame, keys: Sequence[str], order: str | Column, rows_per_slice: int = ROWS_PER_SLICE, levels: int = 2
-) -> DataFrame:
+) -> DataFrame | None:
     """Add ``_slice`` (BIGINT, ascending with ``order`` inside a group) and ``_split`` (is the group split at all).
 
     A group above the limit is cut into equal widths of its order column; a slice that is still above the limit, as
-    when rows crowd into a short time, is cut once more. The broadcast table has one row per group (or slice) above
-    the limit, so never more than ``rows / rows_per_slice`` rows. Rows without an order value go to slice 0.
+    when rows crowd into a short time, is cut once more. Group sizes are measured first, by one aggregate over the key
+    and order columns; if no group is above the limit the result is None and the caller keeps its plain plan.
+    The broadcast table has one row per group (or slice) above the limit, so at most ``rows / rows_per_slice`` rows.
+    Rows without an order value go to slice 0.
     """
     keys = list(keys)
     order = F.col(order) if isinstance(order, str) else order
     out = df.withColumn("_o", order.cast("double")).withColumn("_slice", F.lit(0).cast("bigint"))
     out = out.withColumn("_split", F.lit(False))
-    for _ in range(levels):
+    for level in range(levels):
         on = keys + ["_slice"]
         large = (
             out.groupBy(*on)
@@ -41,6 +45,12 @@ def with_slices(
             .withColumn("_parts", F.least(F.ceil(F.col("_n") * 4 / F.lit(rows_per_slice)), F.lit(_FANOUT - 1)))
             .drop("_n")
         )
+        if large.isEmpty():
+            if level == 0:
+                return None
+            out = out.withColumn("_slice", F.col("_slice") * F.lit(_FANOUT))
+            continue
+        large = cut_lineage(large)
         place = F.least(
             F.floor((F.col("_o") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_parts")), F.col("_parts") - 1
         )
@@ -78,9 +88,11 @@ def in_order(
     lag, lead, running = dict(lag or {}), dict(lead or {}), dict(running or {})
     last_known, next_known = dict(last_known or {}), dict(next_known or {})
     sliced = with_slices(df, keys, order, rows_per_slice)
+    split_groups = sliced is not None
+    sliced = sliced if split_groups else df
     for name, expr in running.items():
         sliced = sliced.withColumn(f"_add_{name}", F.coalesce(expr, F.lit(0)))
-    on = keys + ["_slice"]
+    on = keys + ["_slice"] if split_groups else keys or [F.lit(0)]
     sort = [F.col(order), *[F.col(t) for t in ties]]
     w = W.partitionBy(*on).orderBy(*sort)
     upto, onward = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
@@ -103,6 +115,10 @@ def in_order(
     for name, c in next_known.items():
         local[name] = F.first(c, ignorenulls=True).over(onward)
     out = sliced.withColumns(local)
+    new = [*([index] if index else []), *lag, *lead, *running, *last_known, *next_known]
+    keep = [*[c for c in df.columns if c not in new], *new]
+    if not split_groups:
+        return out.select(*keep)
 
     # carried values: only slices of split groups, so the table is bounded by rows / rows_per_slice
     place = F.struct(*sort)
@@ -147,7 +163,6 @@ def in_order(
         fix[name] = F.col(name) + F.coalesce(F.col(f"_c_{name}"), F.lit(0))
     for name in (*last_known, *next_known):
         fix[name] = F.coalesce(F.col(name), F.col(f"_c_{name}"))
-    keep = [c for c in df.columns if c not in fix] + list(fix)
     return out.withColumns(fix).select(*keep)
 
 
@@ -196,11 +211,19 @@ def quantiles(
         F.explode(F.array(*[F.struct(F.lit(c).alias("_m"), F.col(c).cast("double").alias("_v")) for c in columns])).alias("_s"),
     ).select(*keys, "_s._m", "_s._v").filter(F.col("_v").isNotNull())
     sliced = with_slices(long, on, "_v", rows_per_slice)
+    split_groups = sliced is not None
 
-    small = sliced.filter(~F.col("_split")).groupBy(*on).agg(
+    small = (sliced.filter(~F.col("_split")) if split_groups else long).groupBy(*on).agg(
         F.percentile("_v", F.array(*[F.lit(float(q)) for q in probs])).alias("_p")
     ).select(*on, F.posexplode("_p").alias("_q", "_value"))
 
+    pick = [
+        F.max(F.when((F.col("_m") == c) & (F.col("_q") == probs.index(q)), F.col("_value"))).alias(name)
+        for name, (c, q) in wanted.items()
+    ]
+    if not split_groups:
+        return small.groupBy(*keys).agg(*pick)
+
     split = sliced.filter("_split")
     sizes = split.groupBy(*on, "_slice").count()
     grp = W.partitionBy(*on)
@@ -232,8 +255,4 @@ def quantiles(
         .select(*on, "_q", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_at") - F.floor("_at"))).alias("_value"))
     )
     both = small.unionByName(large)
-    pick = [
-        F.max(F.when((F.col("_m") == c) & (F.col("_q") == probs.index(q)), F.col("_value"))).alias(name)
-        for name, (c, q) in wanted.items()
-    ]
     return both.groupBy(*keys).agg(*pick)
