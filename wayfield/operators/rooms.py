@@ -302,14 +302,8 @@ def _snap(px: Column, py: Column, polygon: Polygon) -> Column:
     return F.array_min(F.array(*options))
 
 
-def ray_distance(
-    df: DataFrame, angles: Sequence[float], polygons: Sequence[Polygon], x: str = "x", y: str = "y", room: str = "room", nearby: float = NEARBY
-) -> DataFrame:
-    """Distance from each point to its room's wall along each angle (degrees), one row per point and angle.
-
-    -1 where the ray meets no wall or the point lies farther than ``nearby`` outside. A point slightly outside is
-    moved to the nearest wall point and from there by ``nearby`` towards the room's centroid.
-    """
+def _ray_starts(df: DataFrame, polygons: Sequence[Polygon], x: str, y: str, room: str, nearby: float) -> DataFrame:
+    """Add ``_sx`` / ``_sy``, where a point's rays start; missing when the point lies too far outside its room."""
     px, py = F.col(x), F.col(y)
     start = None
     for i, p in enumerate(polygons):
@@ -331,16 +325,38 @@ def ray_distance(
             **{f"_near_{i}": _snap(px, py, p) for i, p in enumerate(polygons)},
         }
     )
-    placed = prepared.withColumn("_start", start).drop(*[f"_{k}_{i}" for i in range(len(polygons)) for k in ("in", "near")])
-    rays = placed.withColumn("angle", F.explode(F.array(*[F.lit(float(a)) for a in angles])))
-    rays = rays.withColumns(
-        {"_sx": F.col("_start.x"), "_sy": F.col("_start.y"), "_dx": F.cos(F.radians("angle")), "_dy": F.sin(F.radians("angle"))}
+    # A one-element explode keeps the optimizer from copying the start point into each of the many ray expressions.
+    return prepared.select(*df.columns, F.explode(F.array(start)).alias("_start")).select(
+        *df.columns, F.col("_start.x").alias("_sx"), F.col("_start.y").alias("_sy")
     )
+
+
+def _room_ray(angle: Column, polygons: Sequence[Polygon], x: str, y: str, room: str) -> Column:
+    dx, dy = F.cos(F.radians(angle)), F.sin(F.radians(angle))
     hit = None
     for p in polygons:
-        d = _ray(F.col("_sx"), F.col("_sy"), F.col("_dx"), F.col("_dy"), p)
+        d = _ray(F.col("_sx"), F.col("_sy"), dx, dy, p)
         hit = F.when(F.col(room) == p.name, d) if hit is None else hit.when(F.col(room) == p.name, d)
-    distance = F.when(F.col("_sx").isNull() & px.isNotNull(), F.lit(-1.0)).otherwise(hit)
-    return rays.withColumn("distance", F.when(px.isNull() | py.isNull(), F.lit(None)).otherwise(distance)).drop(
-        "_start", "_sx", "_sy", "_dx", "_dy"
-    )
+    known = F.col(x).isNotNull() & F.col(y).isNotNull()
+    return F.when(known, F.when(F.col("_sx").isNull(), F.lit(-1.0)).otherwise(hit))
+
+
+def ray_distance(
+    df: DataFrame, angles: Sequence[float], polygons: Sequence[Polygon], x: str = "x", y: str = "y", room: str = "room", nearby: float = NEARBY
+) -> DataFrame:
+    """Distance from each point to its room's wall along each angle (degrees), one row per point and angle.
+
+    -1 where the ray meets no wall or the point lies farther than ``nearby`` outside. A point slightly outside is
+    moved to the nearest wall point and from there by ``nearby`` towards the room's centroid.
+    """
+    rays = _ray_starts(df, polygons, x, y, room, nearby).withColumn("angle", F.explode(F.array(*[F.lit(float(a)) for a in angles])))
+    return rays.withColumn("distance", _room_ray(F.col("angle"), polygons, x, y, room)).drop("_sx", "_sy")
+
+
+def ray_distances(
+    df: DataFrame, angles: Sequence[float], polygons: Sequence[Polygon], x: str = "x", y: str = "y", room: str = "room", nearby: float = NEARBY
+) -> DataFrame:
+    """``ray_distance`` as one array ``distances`` per point, the form polar maps take: no row is multiplied."""
+    rays = F.transform(F.array(*[F.lit(float(a)) for a in angles]), lambda a: _room_ray(a, polygons, x, y, room))
+    starts = _ray_starts(df, polygons, x, y, room, nearby)
+    return starts.select(*df.columns, F.explode(F.array(rays)).alias("distances"))
