@@ -25,7 +25,7 @@ def hourly(spark, sf):
     "cell_pair_join",
     """select a.block, a.cell::bigint cell_a, b.cell::bigint cell_b, count(*)::double n, sum(a.rate) sx, sum(b.rate) sy, sum(a.rate*b.rate) sxy
       from hourly a join hourly b on a.block=b.block and a."hour"=b."hour" and a.cell<=b.cell group by all""",
-    "n sx sy sxy", 5,
+    "n sx sy sxy", 8,
 )
 def cell_pair_join(spark, sf):
     return C.pair_sums(hourly(spark, sf), ["block"], "hour", "cell", "rate").drop("sxx", "syy")

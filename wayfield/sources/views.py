@@ -32,7 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr(
+    return tracking_frames(table(spark, sf_dir, "events"))
+
+
+def tracking_frames(events: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """Tracking frames of an event table or stream; ``extra`` adds expressions over the events."""
+    return events.selectExpr(
         "user_id session",
         "concat(case user_id % 3 when 0 then 'PC' when 1 then 'TC' else 'EC' end, '_HeadPos') stream",
         "event_id frame_id",
@@ -42,6 +47,7 @@ def tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"cast({KNOB} as double) / 100 p",
         "case when event_type = 'error' then 1 else 0 end interp",
         "value / 10 v_provided",
+        *(extra or []),
     )
 
 
