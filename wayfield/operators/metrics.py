@@ -197,7 +197,7 @@ def decoder_ensemble_metrics(
     """Scores of the mean prediction over offsets, and an ``All`` row that is the plain mean of the rooms' scores."""
     known = df.filter(F.col(room) != "All")
     mean_rows = known.groupBy(*groups, room, row).agg(
-        *[F.min_by(t, F.struct(offset, fold)).alias(t) for t, _ in axes.values()],
+        *[F.min_by(t, offset).alias(t) for t, _ in axes.values()],
         *[F.avg(p).alias(p) for _, p in axes.values()],
     )
     complete = _complete(mean_rows, axes)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wayfield.operators.affine import decompose_affine, moment_aggs, solve_moments
 from wayfield.operators.decoding import column_suffixes
-from wayfield.operators.rooms import Polygon, in_room
+from wayfield.operators.rooms import Polygon, with_inside
 
 
 def pair_rows(
@@ -52,10 +52,11 @@ def _centre(name: str, polygons: Sequence[Polygon]) -> tuple[Column, Column]:
 
 def centred_pairs(rows: DataFrame, polygons: Sequence[Polygon]) -> DataFrame:
     """Flag pairs whose points lie inside both outlines and centre each point on its room's centroid."""
-    inside = in_room("sx", "sy", "source_room", polygons) & in_room("tx", "ty", "target_room", polygons)
+    both = with_inside(with_inside(rows, polygons, "sx", "sy", "source_room", out="_in_s"), polygons, "tx", "ty", "target_room", out="_in_t")
+    flagged = both.withColumn("inside", F.col("_in_s") & F.col("_in_t")).drop("_in_s", "_in_t")
     csx, csy = _centre("source_room", polygons)
     ctx, cty = _centre("target_room", polygons)
-    return rows.withColumn("inside", inside).withColumns(
+    return flagged.withColumns(
         {
             "sx": F.col("sx") - csx, "sy": F.col("sy") - csy,
             "tx": F.col("tx") - ctx, "ty": F.col("ty") - cty,
