@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.affine_checks import KEYS, ROOM_NAMES, wide
@@ -9,6 +11,7 @@ from checks.registry import check, define
 from wayfield.operators import decoding as D
 from wayfield.operators import frames as FR
 from wayfield.operators import rooms as R
+from wayfield.session import shared_folder
 from wayfield.sources import tables as T
 from wayfield.sources import views as V
 
@@ -18,6 +21,20 @@ def scan_table(spark, sf):
     return T.scan_table(spark, f"{sf}/events.parquet", columns=["event_id", "user_id", "event_type", "value"])
 
 
+@check(
+    "write_table",
+    "select o_orderstatus status, o_orderkey, o_totalprice from orders union all select o_orderstatus, o_orderkey, o_totalprice from orders where o_orderstatus='F'",
+    "o_totalprice",
+)
+def write_table(spark, sf):
+    """Overwrite, then append one status; partitioned by status."""
+    path = f"{shared_folder(spark)}/write-table-{uuid.uuid4().hex}"
+    rows = V.table(spark, sf, "orders").selectExpr("o_orderstatus status", "o_orderkey", "o_totalprice")
+    T.write_table(rows, path, overwrite=True, partition_by=["status"])
+    T.write_table(rows.filter("status = 'F'"), path, partition_by=["status"])
+    return T.scan_table(spark, path, rows.schema)
+
+
 @check("collect_files", "select 'part.parquet' file, count(*) n from part union all select 'partsupp.parquet', 0 where false")
 def collect_files(spark, sf):
     rows = T.collect_files(spark, sf, r"part\.parquet", glob="part*.parquet")

@@ -275,6 +275,11 @@ def map_correlation(spark, sf):
     return M.map_correlation(map_pairs(spark, sf), ["cell"])
 
 
+@check("jaccard", "select cell, count(*) filter (where a is not null and b is not null)/count(*) jaccard from map_pairs group by cell", "jaccard")
+def jaccard(spark, sf):
+    return M.jaccard(map_pairs(spark, sf), ["cell"])
+
+
 define("map_dist", "select cell, coalesce(a/sum(a) over (partition by cell), 1e-10) p, coalesce(b/sum(b) over (partition by cell), 1e-10) q from map_pairs")
 
 
