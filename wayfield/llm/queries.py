@@ -27,6 +27,27 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: words inside any occurrence of a benchmark window."""
+    from wayfield.llm.decontaminate import contamination
+
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.selectExpr(
+        "doc_id", "n_words", "n_hit", "cast(size(item_ids) as long) n_items", "sha2(array_join(item_ids, ','), 256) items_sha256",
+        "n_hit > 0 and 20 * n_hit >= n_words contaminated",
+    )
+
+
+@query
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken: words that the mix takes of each document."""
+    from wayfield.llm.mixing import mix
+
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return mixed.selectExpr("doc_id", "size", "source_size", "target", "copies * size taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The ten queries, and the pipeline."""
     import corpus_pipeline
