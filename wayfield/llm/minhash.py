@@ -6,9 +6,9 @@
 3. Band buckets of two or more classes are kept. Every bucket is first compared with one pivot, the member that meets
    most others over all bands (the original among its near copies), so a group of any size costs one comparison a member.
 4. Links join components; only members of one bucket that are still in different components are then compared with each
-   other. Before a pair is written, the bit count of the xor of the packed minima gives a similarity corrected for chance
-   equality, and a pair more than about five standard deviations under the threshold is dropped.
-5. Each remaining pair is decided on the two full sets.
+   other. Before sets are compared, the bit count of the xor of the packed minima gives a similarity corrected for chance
+   equality; only pairs more than 5.5 standard deviations under the threshold are dropped.
+5. Each remaining pair is decided on the two full sets. Copies and pairs that are no links never become rows.
 
 32 bands of 4 minima miss a pair at similarity 0.75 with probability 5e-6, and less above. There is no cap on buckets.
 
@@ -32,6 +32,8 @@ from wayfield.llm.text import NOT_SPACE, Words, blocks, grams, list_of, mix
 
 BANDS, ROWS, LOW_BITS = 32, 4, 2
 SLACK = 5.5
+#: Minima of the wider signature, made for the few documents that are still open after the first comparisons.
+WIDE = 512
 BITS = ["bits0", "bits1", "bits2", "bits3"]
 
 
@@ -110,11 +112,23 @@ def _sign(id_col: str, text: str, n: int, bands: int, rows: int, seed: int):
     return run
 
 
-def _sets(n: int):
+def _sets(n: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in blocks(batches):
             sets, at = _distinct(*_shingles(Words(data, offsets, NOT_SPACE), n))
-            yield pa.RecordBatch.from_arrays([batch.column(0), list_of(sets, at)], names=["id", "shingles"])
+            keep = np.flatnonzero(np.diff(at) > 0)
+            if not len(keep):
+                continue
+            low = mix(_minima(sets, np.append(at[:-1][keep], len(sets)), WIDE, seed)) & np.uint64(3)
+            packed = (low.reshape(len(keep), -1, 32) << (np.uint64(2) * np.arange(32, dtype=np.uint64))).sum(axis=2, dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(keep)),
+                    list_of(sets, np.append(at[:-1][keep], len(sets))),
+                    list_of(packed.reshape(-1), np.arange(len(keep) + 1) * packed.shape[1]),
+                ],
+                names=["id", "shingles", "wide"],
+            )
 
     return run
 
@@ -128,11 +142,12 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: i
     return docs.select(id_col, text).mapInArrow(_sign(id_col, text, n, bands, rows, seed), schema)
 
 
-def matches(left: str = "l", right: str = "r") -> str:
-    """SQL for the number of equal two-bit minima of two rows."""
-    pair = lambda b: f"{left}.{b} ^ {right}.{b}"
+def close_enough(similarity: float, k: int, parts: list[str]) -> str:
+    """SQL: the packed two-bit minima of rows l and r do not rule the similarity out."""
+    pair = lambda p: f"l.{p} ^ r.{p}"
     odd = "6148914691236517205L"  # 0x5555...
-    return "128 - (" + " + ".join(f"bit_count((({pair(b)}) | shiftrightunsigned({pair(b)}, 1)) & {odd})" for b in BITS) + ")"
+    unequal = " + ".join(f"bit_count((({pair(p)}) | shiftrightunsigned({pair(p)}, 1)) & {odd})" for p in parts)
+    return f"{unequal} <= {k - least_matches(similarity, k)}"
 
 
 def least_matches(similarity: float, k: int = BANDS * ROWS, slack: float = SLACK) -> int:
@@ -159,41 +174,47 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
-    kind = docs.schema[id_col].dataType
+    """id, shingles and a wider signature, of the documents in ``ids``."""
     needed = docs.selectExpr(f"`{id_col}` id", f"`{text}` text").join(ids.distinct(), "id", "left_semi").dropDuplicates(["id"])
-    return written(needed.mapInArrow(_sets(n), T.StructType([T.StructField("id", kind), T.StructField("shingles", T.ArrayType(T.LongType()))])), "sets")
+    longs = T.ArrayType(T.LongType())
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("shingles", longs), T.StructField("wide", longs)])
+    return written(needed.mapInArrow(_sets(n, 19), schema), "sets")
 
 
 def _similar(left: str, right: str, percent: int) -> str:
     return f"(100 + {percent}) * size(array_intersect({left}, {right})) >= {percent} * (size({left}) + size({right}))"
 
 
-def _rest(placed: DataFrame, docs: DataFrame, close: str, id_col: str, text: str, n: int, percent: int) -> DataFrame:
+def _rest(placed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Links between members of one bucket that are still in different components.
 
     Every such pair is decided, but inside the join: only links become rows. A pair that meets in several buckets is
     decided in the one with the smallest key.
     """
-    other = f"l.key = r.key and l.component <> r.component and {close}"
-    open_ = written(placed.alias("l").join(placed.alias("r"), F.expr(other), "left_semi"), "open")
+    apart = "l.key = r.key and l.component <> r.component"
+    parts = [f"w{i}" for i in range(WIDE // 32)]
+    signed = placed.select("id", "key", "component").join(sets.selectExpr("id", *(f"wide[{i}] w{i}" for i in range(WIDE // 32))), "id")
+    close = close_enough(similarity, WIDE, parts)
+    open_ = written(signed.alias("l").join(signed.alias("r"), F.expr(f"{apart} and {close}"), "left_semi"), "open")
     keys = open_.groupBy("id").agg(F.collect_set("key").alias("keys"))
-    full = open_.join(keys, "id").join(_full_sets(docs, open_.select("id"), id_col, text, n), "id")
+    full = open_.join(keys, "id").join(sets.select("id", "shingles"), "id")
     once = "l.key = array_min(array_intersect(l.keys, r.keys))"
-    found = full.alias("l").join(full.alias("r"), F.expr(f"{other} and l.id < r.id and {once} and {_similar('l.shingles', 'r.shingles', percent)}"))
-    return found.selectExpr("l.id a", "r.id b")
+    met = f"{apart} and l.id < r.id and {once} and {close} and {_similar('l.shingles', 'r.shingles', round(similarity * 100))}"
+    return full.alias("l").join(full.alias("r"), F.expr(met)).selectExpr("l.id a", "r.id b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, similarity: float = 0.75, pivot_rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, similarity: float = 0.75, pivot_rounds: int = 1) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id linked to it, directly or not), kept."""
-    percent = round(similarity * 100)
     signed = written(signatures(docs, id_col, text, n), "signatures")
-    sets = signed.filter("n_shingles > 0")
-    classes = sets.groupBy("set_a", "set_b").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", *BITS, "bands"))).alias("r"))
+    classes = signed.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", *BITS, "bands"))).alias("r"))
     classes = written(classes.selectExpr("set_a", "set_b", "r.*"), "classes").withColumnRenamed("id", "rep")
-    buckets = classes.filter("rep is not null").selectExpr("rep id", *BITS, "explode(bands) key")
+    buckets = classes.filter("rep is not null").selectExpr("rep id", "explode(bands) key")
     crowded = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = written(buckets.join(crowded, "key"), "buckets")
-    close = f"{matches()} >= {least_matches(similarity)}"
+    met = written(buckets.join(crowded, "key"), "crowded").join(classes.filter("rep is not null").select(F.col("rep").alias("id"), *BITS), "id")
+    met = written(met, "buckets")
+    close = close_enough(similarity, BANDS * ROWS, BITS)
+    met = written(met.alias("l").join(met.alias("r"), F.expr(f"l.key = r.key and l.id <> r.id and {close}"), "left_semi"), "candidates")
+    sets = _full_sets(docs, met.select("id"), id_col, text, n)
     links, label = None, None
     for turn in range(pivot_rounds + 1):
         if label is None:
@@ -201,20 +222,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         else:
             placed = met.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
             mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-            placed = placed.join(mixed, "key")
-        placed = written(placed, "placed")
+            placed = written(placed.join(mixed, "key"), "placed")
         if turn < pivot_rounds:
             rank = placed.groupBy("id").agg(F.struct(F.sum("n").alias("c"), F.xxhash64(F.lit(turn), F.col("id")).alias("h")).alias("o"))
             pivots = placed.join(rank, "id").groupBy("key").agg(F.max(F.struct("o", "id", "component", *BITS)).alias("p")).select("key", "p.*").drop("o")
             found = placed.alias("l").join(pivots.alias("r"), F.expr(f"l.key = r.key and l.component <> r.component and {close}"))
             pairs = written(found.selectExpr("least(l.id, r.id) a", "greatest(l.id, r.id) b").distinct(), "pairs")
-            if pairs.isEmpty():
-                continue
-            sets_of = _full_sets(docs, pairs.selectExpr("a id").unionByName(pairs.selectExpr("b id")), id_col, text, n)
-            joined = pairs.join(sets_of.selectExpr("id a", "shingles sa"), "a").join(sets_of.selectExpr("id b", "shingles sb"), "b")
-            new = joined.filter(_similar("sa", "sb", percent)).select("a", "b")
+            joined = pairs.join(sets.selectExpr("id a", "shingles sa"), "a").join(sets.selectExpr("id b", "shingles sb"), "b")
+            new = joined.filter(_similar("sa", "sb", round(similarity * 100))).select("a", "b")
         else:
-            new = _rest(placed, docs, close, id_col, text, n, percent)
+            new = _rest(placed, sets, similarity)
         new = written(new, "confirmed")
         if not new.isEmpty():
             links = new if links is None else links.unionByName(new)
