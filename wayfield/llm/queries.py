@@ -57,6 +57,34 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.selectExpr("d.doc_id", "f.n_words", "f.word_chars", "f.n_symbols", "f.n_dup_lines", "f.n_repeat_words", "base_failed", "kept", "quality")
 
 
+@query
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text without repeated passages, n_sentences, n_removed, chars_removed, changed."""
+    from wayfield.llm.substring import without_repeats
+
+    cut = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.selectExpr("*", "n_removed > 0 changed")
+
+
+@query
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to: read back from archives of all pages."""
+    from wayfield.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages")).drop("archive")
+
+
+ORACLE["op8_warc"] = """
+with p as (select page_id, encode(coalesce(html, '')) body from pages),
+  d as (select page_id, octet_length(body) n, sha256(body) digest from p),
+  f as (select digest, min(page_id) first from d where n >= 100 group by digest)
+select page_id, n payload_bytes, d.digest payload_digest,
+  case when first is not null and first <> page_id then 'revisit' else 'response' end record_type,
+  case when first <> page_id then first end refers_to
+from d left join f on d.digest = f.digest and d.n >= 100
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The ten queries, and the pipeline."""
     import corpus_pipeline
