@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -96,6 +97,27 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(windows(turns.unionByName(extra)))
 
 
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted, n_hits: learned from labelled documents that are not held out."""
+    from wayfield.llm.store import crc_rest
+    from wayfield.llm.toxicity import learn, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = crc_rest(F.col("doc_id"), 3) == 1
+    known = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held)
+    lexicon, model = learn(docs, known)
+    return score(docs, lexicon, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_hits")
+
+
+@query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, field, section, n_bytes, n_tokens, doc_tokens for every field and line of every document."""
+    from wayfield.llm.tokens import section_tokens
+
+    return section_tokens(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The ten queries, and the pipeline."""
     import corpus_pipeline
