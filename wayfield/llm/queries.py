@@ -118,6 +118,17 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return section_tokens(table(spark, sf_dir, "documents"))
 
 
+@query
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of all documents."""
+    from wayfield.llm.ngram import score, train
+    from wayfield.llm.store import crc_rest
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = crc_rest(F.col("doc_id"), 7) == 2
+    return score(docs, train(docs.filter(~held))).withColumn("held_out", held)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The ten queries, and the pipeline."""
     import corpus_pipeline
