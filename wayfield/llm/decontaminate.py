@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayfield.llm.store import written
-from wayfield.llm.text import ALPHANUMERIC, Words, blocks, grams, mix, powers
+from wayfield.llm.text import ALPHANUMERIC, Words, blocks, grams, mix
 
 WINDOW, GRAM = 13, 6
 TABLE_BITS = 22
@@ -79,15 +79,6 @@ def _items(id_col: str, text: str, gram: int, window: int):
     return run
 
 
-def _text_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every row's bytes."""
-    up, down = powers(len(data))
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    size = np.diff(offsets).astype(np.uint64)
-    return mix((total[offsets[1:]] - total[offsets[:-1]]) * np.append(down[: len(data)], np.uint64(1))[np.minimum(offsets[:-1], len(data))] + size)
-
-
 def _hits(id_col: str, text: str, gram: int, window: int, bits: np.ndarray, lengths: list[int]):
     shift = np.uint64(64 - TABLE_BITS)
 
@@ -126,7 +117,7 @@ def _hits(id_col: str, text: str, gram: int, window: int, bits: np.ndarray, leng
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(batch.schema.get_field_index(id_col)),
-                    pa.array(_text_keys(data, offsets).view(np.int64)),
+                    batch.column(batch.schema.get_field_index("text_key")),
                     pa.array(words.counts.astype(np.int64)),
                     pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), type=pa.int32()), each),
                 ],
@@ -160,7 +151,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     kind = docs.schema[id_col].dataType
     hit = T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("print", "hash", "start", "length")]))
     schema = T.StructType([T.StructField("id", kind), T.StructField("text_key", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("hits", hit)])
-    base = written(docs.select(id_col, text).mapInArrow(_hits(id_col, text, gram, window, _bit_table(index), lengths), schema), "prints")
+    base = written(docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"), F.col(text).alias("text")).mapInArrow(_hits("id", "text", gram, window, _bit_table(index), lengths), schema), "prints")
     prints = index.filter("kind = 'print'").select(F.col("hash").alias("print"), "length").distinct()
     windows = index.filter("kind = 'window'").select("hash", "length", "item_id").distinct()
     near = base.filter("size(hits) > 0").select("id", "text_key", F.inline("hits")).join(prints, ["print", "length"], "left_semi")

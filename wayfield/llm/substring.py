@@ -29,6 +29,8 @@ from wayfield.llm.store import written
 from wayfield.llm.text import NOT_SPACE, Words, blocks, mix
 
 SPAN, LEAST, ALONE, LONGEST = 2, 24, 40, 48
+#: Columns that are added; columns of ``docs`` with these names are replaced.
+NEW = ("n_sentences", "n_removed", "chars_removed")
 _STOP = np.zeros(256, dtype=bool)
 _STOP[[ord(c) for c in ".!?"]] = True
 
@@ -146,8 +148,9 @@ def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", span: int = SPAN, least: int = LEAST, alone: int = ALONE) -> DataFrame:
     """``docs`` with repeated passages cut out of the text, and n_sentences, n_removed, chars_removed."""
+    docs = docs.drop(*(c for c in NEW if c not in (id_col, text)))
     cuts = written(repeated_sentences(docs, id_col, text, span, least, alone), "cuts")
     joined = docs.select(F.struct("*").alias("d")).join(cuts.alias("c"), F.expr(f"d.`{id_col}` <=> c.id and xxhash64(coalesce(d.`{text}`, '')) = c.text_key"), "left").select("d.*", F.col("c.cut").alias("cut_of_row"))
-    new = [T.StructField(c, T.LongType()) for c in ("n_sentences", "n_removed", "chars_removed")]
+    new = [T.StructField(c, T.LongType()) for c in NEW]
     schema = T.StructType([*docs.schema.fields, *new])
     return joined.mapInArrow(_cut(text, "cut_of_row", schema.names), schema)

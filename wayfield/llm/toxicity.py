@@ -183,7 +183,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
 
 
 def score(docs: DataFrame, lexicon: tuple[tuple[str, float], ...], model: tuple[float, ...], text: str = "text", exceptions: tuple[str, ...] = tuple(EXCEPTIONS)) -> DataFrame:
-    """The other columns of ``docs``, weight, n_hits, n_words and score (0 to 1)."""
+    """The other columns of ``docs`` (but those of the following names), weight, n_hits, n_words and score (0 to 1)."""
+    docs = docs.drop("weight", "n_hits", "n_words", "score")
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text)
     found = docs.mapInArrow(_weigher(lexicon, exceptions, text), f"{kept}, weight double, n_hits long, n_words long")
     b0, b1, b2 = model
