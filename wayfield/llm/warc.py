@@ -187,7 +187,11 @@ def _payload(member: Member, keep: bool) -> tuple[str | None, int, list[bytes]]:
 
 
 def _reader(folder: str, payloads: bool):
-    names = [c.split()[0] for c in RECORD.split(", ")] + ["payload"] * payloads
+    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in (RECORD + ", payload binary" * payloads).split(", "))])
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = open_store(folder)
@@ -205,12 +209,12 @@ def _reader(folder: str, payloads: bool):
                         rows.append((archive, f["warc-type"], f["warc-record-id"], f.get("warc-target-uri"), f.get("warc-refers-to"), digest, size) + ((b"".join(pieces),) if payloads else ()))
                         held, seen = held + (size if payloads else 200), seen + 1
                         if held > 4 * PIECE:
-                            yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)))
+                            yield packed(rows)
                             rows, held = [], 0
                 if seen != stated:
                     raise ValueError(f"{archive} holds {seen} records, the manifest says {stated}")
                 if rows:
-                    yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)))
+                    yield packed(rows)
 
     return run
 
