@@ -135,8 +135,8 @@ def fit_affine_rooms(spark, sf):
 
 @check(
     "apply_affine",
-    """select l.l_orderkey ok, l.l_linenumber ln, l.l_partkey pk, l.l_suppkey sk, a*(l_quantity/50)+b*(l_extendedprice/105000)+tx x_map,
-      c*(l_quantity/50)+d*(l_extendedprice/105000)+ty y_map from lineitem l join room_fit f on f.room='A' and f.fold=l.l_linenumber%5+1""",
+    """select l.l_orderkey ok, l.l_linenumber ln, l.l_partkey pk, l.l_suppkey sk, f.room, a*(l_quantity/50)+b*(l_extendedprice/105000)+tx x_map,
+      c*(l_quantity/50)+d*(l_extendedprice/105000)+ty y_map from lineitem l join room_fit f on f.fold=l.l_linenumber%5+1""",
     "x_map y_map",
 )
 def apply_affine(spark, sf):
@@ -144,8 +144,8 @@ def apply_affine(spark, sf):
         "l_orderkey ok", "l_linenumber ln", "l_partkey pk", "l_suppkey sk", "l_quantity/50 x", "l_extendedprice/105000 y",
         "cast(l_linenumber%5+1 as int) fold",
     )
-    joined = pts.join(room_fit(spark, sf).filter("room = 'A'"), "fold")
-    return A.apply_affine(joined).select("ok", "ln", "pk", "sk", "x_map", "y_map")
+    joined = pts.join(room_fit(spark, sf), "fold")
+    return A.apply_affine(joined).select("ok", "ln", "pk", "sk", "room", "x_map", "y_map")
 
 
 @check(

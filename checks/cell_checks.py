@@ -121,10 +121,10 @@ def latent_pca(spark, sf):
 
 @check("fold_decoder")
 def fold_decoder(spark, sf):
-    rows = V.pred_long(spark, sf).filter("predicted_room = 'B'").withColumnRenamed("actual_room", "room")
-    data = rows.select("row_key", "offset_no", "fold", "room", "x", "y", F.col("x_pred").alias("f1"), F.col("y_pred").alias("f2"))
-    out = D.fold_decoder(data, ["offset_no"], ["f1", "f2"], ["x", "y"], row="row_key")
-    return out.groupBy("offset_no", "fold", "actual_room", "predicted_room").agg(
+    rows = V.pred_long(spark, sf).withColumnsRenamed({"actual_room": "room", "predicted_room": "source"})
+    data = rows.select("row_key", "offset_no", "source", "fold", "room", "x", "y", F.col("x_pred").alias("f1"), F.col("y_pred").alias("f2"))
+    out = D.fold_decoder(data, ["offset_no", "source"], ["f1", "f2"], ["x", "y"], row="row_key")
+    return out.groupBy("offset_no", "source", "fold", "actual_room", "predicted_room").agg(
         F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.pow(F.col("x_pred") - F.col("x"), 2) + F.pow(F.col("y_pred") - F.col("y"), 2))).alias("rmse")
     )
 
@@ -186,7 +186,11 @@ def limit_per_cluster(spark, sf):
     return C.limit_per_cluster(V.vectors(spark, sf), 7).select("cell", "cluster_label")
 
 
-@check("sample_per_room")
+@check(
+    "sample_per_room",
+    """with p as (select distinct row_key, actual_room room from pred_long)
+      select row_key, room from (select *, row_number() over (partition by room order by md5(concat_ws('|', 7, row_key)), row_key) r from p) where r<=100""",
+)
 def sample_per_room(spark, sf):
     p = V.pred_long(spark, sf).select("row_key", F.col("actual_room").alias("room")).distinct()
     return C.sample_per_room(p, 300, 3, seed=7)
@@ -203,9 +207,9 @@ def peak_bin(spark, sf):
 
 @check(
     "first_groups",
-    """select row_key, offset_no, fold, actual_room from pred_long where predicted_room='A' and (fold, offset_no, actual_room) in
-      (select fold, offset_no, actual_room from pred_long group by all order by 1, 2, 3 limit 7)""",
+    """select row_key, offset_no, fold, actual_room, predicted_room from pred_long where (fold, offset_no, actual_room, predicted_room) in
+      (select fold, offset_no, actual_room, predicted_room from pred_long group by all order by 1, 2, 3, 4 limit 7)""",
 )
 def first_groups(spark, sf):
-    p = V.pred_long(spark, sf).filter("predicted_room = 'A'").select("row_key", "offset_no", "fold", "actual_room")
-    return C.first_groups(p, ["fold", "offset_no", "actual_room"], 7)
+    p = V.pred_long(spark, sf).select("row_key", "offset_no", "fold", "actual_room", "predicted_room")
+    return C.first_groups(p, ["fold", "offset_no", "actual_room", "predicted_room"], 7)

@@ -38,13 +38,13 @@ def assign_fold(spark, sf):
 @check(
     "assign_fold_multi_offset",
     """with w as (select row_key, offset_no, actual_room room, min(x) x from pred_long group by all),
-      i as (select *, row_number() over (partition by offset_no order by row_key)-1 i from w),
+      i as (select *, row_number() over (partition by offset_no order by x, row_key)-1 i from w),
       b as (select *, min(i) over (partition by offset_no, room) lo, max(i) over (partition by offset_no, room) hi from i)
       select row_key, offset_no, room, case when room='B' then (least(5, floor((i-lo)*5.0::double/(hi-lo))+1)-1+1)%5+1 else least(5, floor((i-lo)*5.0::double/(hi-lo))+1) end::int fold from b""",
 )
 def assign_fold_multi_offset(spark, sf):
-    rows = V.pred_long(spark, sf).select("row_key", "offset_no", F.col("actual_room").alias("room")).distinct()
-    return S.assign_fold(rows, 5, ["offset_no"], "row_key", [])
+    rows = V.pred_long(spark, sf).select("row_key", "offset_no", "x", F.col("actual_room").alias("room")).distinct()
+    return S.assign_fold(rows, 5, ["offset_no"], "x", ["row_key"]).drop("x")
 
 
 @check(

@@ -84,11 +84,13 @@ def filter_label_counts(spark, sf):
 
 @check(
     "include_exclude_filter",
-    "select cell, label, rate from units where label in (select distinct label from units where label<>'Brand#11') and label<>'Brand#12' and rate between 920 and 1400",
+    "select cell, label, rate, 'out' list from units where label not in ('Brand#11', 'Brand#12') and rate between 920 and 1400 union all select cell, label, rate, 'in' from units where label in ('Brand#11', 'Brand#13') and label<>'Brand#13' and rate between 920 and 1400",
     "rate",
 )
 def include_exclude_filter(spark, sf):
-    return FR.include_exclude_filter(V.units(spark, sf), (), ("Brand#11", "Brand#12"), 920.0, 1400.0).select("cell", "label", "rate")
+    out = FR.include_exclude_filter(V.units(spark, sf), (), ("Brand#11", "Brand#12"), 920.0, 1400.0).withColumn("list", F.lit("out"))
+    into = FR.include_exclude_filter(V.units(spark, sf), ("Brand#11", "Brand#13"), ("Brand#13",), 920.0, 1400.0).withColumn("list", F.lit("in"))
+    return out.unionByName(into).select("cell", "label", "rate", "list")
 
 
 @check("drop_incomplete", "select frame_id, x, y from tracking where x is not null and y is not null", "x y")
@@ -281,11 +283,12 @@ def count_lookup(spark, sf):
     )
 
 
-@check("merge_latent", "select row_key, offset_no, fold, x_pred_A, (l_discount*3) PC1 from wide_pred join (select row_key rk, l_discount from (select (((l_orderkey*8+l_linenumber)*20001+l_partkey)*1001+l_suppkey)*10000+datediff('day', date '1990-01-01', cast(l_shipdate as date)) row_key, l_discount from lineitem)) on rk=row_key", "x_pred_A PC1")
+@check("merge_latent", "select row_key, offset_no, fold, x_pred_A, (l_discount*3) PC1 from wide_pred join (select row_key rk, l_discount from (select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, datediff('day', date '1990-01-01', cast(l_shipdate as date))) row_key, l_discount from lineitem)) on rk=row_key", "x_pred_A PC1")
 def merge_latent(spark, sf):
     p = V.pred_long(spark, sf)
     latent = V.table(spark, sf, "lineitem").selectExpr(
-        "(((l_orderkey*8+l_linenumber)*20001+l_partkey)*1001+l_suppkey)*10000+datediff(cast(l_shipdate as date), date'1990-01-01') row_key",
+        "concat_ws('-', cast(l_orderkey as string), cast(l_linenumber as string), cast(l_partkey as string), cast(l_suppkey as string),"
+        " cast(datediff(cast(l_shipdate as date), date'1990-01-01') as string)) row_key",
         "l_linenumber", "l_discount*3 PC1", "explode(array(0, 1)) offset_no",
     ).selectExpr("row_key", "offset_no", "cast((l_linenumber + offset_no) % 5 + 1 as int) fold", "PC1")
     return FR.align_by_id(D.pivot_predictions(p, KEYS, ["A"], "row_key").drop("y_pred_A"), latent, KEYS)
@@ -296,10 +299,10 @@ def distinct_groups(spark, sf):
     return FR.distinct_groups(V.pred_long(spark, sf), ["fold", "offset_no", "actual_room"])
 
 
-@check("param_grid", "select * from (select distinct l_returnflag flag from lineitem), (select distinct p_brand brand from part), (select distinct l_linenumber n from lineitem)")
+@check("param_grid", "select flag, brand, n from (select distinct p_brand brand from part), (select unnest(['A', 'N', null]) flag), (select unnest([1, 2, 3]) n)")
 def param_grid(spark, sf):
-    li = V.table(spark, sf, "lineitem")
-    return FR.param_grid({"brand": V.table(spark, sf, "part").select("p_brand"), "n": li.select("l_linenumber"), "flag": li.select("l_returnflag")}, ["flag"])
+    brands = V.table(spark, sf, "part").select(F.col("p_brand").alias("brand"))
+    return FR.param_grid(brands, {"flag": ["A", "N", None], "n": [1, 2, 3]}, ["flag"])
 
 
 @check("skip_list", "select distinct fold, offset_no, predicted_room from pred_long except select fold, offset_no, predicted_room from pred_long where x_pred>1.095")

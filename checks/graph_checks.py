@@ -24,17 +24,18 @@ define("gnodes", "select gx::int gx, gy::int gy, gx/20.0::double x, gy/20.0::dou
 
 
 def gnodes(spark, sf):
-    lo_hi = V.positions(spark, sf).agg(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
-    return R.grid_nodes(lo_hi, 21)
+    # the grid of the unit square, where positions lie
+    return R.grid_nodes(spark.range(1).select(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")), 21)
 
 
 @check(
     "near_points_join",
-    "select gx, gy, x, y from gnodes g where exists (select 1 from gpoints p where p.cell=3 and (p.sx-g.x)^2+(p.sy-g.y)^2<0.02^2)", "x y",
+    "select cell, gx, gy, x, y from gnodes g, (select distinct cell from gpoints) c where exists (select 1 from gpoints p where p.cell=c.cell and (p.sx-g.x)^2+(p.sy-g.y)^2<0.02^2)", "x y",
 )
 def near_points_join(spark, sf):
-    pts = gpoints(spark, sf).filter("cell = 3").selectExpr("sx px", "sy py")
-    return G.near_points_join(gnodes(spark, sf), pts, 0.02)
+    pts = gpoints(spark, sf).selectExpr("cell", "sx px", "sy py")
+    nodes = pts.select("cell").distinct().withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(440)))).selectExpr("cell", "cast(n div 21 as int) gx", "cast(n % 21 as int) gy")
+    return G.near_points_join(nodes.withColumns({"x": F.expr("gx / 20D"), "y": F.expr("gy / 20D")}), pts, 0.02, ["cell"])
 
 
 @check(

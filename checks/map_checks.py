@@ -257,17 +257,21 @@ def mean_p_map(spark, sf):
     return M.mean_map(lit_positions(spark, sf), ["room"], "p", N, min_count=20)
 
 
-# room A against room B of the same cell
+# every pair of rooms of a cell; the key "cell" names both
 define(
     "map_pairs",
     """select coalesce(a.cell, b.cell) cell, coalesce(a.bx, b.bx) bx, coalesce(a."by", b."by") "by", a."value" a, b."value" b
-      from (select * from cell_maps where room='A') a full join (select * from cell_maps where room='B') b on a.cell=b.cell and a.bx=b.bx and a."by"=b."by" """,
+      from (select * replace (concat_ws(' ', cell, pair) as cell) from cell_maps, (select unnest(['A-B', 'A-a', 'B-a']) pair) where room=split_part(pair, '-', 1)) a
+      full join (select * replace (concat_ws(' ', cell, pair) as cell) from cell_maps, (select unnest(['A-B', 'A-a', 'B-a']) pair) where room=split_part(pair, '-', 2)) b
+        on a.cell=b.cell and a.bx=b.bx and a."by"=b."by" """,
 )
 
 
 def map_pairs(spark, sf):
-    m = maps(spark, sf)
-    return M.paired_maps(m.filter("room = 'A'"), m.filter("room = 'B'"), ["cell"])
+    pairs = F.explode(F.array(*(F.lit(f"{a}-{b}") for a, b in V.PAIRS)))
+    m = maps(spark, sf).withColumn("pair", pairs).withColumn("cell", F.concat_ws(" ", F.col("cell").cast("string"), "pair"))
+    side = lambda i: m.filter(F.col("room") == F.get(F.split("pair", "-"), F.lit(i))).drop("pair")
+    return M.paired_maps(side(0), side(1), ["cell"])
 
 
 @check("map_correlation", "select cell, corr(a, b) correlation from map_pairs where a is not null and b is not null group by cell", "correlation")

@@ -36,7 +36,7 @@ VIEWS = {
   ('A',0,-0.05,-0.05),('A',1,0.95,-0.05),('A',2,0.95,0.95),('A',3,-0.05,0.95),
   ('B',0,0.0,0.0),('B',1,1.0,0.1),('B',2,0.9,1.1),('B',3,0.1,0.9),
   ('a',0,0.1,0.0),('a',1,1.1,0.3),('a',2,0.6,1.1)) b(room,vertex_no,x,y)""",
-    "pred_long": f"""select (((l_orderkey*8+l_linenumber)*20001+l_partkey)*1001+l_suppkey)*10000+{_DAY} row_key,
+    "pred_long": f"""select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, {_DAY}) row_key,
   o.off offset_no, cast((l_linenumber+o.off) % 5 + 1 as int) fold,
   case l_returnflag when 'A' then 'A' when 'N' then 'a' else 'B' end actual_room, r.room predicted_room,
   case when l_linestatus='O' then 'test' else 'train' end set_name,

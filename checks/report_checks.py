@@ -119,10 +119,10 @@ def room_pair_stats(spark, sf):
     return P.room_pair_stats(V.separation(spark, sf))
 
 
-@check("offset_all_room", "select offset_no, avg(r2_pooled) r2, sqrt(avg(mse)) rmse from offset_scores where fold is null and set_name='test' group by all", "r2 rmse")
+@check("offset_all_room", "select set_name, offset_no, avg(r2_pooled) r2, sqrt(avg(mse)) rmse from offset_scores where fold is null group by all", "r2 rmse")
 def offset_all_room(spark, sf):
-    scores = M.decoder_offset_metrics(scored(spark, sf), GROUPS).filter("fold is null and set_name = 'test'")
-    return P.offset_all_room(scores)
+    scores = M.decoder_offset_metrics(scored(spark, sf), GROUPS).filter("fold is null")
+    return P.offset_all_room(scores, ["set_name"])
 
 
 @check(
@@ -146,10 +146,11 @@ define(
 
 @check(
     "colour_field",
-    """select n.gx, n.gy, n.x, n.y, n.room, (n.x-min(n.x) over w)/(max(n.x) over w-min(n.x) over w) gradient, (a*n.x+b*n.y+f.tx)/(1+1e-9::double) u, (c*n.x+d*n.y+f.ty)/(1+1e-9::double) v
-      from shade_nodes n join room_fit f on f.room=n.room and f.fold=1 window w as (partition by n.room)""",
+    """select n.gx, n.gy, n.x, n.y, n.room, f.fold, (n.x-min(n.x) over w)/(max(n.x) over w-min(n.x) over w) gradient, (a*n.x+b*n.y+f.tx)/(1+1e-9::double) u, (c*n.x+d*n.y+f.ty)/(1+1e-9::double) v
+      from shade_nodes n join room_fit f on f.room=n.room window w as (partition by n.room, f.fold)""",
     "x y gradient u v",
 )
 def colour_field(spark, sf):
     nodes = R.room_grid(M.bbox(V.pred_long(spark, sf), (), "x_pred", "y_pred"), 34, V.POLYGONS)
-    return P.colour_field(nodes, room_fit(spark, sf).filter("fold = 1"))
+    fits = room_fit(spark, sf)
+    return P.colour_field(nodes.join(fits.select("room", "fold"), "room"), fits, ["room", "fold"])

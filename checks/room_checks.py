@@ -213,7 +213,7 @@ def room_grid(spark, sf):
 
 @check(
     "polygon_holes",
-    f"""with p as (select row_key, offset_no, predicted_room pr, x_pred px, y_pred py from pred_long where predicted_room='A'),
+    f"""with p as (select concat_ws(' ', row_key, predicted_room) row_key, offset_no, 'A' pr, x_pred px, y_pred py from pred_long),
       f as (select e.room, row_key, offset_no, i.* exclude(row_key, offset_no) from (select 1) e0, (select 'A' room) e,
         ({inside_sql("p", "row_key, offset_no", "px", "py", "pr")}) i),
       h as ({inside_sql("(select *, 'a' hr from p) p", "row_key, offset_no", "px", "py", "hr")})
@@ -221,7 +221,7 @@ def room_grid(spark, sf):
 )
 def polygon_holes(spark, sf):
     a, _, hole = V.POLYGONS
-    p = pred_points(spark, sf).filter("room = 'A'")
+    p = pred_points(spark, sf).withColumn("row_key", F.concat_ws(" ", "row_key", "room"))
     return p.filter(R.in_room_without_holes("x", "y", a, [hole])).select("row_key", "offset_no")
 
 

@@ -325,8 +325,8 @@ def sample_dt(spark, sf):
 
 @check(
     "rolling_fps",
-    """with u as (select d.session, d.stream, floor((ts-t0)/21600)::bigint unit_no, avg(fps) v from tdeltas d join (
-        select session, stream, min(ts) t0 from tracking group by all) s on s.session=d.session and s.stream=d.stream where dt>0 group by all),
+    """with u as (select d.session, d.stream, floor((ts-t0)/21600)::bigint unit_no, avg(fps) v from tclean d join (
+        select session, stream, min(ts) t0 from tracking group by all) s on s.session=d.session and s.stream=d.stream where keep group by all),
       l as (select session, stream, max(unit_no) last from u group by all),
       g as (select session, stream, last, unnest(range(last+1)) unit_no from l),
       f as (select g.session, g.stream, g.last, g.unit_no, u.v from g left join u on u.session=g.session and u.stream=g.stream and u.unit_no=g.unit_no)

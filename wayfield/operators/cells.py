@@ -276,6 +276,17 @@ def latent_pca(df: DataFrame, k: int = 3, ids: Sequence[str] = ("cell",), vector
 # ---------------------------------------------------------------- ranked lists
 
 
+def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, salts: int = 32) -> DataFrame:
+    """The first ``n`` rows of each group with their rank ``_r``: first per salt, then among what the salts keep.
+
+    So no task sorts a whole group, whatever ``n`` is; the second step sees at most ``salts`` times n rows of a group.
+    """
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+    rank = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(*order))
+    near = salted.withColumn("_r", rank(*keys, "_salt")).filter(F.col("_r") <= n).drop("_salt")
+    return near.withColumn("_r", rank(*keys)).filter(F.col("_r") <= n)
+
+
 def rank_in_room(df: DataFrame, score: str = "score", room: str = "room", cell: str = "cell") -> DataFrame:
     """Rank by falling score per room; ties share their average rank, cut to an integer."""
     ordered = in_order(df.withColumn("_d", -F.col(score)), [room], "_d", [cell], index="_i")
@@ -286,19 +297,16 @@ def rank_in_room(df: DataFrame, score: str = "score", room: str = "room", cell:
 
 def low_mid_high_cells(df: DataFrame, n: int, low: int, high: int, rate: str = "rate", cell: str = "cell") -> DataFrame:
     """Cells with the lowest and highest mean rate and those closest to the middle rank."""
-    means = df.groupBy(cell).agg(F.avg(rate).alias("mean_rate"))
-    total = means.count()
-    n_cells = min(total, n)
-    low_k = min(low, n_cells)
-    high_k = min(high, max(0, n_cells - low_k))
-    mid_k = max(0, n_cells - low - high)
-    place = in_order(means, [], "mean_rate", [cell], index="_i")
-    ends = place.withColumn("kind", F.when(F.col("_i") < low_k, "low").when(F.col("_i") >= total - high_k, "high"))
-    centre = (low_k + total - high_k - 1) / 2
-    rest = ends.filter("kind is null").withColumn("_d", F.abs(F.col("_i") - centre))
-    closest = rest.orderBy("_d", "mean_rate", cell).limit(mid_k).withColumn("kind", F.lit("mid"))
-    cols = [cell, "mean_rate", "kind"]
-    return ends.filter("kind is not null").select(*cols).unionByName(closest.select(*cols))
+    ranked = in_order(df.groupBy(cell).agg(F.avg(rate).alias("mean_rate")), [], "mean_rate", [cell], index="_i")
+    # ranks below ``bottom`` and from ``top`` on are the ends; what the budget leaves goes to ranks around their middle
+    total = ranked.count()
+    bottom = min(low, n, total)
+    top = total - min(high, max(0, min(n, total) - bottom))
+    spare = max(0, min(n, total) - low - high)
+    kind = F.when(F.col("_i") < bottom, "low").when(F.col("_i") >= top, "high").otherwise("mid")
+    named = ranked.select(cell, "mean_rate", kind.alias("kind"), F.abs(2 * F.col("_i") - (bottom + top - 1)).alias("_far"))
+    middle = named.filter("kind = 'mid'").orderBy("_far", "mean_rate", cell).limit(spare)
+    return named.filter("kind <> 'mid'").unionByName(middle).drop("_far")
 
 
 def top_overlap(df: DataFrame, room_a: str, room_b: str, n: int, score: str = "score", room: str = "room", cell: str = "cell") -> DataFrame:
@@ -310,7 +318,7 @@ def top_overlap(df: DataFrame, room_a: str, room_b: str, n: int, score: str = "s
     for side in ("a", "b"):
         # n rows each
         top = wide.orderBy(F.desc(f"score_{side}"), cell).limit(n).select(cell, F.lit(True).alias(f"_{side}"))
-        out = out.join(F.broadcast(top) if n <= 100_000 else top, cell, "left")
+        out = out.join(top, cell, "left")
     in_a, in_b = F.col("_a").isNotNull(), F.col("_b").isNotNull()
     label = F.when(in_a & in_b, "both").when(in_a, "a").when(in_b, "b").otherwise("none")
     return out.select(cell, "score_a", "score_b", label.alias("overlap"))
@@ -318,8 +326,7 @@ def top_overlap(df: DataFrame, room_a: str, room_b: str, n: int, score: str = "s
 
 def top_n_threshold(df: DataFrame, n: int, score: str = "score", room: str = "room", cell: str = "cell") -> DataFrame:
     """Flag each room's top ``n`` cells; the threshold is the mean of the n-th and the next score."""
-    w = W.partitionBy(room).orderBy(F.desc(score), cell)
-    top = df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n + 1)
+    top = top_rows(df, [room], [F.desc(score), F.col(cell)], n + 1)
     cut = top.groupBy(room).agg(F.avg(F.when(F.col("_r") >= n, F.col(score))).alias("threshold"))
     flagged = top.filter(F.col("_r") <= n).select(room, cell, F.lit(True).alias("is_top"))
     out = df.join(cut, room).join(flagged, [room, cell], "left")
@@ -327,15 +334,14 @@ def top_n_threshold(df: DataFrame, n: int, score: str = "score", room: str = "ro
 
 
 def limit_per_cluster(df: DataFrame, m: int, cluster: str = "cluster_label", cell: str = "cell") -> DataFrame:
-    """First ``m`` cells of each cluster; Spark drops later rows before the shuffle."""
-    w = W.partitionBy(cluster).orderBy(cell)
-    return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= m).drop("_r")
+    """First ``m`` cells of each cluster."""
+    return top_rows(df, [cluster], [F.col(cell)], m).drop("_r")
 
 
 def sample_per_room(df: DataFrame, budget: int, n_rooms: int, seed: int = 0, room: str = "room", row: str = "row_key") -> DataFrame:
-    """``budget / n_rooms`` rows of each room, picked by a seeded hash so that runs agree."""
-    w = W.partitionBy(room).orderBy(F.xxhash64(F.lit(seed), row), row)
-    return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max(1, budget // n_rooms)).drop("_r")
+    """``budget / n_rooms`` rows of each room, picked by a seeded digest of the row's key so that runs agree."""
+    drawn = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(row).cast("string")))
+    return top_rows(df, [room], [drawn, F.col(row)], max(1, budget // n_rooms)).drop("_r")
 
 
 def peak_bin(maps: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
@@ -349,7 +355,7 @@ def peak_bin(maps: DataFrame, keys: Sequence[str], value: str = "value") -> Data
 def first_groups(df: DataFrame, keys: Sequence[str], m: int) -> DataFrame:
     """Rows of the first ``m`` groups in key order."""
     groups = df.select(*keys).distinct().orderBy(*keys).limit(m)
-    return df.join(F.broadcast(groups) if m <= 100_000 else groups, list(keys), "left_semi")
+    return df.join(groups, list(keys), "left_semi")
 
 
 def loss_curves(df: DataFrame, set_name: str = "set_name", epoch: str = "epoch", loss: str = "mse") -> DataFrame:

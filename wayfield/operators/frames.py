@@ -188,24 +188,16 @@ def distinct_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.select(*keys).distinct()
 
 
-def param_grid(values: Mapping[str, DataFrame], first: Sequence[str] = (), limit: int = 100_000) -> DataFrame:
-    """Every combination of the distinct values of several one-column tables, chosen keys first.
+def param_grid(table: DataFrame, values: Mapping[str, Sequence], first: Sequence[str] = ()) -> DataFrame:
+    """Every combination of a table's distinct rows with the listed values of further parameters, chosen keys first.
 
-    Parameter lists are short by nature. Each is read to the driver behind a size test and becomes a literal array,
-    so the grid is an ``explode`` and never a join; a list above ``limit`` values is refused.
+    The table stays distributed, whatever its size; the values are given by the caller, in Python, and are exploded per
+    row. NULL is a value like any other.
     """
-    order = [*first, *[k for k in values if k not in first]]
-    grid = None
-    for name in order:
-        column = values[name].select(F.col(values[name].columns[0]).alias(name)).distinct()
-        rows = sorted(r[0] for r in column.limit(limit + 1).collect())
-        if len(rows) > limit:
-            raise ValueError(f"parameter {name} has more than {limit} values")
-        kind = column.schema[0].dataType.simpleString()
-        items = F.explode(F.array(*[F.lit(v) for v in rows]).cast(f"array<{kind}>"))
-        grid = values[name].sparkSession.range(1) if grid is None else grid
-        grid = grid.withColumn(name, items)
-    return grid.select(*order)
+    grid = table.distinct()
+    for name, items in values.items():
+        grid = grid.withColumn(name, F.explode(F.array(*[F.lit(v) for v in items])))
+    return grid.select(*first, *[c for c in grid.columns if c not in first])
 
 
 def skip_list(grid: DataFrame, done: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import logging
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -49,17 +50,27 @@ def radius_join(
     q = q.withColumns({"_bx": _bucket(qx, radius) + F.col("_i"), "_by": _bucket(qy, radius) + F.col("_j")}).drop("_i", "_j")
     salts = F.coalesce("_salts", F.lit(1))
     dealt = F.pmod(F.xxhash64(px, py, *[c for c in points.columns if c not in (*on, px, py)]), salts).cast("int")
-    p = p.join(F.broadcast(crowded), key, "left").withColumn("_salt", dealt).drop("_salts")
-    q = q.join(F.broadcast(crowded), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    p = p.join(crowded, key, "left").withColumn("_salt", dealt).drop("_salts")
+    q = q.join(crowded, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
     d = hypot2(F.col(qx) - F.col(px), F.col(qy) - F.col(py))
     return q.join(p, [*key, "_salt"]).withColumn("distance", d).filter(F.col("distance") <= radius).drop("_bx", "_by", "_salt")
 
 
 def near_points_join(nodes: DataFrame, points: DataFrame, radius: float, on: Sequence[str] = (), x: str = "x", y: str = "y", px: str = "px", py: str = "py") -> DataFrame:
-    """Nodes with any point closer than ``radius``. One place counts once, however many points it holds."""
-    places = points.select(*on, px, py).distinct()
-    hits = radius_join(nodes.select(*on, x, y).distinct(), places, radius, on, x, y, px, py).filter(F.col("distance") < radius)
-    return nodes.join(hits.select(*on, x, y).distinct(), [*on, x, y], "left_semi")
+    """Nodes with any point closer than ``radius``.
+
+    One place counts once, however many points it holds; copies of a node in the nine buckets around it are tested by a
+    semi join, which stops at the first point and writes no pair.
+    """
+    on = list(on)
+    places = points.select(*on, px, py).distinct().withColumns({"_bx": _bucket(px, radius), "_by": _bucket(py, radius)}).alias("p")
+    near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    asked = nodes.select(*on, x, y).distinct().withColumn("_i", near).withColumn("_j", near)
+    asked = asked.withColumns({"_bx": _bucket(x, radius) + F.col("_i"), "_by": _bucket(y, radius) + F.col("_j")}).alias("q")
+    same = [F.col(f"q.{c}") == F.col(f"p.{c}") for c in (*on, "_bx", "_by")]
+    within = hypot2(F.col(f"q.{x}") - F.col(f"p.{px}"), F.col(f"q.{y}") - F.col(f"p.{py}")) < radius
+    hits = asked.join(places, reduce(lambda a, b: a & b, [*same, within]), "left_semi").select(*on, x, y).distinct()
+    return nodes.join(hits, [*on, x, y], "left_semi")
 
 
 def knn_join(points: DataFrame, k: int, keys: Sequence[str] = (), x: str = "x", y: str = "y", row: str = "id", places_per_bucket: int | None = None) -> DataFrame:

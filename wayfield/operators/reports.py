@@ -111,10 +111,10 @@ def room_pair_stats(df: DataFrame, pair: str = "room_pair", rate: str = "rate")
     return df.groupBy(pair).agg(F.avg(rate).alias("mean"), F.stddev_samp(rate).alias("std"), F.count(F.lit(1)).alias("n"))
 
 
-def offset_all_room(scores: DataFrame, offset: str = "offset_no", room: str = "room") -> DataFrame:
+def offset_all_room(scores: DataFrame, keys: Sequence[str] = (), offset: str = "offset_no", room: str = "room") -> DataFrame:
     """Per offset, the mean over single rooms: R2, and the root of the mean mse."""
     single = scores.filter(F.col(room) != "All")
-    return single.groupBy(offset).agg(F.avg("r2_pooled").alias("r2"), F.sqrt(F.avg("mse")).alias("rmse"))
+    return single.groupBy(*keys, offset).agg(F.avg("r2_pooled").alias("r2"), F.sqrt(F.avg("mse")).alias("rmse"))
 
 
 def axis_stretch(points: DataFrame, keys: Sequence[str], direction: tuple[float, float], x: str = "x", y: str = "y") -> DataFrame:

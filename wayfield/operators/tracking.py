@@ -318,23 +318,25 @@ def sample_dt(df: DataFrame, keys: Sequence[str] = KEYS, time: str = "ts", ties:
 
 
 def rolling_fps(
-    df: DataFrame, window: int, keys: Sequence[str] = KEYS, time: str = "ts", ties: Sequence[str] = ("frame_id",), unit: float = 1.0
+    df: DataFrame, window: int, keys: Sequence[str] = KEYS, time: str = "ts", ties: Sequence[str] = ("frame_id",), unit: float = 1.0,
+    clean: bool = True, smooth_short: bool = False,
 ) -> DataFrame:
     """Mean frame rate per ``unit`` seconds since the start, smoothed by a centred moving mean of ``window`` units.
 
-    An even window reaches one unit further back than ahead. Units without frames are missing before smoothing; each
+    Frame distances outside the quartile fences are left out unless ``clean`` is off. A stream with fewer units than the
+    window is not smoothed unless ``smooth_short``. An even window reaches one unit further back than ahead. Units without frames are missing before smoothing; each
     unit hands its value to the units whose window holds it, so empty stretches cost nothing and a long recording
     needs no window in one task. Units with no value in reach are absent.
     """
     keys = list(keys)
-    d = _deltas(df, keys, time, ties).filter("dt > 0")
+    d = clean_deltas(df, keys, time, ties).filter("keep") if clean else _deltas(df, keys, time, ties).filter("dt > 0")
     start = df.groupBy(*keys).agg(F.min(time).alias("_t0"))
     per = d.join(start, keys).groupBy(*keys, F.floor((F.col("t") - F.col("_t0")) / F.lit(float(unit))).alias("unit_no")).agg(F.avg("fps").alias("_v"))
     last = per.groupBy(*keys).agg(F.max("unit_no").alias("_last"))
     back = window // 2
     ahead = window - 1 - back
     spread = per.join(last, keys)
-    smooth = F.col("_last") + 1 >= window
+    smooth = F.lit(True) if smooth_short else F.col("_last") + 1 >= window
     lo = F.when(smooth, F.greatest(F.lit(0), F.col("unit_no") - ahead)).otherwise(F.col("unit_no"))
     hi = F.when(smooth, F.least(F.col("_last"), F.col("unit_no") + back)).otherwise(F.col("unit_no"))
     return spread.select(*keys, F.explode(F.sequence(lo, hi)).alias("unit_no"), "_v").groupBy(*keys, "unit_no").agg(F.avg("_v").alias("fps"))

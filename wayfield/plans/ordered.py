@@ -29,7 +29,7 @@ def with_slices(
     A group above the limit is cut into equal widths of its order column; a slice that is still above the limit, as
     when rows crowd into a short time, is cut once more. Group sizes are measured first, by one aggregate over the key
     and order columns; if no group is above the limit the result is None and the caller keeps its plain plan.
-    The broadcast table has one row per group (or slice) above the limit, so at most ``rows / rows_per_slice`` rows.
+    The joined table of large groups has one row per group (or slice) above the limit, so at most ``rows / rows_per_slice`` rows.
     Rows without an order value go to slice 0.
     """
     keys = list(keys)
@@ -55,7 +55,7 @@ def with_slices(
             F.floor((F.col("_o") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_parts")), F.col("_parts") - 1
         )
         out = (
-            out.join(F.broadcast(large), on, "left")
+            out.join(large, on, "left")
             .withColumn("_slice", F.col("_slice") * F.lit(_FANOUT) + F.coalesce(place, F.lit(0)))
             .withColumn("_split", F.col("_split") | F.col("_parts").isNotNull())
             .drop("_lo", "_hi", "_parts")
@@ -240,7 +240,7 @@ def quantiles(
     )
     # at most two ranks per quantile of a split group: bounded by rows / rows_per_slice
     needed = ranks.select(*on, "_slice").distinct()
-    counts = split.join(F.broadcast(needed), on + ["_slice"], "left_semi").groupBy(*on, "_slice", "_v").count()
+    counts = split.join(needed, on + ["_slice"], "left_semi").groupBy(*on, "_slice", "_v").count()
     counts = counts.withColumn(
         "_upto", F.sum("count").over(W.partitionBy(*on, "_slice").orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
     )

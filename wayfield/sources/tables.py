@@ -39,14 +39,14 @@ def write_table(df: DataFrame, path: str, overwrite: bool = False, fmt: str = "p
 
 def collect_files(
     spark: SparkSession, folder: str, pattern: str, schema: T.StructType | str | None = None, fmt: str = "parquet",
-    glob: str | None = None, parents: Sequence[str] | None = None,
+    glob: str | None = None, parents: Sequence[str] | None = None, skip_unreadable: bool = False,
 ) -> DataFrame:
     """Rows of every file below ``folder`` whose name matches the regular expression, with ``_source_file``.
 
-    ``glob`` narrows the listing itself; ``parents`` keeps files directly inside folders of these names. Unreadable
-    files are skipped.
+    ``glob`` narrows the listing itself; ``parents`` keeps files directly inside folders of these names. An
+    unreadable file is an error unless ``skip_unreadable``.
     """
-    reader = spark.read.option("recursiveFileLookup", True).option("ignoreCorruptFiles", True)
+    reader = spark.read.option("recursiveFileLookup", True).option("ignoreCorruptFiles", skip_unreadable)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if fmt == "csv":

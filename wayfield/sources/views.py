@@ -71,8 +71,8 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pred_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").selectExpr(
-        "(((l_orderkey*8+l_linenumber)*20001+l_partkey)*1001+l_suppkey)*10000"
-        "+datediff(cast(l_shipdate as date), date'1990-01-01') row_key",
+        "concat_ws('-', cast(l_orderkey as string), cast(l_linenumber as string), cast(l_partkey as string), cast(l_suppkey as string),"
+        " cast(datediff(cast(l_shipdate as date), date'1990-01-01') as string)) row_key",
         "l_linenumber",
         "case l_returnflag when 'A' then 'A' when 'N' then 'a' else 'B' end actual_room",
         "case when l_linestatus = 'O' then 'test' else 'train' end set_name",
