@@ -119,7 +119,23 @@ def latent_pca(spark, sf):
     return C.latent_pca(V.vectors(spark, sf))
 
 
-@check("fold_decoder")
+# ridge regression on two features: normal equations solved by the adjugate of a 3 x 3 matrix
+@check(
+    "fold_decoder",
+    """with d as (select offset_no, predicted_room source, fold, actual_room room, x, y, x_pred f1, y_pred f2 from pred_long),
+      g as (select offset_no, source, room, fold, count(*)::double n, sum(f1) s1, sum(f2) s2, sum(f1*f1) s11, sum(f1*f2) s12, sum(f2*f2) s22,
+        sum(x) x0, sum(f1*x) x1, sum(f2*x) x2, sum(y) y0, sum(f1*y) y1, sum(f2*y) y2 from d group by all),
+      t as (select g.offset_no, g.source, g.room, f.fold, sum(n)+1e-3 a, sum(s1) b, sum(s2) c, sum(s11)+1e-3 e, sum(s12) h, sum(s22)+1e-3 k,
+        sum(x0) x0, sum(x1) x1, sum(x2) x2, sum(y0) y0, sum(y1) y1, sum(y2) y2 from g join (select distinct offset_no, source, fold from g) f
+        on f.offset_no=g.offset_no and f.source=g.source and f.fold<>g.fold group by g.offset_no, g.source, g.room, f.fold),
+      i as (select *, e*k-h*h i0, c*h-b*k i1, b*h-c*e i2, a*k-c*c i3, b*c-a*h i4, a*e-b*b i5 from t),
+      w as (select *, a*i0+b*i1+c*i2 det from i),
+      p as (select d.*, w.room predicted_room, (i0*x0+i1*x1+i2*x2)/det+(i1*x0+i3*x1+i4*x2)/det*f1+(i2*x0+i4*x1+i5*x2)/det*f2-x ex,
+        (i0*y0+i1*y1+i2*y2)/det+(i1*y0+i3*y1+i4*y2)/det*f1+(i2*y0+i4*y1+i5*y2)/det*f2-y ey
+        from d join w on w.offset_no=d.offset_no and w.source=d.source and w.fold=d.fold)
+      select offset_no, source, fold, room actual_room, predicted_room, count(*) n, sqrt(avg(ex^2+ey^2)) rmse from p group by all""",
+    "rmse",
+)
 def fold_decoder(spark, sf):
     rows = V.pred_long(spark, sf).withColumnsRenamed({"actual_room": "room", "predicted_room": "source"})
     data = rows.select("row_key", "offset_no", "source", "fold", "room", "x", "y", F.col("x_pred").alias("f1"), F.col("y_pred").alias("f2"))

@@ -276,11 +276,7 @@ def split_membership(spark, sf):
 
 @check("count_lookup", "select actual_room, set_name, count(distinct fold) n_folds, count(distinct offset_no) n_offsets, count(*) n from pred_long group by all")
 def count_lookup(spark, sf):
-    # counts of the distinct (fold, offset) pairs first: the second aggregate sees a few rows per group
-    pairs = V.pred_long(spark, sf).groupBy("actual_room", "set_name", "fold", "offset_no").agg(F.count(F.lit(1)).alias("n"))
-    return pairs.groupBy("actual_room", "set_name").agg(
-        F.countDistinct("fold").alias("n_folds"), F.countDistinct("offset_no").alias("n_offsets"), F.sum("n").alias("n")
-    )
+    return FR.count_lookup(V.pred_long(spark, sf), ["actual_room", "set_name"], {"fold": "n_folds", "offset_no": "n_offsets"})
 
 
 @check("merge_latent", "select row_key, offset_no, fold, x_pred_A, (l_discount*3) PC1 from wide_pred join (select row_key rk, l_discount from (select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, datediff('day', date '1990-01-01', cast(l_shipdate as date))) row_key, l_discount from lineitem)) on rk=row_key", "x_pred_A PC1")

@@ -248,7 +248,7 @@ def small_summary(spark, sf):
     "percent_long n_gaps " + _PROJECT_D,
 )
 def summary_gap_join(spark, sf):
-    return small_summary(spark, sf).join(K.project_gap_stats(runs(spark, sf)), "session", "left")
+    return K.summary_gap_join(small_summary(spark, sf), runs(spark, sf))
 
 
 @check(

@@ -241,3 +241,12 @@ def room_order(df: DataFrame, preferred: Sequence[str], room: str = "room") -> D
 
 def sort_keys(df: DataFrame, keys: Sequence[str] = ("row_key", "offset_no", "fold")) -> DataFrame:
     return df.orderBy(*keys)
+
+
+def count_lookup(df: DataFrame, keys: Sequence[str], distinct: Mapping[str, str], rows: str = "n") -> DataFrame:
+    """Per group, the number of distinct values of each column (``distinct``: column to result name) and of rows.
+
+    Counts of the distinct combinations come first, so the second aggregate sees a few rows per group.
+    """
+    combos = df.groupBy(*keys, *distinct).agg(F.count(F.lit(1)).alias(rows))
+    return combos.groupBy(*keys).agg(*[F.countDistinct(c).alias(name) for c, name in distinct.items()], F.sum(rows).alias(rows))

@@ -135,12 +135,21 @@ def decoder_offset_metrics(
             F.sum(f"sse_{name}").alias(f"sse_{name}"),
             (F.sum(f"sst_{name}") + F.coalesce(F.greatest(between, F.lit(0.0)), F.lit(0.0))).alias(f"sst_{name}"),
         ]
-    per_offset = per_fold.groupBy(*keys).agg(*pooled_sums)
-    drop = [f"_mean_{a}" for a in axes]
-    both = per_fold.drop(*drop).withColumn("n_folds", F.lit(1).cast("bigint")).unionByName(
-        per_offset.withColumn(fold, F.lit(None).cast("int"))
-    )
-    return scores_from_sums(both, list(axes), mse)
+    both = with_summary(per_fold.withColumn("n_folds", F.lit(1).cast("bigint")), keys, {fold: F.lit(None)}, pooled_sums)
+    return scores_from_sums(both.drop(*(f"_mean_{a}" for a in axes)), list(axes), mse)
+
+
+def with_summary(rows: DataFrame, keys: Sequence[str], fixed: Mapping[str, Column], aggs: Sequence[Column]) -> DataFrame:
+    """``rows``, and for each group one more row of ``fixed`` values and aggregates (NULL in other columns).
+
+    For tables of few rows per group (folds, rooms): a group becomes one array with its summary at the end and is unfolded
+    again, so ``rows`` is evaluated once.
+    """
+    grouped = rows.groupBy(*keys).agg(F.collect_list(F.struct(*rows.columns)).alias("_rows"), F.struct(*aggs).alias("_all"))
+    made = {*grouped.schema["_all"].dataType.names}
+    given = {**fixed, **{k: F.col(k) for k in keys}, **{c: F.col(f"_all.{c}") for c in made}}
+    one = F.struct(*(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema))
+    return grouped.select(F.inline(F.concat("_rows", F.array(one))))
 
 
 def decoder_room_metrics(
@@ -209,15 +218,15 @@ def decoder_ensemble_metrics(
     )
     names = list(axes)
     rooms = scores_from_sums(scores, names, mse).withColumn("rmse", F.sqrt("mse")).join(counts, [*groups, room])
-    everything = rooms.groupBy(*groups).agg(
+    everything = [
         F.sum("n_timestamps").alias("n_timestamps"),
         F.sum("n_samples").alias("n_samples"),
         F.max("n_folds").alias("n_folds"),
         F.max("n_offsets").alias("n_offsets"),
         *[F.avg(c).alias(c) for c in ("r2_pooled", "mse", "rmse")],
         *[F.avg(f"{s}_{a}").alias(f"{s}_{a}") for s in ("r2", "sse", "sst") for a in names],
-    )
-    return rooms.unionByName(everything.withColumn(room, F.lit("All")))
+    ]
+    return with_summary(rooms, groups, {room: F.lit("All")}, everything)
 
 
 def decoder_by_room(room_scores: DataFrame, room: str = "room", set_name: str = "set_name") -> DataFrame:

@@ -404,3 +404,8 @@ def report_tables(df: DataFrame, long_time: float, long_distance: float, bin_wid
         "per_timebin": tracking_timebins(states, bin_width, low_p, keys),
         "fps_stats": fps_stats(df, keys),
     }
+
+
+def summary_gap_join(summary: DataFrame, runs: DataFrame, session: str = "session") -> DataFrame:
+    """A summary table with its sessions' gap statistics; sessions without gaps keep their row."""
+    return summary.join(project_gap_stats(runs), session, "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 
@@ -21,6 +22,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.driver.memory", os.environ.get("WAYFIELD_DRIVER_MEMORY", "12g"))
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.host", "127.0.0.1")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -46,3 +48,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the workers of a running session, where it is not installed on them.
+
+    Functions that run on workers import the package. Install it there, put it on their Python path, or call this.
+    """
+    import shutil
+    from pathlib import Path
+
+    here = Path(__file__).resolve().parent
+    # the driver serves the file to workers for as long as the session lives
+    folder = tempfile.mkdtemp(prefix="wayfield-ship-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{here.name}", "zip", here.parent, here.name))
