@@ -84,12 +84,12 @@ def filter_label_counts(spark, sf):
 
 @check(
     "include_exclude_filter",
-    "select cell, label, rate, 'out' list from units where label not in ('Brand#11', 'Brand#12') and rate between 920 and 1400 union all select cell, label, rate, 'in' from units where label in ('Brand#11', 'Brand#13') and label<>'Brand#13' and rate between 920 and 1400",
+    "select cell, label, rate, 'out' list from units where label not in ('Brand#11', 'Brand#12') and rate between 905 and 1400 union all select cell, label, rate, 'in' from units where label in ('Brand#11', 'Brand#13') and label<>'Brand#13' and rate between 905 and 1400",
     "rate",
 )
 def include_exclude_filter(spark, sf):
-    out = FR.include_exclude_filter(V.units(spark, sf), (), ("Brand#11", "Brand#12"), 920.0, 1400.0).withColumn("list", F.lit("out"))
-    into = FR.include_exclude_filter(V.units(spark, sf), ("Brand#11", "Brand#13"), ("Brand#13",), 920.0, 1400.0).withColumn("list", F.lit("in"))
+    out = FR.include_exclude_filter(V.units(spark, sf), (), ("Brand#11", "Brand#12"), 905.0, 1400.0).withColumn("list", F.lit("out"))
+    into = FR.include_exclude_filter(V.units(spark, sf), ("Brand#11", "Brand#13"), ("Brand#13",), 905.0, 1400.0).withColumn("list", F.lit("in"))
     return out.unionByName(into).select("cell", "label", "rate", "list")
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,7 +58,9 @@ def stream_gap_runs(
 
     Frames are held until the watermark passes them and then taken in time order, so late frames up to ``delay`` find
     their place and a run may span any number of batches. A stream without frames for ``idle_seconds`` of event time
-    after its last one closes its open run. State per stream is one open run and the frames inside the delay.
+    after its last one closes its open run. State per stream is one open run and the frames within ``delay`` of its last
+    one, also on a first batch, when there is no watermark yet. Runs are found by array differences; a step holds the
+    frames that one batch has of a stream, which ``files_per_batch`` bounds.
     """
     keys = list(keys)
     source = frames.withWatermark("event_time", delay).select(
@@ -67,46 +70,58 @@ def stream_gap_runs(
     types = dict(frames.select(*keys).dtypes)
     schema = ", ".join([f"{k} {types[k]}" for k in keys]) + ", " + _RUN
 
+    columns = ["ts", "tie", "x", "y", "p", "gap"]
+    hold = pd.Timedelta(delay.replace("interval ", "")).total_seconds()
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         shift, n, is_open, start, length, t0, t1, x0, y0, x1, y1, p_sum, p_n, held = state.get if state.exists else _EMPTY
-        rows = [tuple(r) for r in held]
+        parts = [pd.DataFrame([tuple(r) for r in held], columns=columns)] if held else []
         for pdf in batches:
             if len(pdf):
                 # event time in seconds of ts = 0, to compare frames with the watermark
                 shift = pdf["at"].iloc[0] - pdf["ts"].iloc[0]
-            rows += list(pdf[["ts", "tie", "x", "y", "p", "gap"]].itertuples(index=False, name=None))
-        rows.sort(key=lambda r: (r[0], r[1]))
-        mark = state.getCurrentWatermarkMs() / 1000
+                parts.append(pdf[columns])
+        frames = pd.concat(parts, ignore_index=True).sort_values(["ts", "tie"], kind="stable") if parts else pd.DataFrame(columns=columns)
+        # frames this far behind the stream's last one can get no earlier neighbour: Spark drops what comes later than that
+        own = frames["ts"].iloc[-1] + shift - hold if len(frames) else -np.inf
+        mark = max(state.getCurrentWatermarkMs() / 1000, own)
+        ready = (frames["ts"] + shift <= mark).to_numpy(dtype=bool)
+        keep, done = frames[~ready], frames[ready]
+        ts, x, y, p = (done[c].to_numpy(dtype=float) for c in ("ts", "x", "y", "p"))
+        gap = done["gap"].to_numpy(dtype=bool)
+        before = np.append(is_open, gap[:-1])[: len(gap)]
+        begins, ends = np.flatnonzero(gap & ~before), np.flatnonzero(~gap & before)
+        if is_open and len(gap):
+            # the open run goes on, or is closed by the first frame
+            begins = np.append(0, begins)
+        sums = np.append(0.0, np.cumsum(np.nan_to_num(p)))
+        known = np.append(0, np.cumsum(~np.isnan(p)))
         out = []
 
         def close() -> None:
             duration, distance = t1 - t0, ((x1 - x0) ** 2 + (y1 - y0) ** 2) ** 0.5
             out.append((*key, start, start + length - 1, length, t0, t1, duration, distance, p_sum / p_n if p_n else None, duration >= long_time, distance >= long_distance))
 
-        keep = []
-        for r in rows:
-            ts, tie_value, x, y, p, gap = r
-            if ts + shift > mark:
-                keep.append(r)
-                continue
-            if gap:
-                if not is_open:
-                    is_open, start, length, t0, x0, y0, p_sum, p_n = True, n, 0, ts, x, y, 0.0, 0
-                length, t1, x1, y1 = length + 1, ts, x, y
-                if p is not None and p == p:
-                    p_sum, p_n = p_sum + p, p_n + 1
-            elif is_open:
+        for k, begin in enumerate(begins):
+            end = int(ends[k]) if k < len(ends) else len(gap)
+            if not is_open:
+                is_open, start, length, t0, x0, y0, p_sum, p_n = True, n + int(begin), 0, float(ts[begin]), float(x[begin]), float(y[begin]), 0.0, 0
+            if end > begin:
+                length, t1, x1, y1 = length + end - int(begin), float(ts[end - 1]), float(x[end - 1]), float(y[end - 1])
+                p_sum, p_n = p_sum + float(sums[end] - sums[begin]), p_n + int(known[end] - known[begin])
+            if k < len(ends):
                 close()
                 is_open = False
-            n += 1
+        n += len(gap)
         idle = t1 + shift + idle_seconds
-        if is_open and not keep and idle <= mark:
+        if is_open and not len(keep) and idle <= state.getCurrentWatermarkMs() / 1000:
             close()
             is_open = False
-        state.update((shift, n, is_open, start, length, t0, t1, x0, y0, x1, y1, p_sum, p_n, keep))
+        left = [(float(r[0]), int(r[1]), *(None if v != v or v is None else float(v) for v in r[2:5]), bool(r[5])) for r in keep.itertuples(index=False, name=None)]
+        state.update((float(shift), n, bool(is_open), start, length, t0, t1, x0, y0, x1, y1, p_sum, p_n, left))
         # wake up when the watermark reaches the first held frame, or when an open run has waited long enough
-        if keep:
-            state.setTimeoutTimestamp(int((keep[0][0] + shift) * 1000) + 1)
+        if left:
+            state.setTimeoutTimestamp(max(int((left[0][0] + shift) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
         elif is_open:
             state.setTimeoutTimestamp(int(idle * 1000) + 1)
         if out:
