@@ -140,3 +140,16 @@ def test_sample_is_seeded_and_balanced(spark):
     again = C.sample_per_room(df.repartition(13), 40, 2, seed=1).toPandas()
     assert first.groupby("room").size().to_dict() == {"a": 20, "B": 20}
     assert sorted(first["row_key"]) == sorted(again["row_key"])
+
+
+def test_rank_with_one_score_for_most_rows(spark):
+    df = spark.range(1000).selectExpr("id cell", "'A' room", "case when id < 900 then 5D else cast(id as double) end score")
+    got = {r.cell: r.rank for r in C.rank_in_room(df).collect()}
+    # ranks 1 to 100 for the distinct scores, then 900 rows share the mean of 101 to 1000
+    assert all(got[i] == (550 if i < 900 else 1000 - i) for i in range(1000))
+
+
+def test_top_rows_beyond_the_pruning_limit(spark):
+    df = spark.range(9000).selectExpr("id cell", "cast(id % 2 as string) room", "cast(id as double) score")
+    got = C.top_rows(df, ["room"], [F.desc("score")], 3000).collect()
+    assert len(got) == 6000 and all(r._r == (8999 - r.cell) // 2 + 1 for r in got)

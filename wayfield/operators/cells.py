@@ -291,11 +291,14 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int
 
 
 def rank_in_room(df: DataFrame, score: str = "score", room: str = "room", cell: str = "cell") -> DataFrame:
-    """Rank by falling score per room; ties share their average rank, cut to an integer."""
-    ordered = in_order(df.withColumn("_d", -F.col(score)), [room], "_d", [cell], index="_i")
-    ties = ordered.groupBy(room, score).agg(F.min("_i").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    rank = F.floor(F.col("_first") + 1 + (F.col("_n") - 1) / 2).cast("int")
-    return ordered.join(ties, [room, score]).select(*df.columns, rank.alias("rank"))
+    """Rank by falling score per room; ties share their average rank, cut to an integer.
+
+    Equal scores are counted before anything is ordered: a score that most rows share is one row of the ordered table.
+    """
+    ties = df.groupBy(room, score).agg(F.count(F.lit(1)).alias("_n")).withColumn("_d", -F.col(score))
+    placed = in_order(ties, [room], "_d", running={"_upto": F.col("_n")})
+    rank = F.floor(F.col("_upto") - F.col("_n") + 1 + (F.col("_n") - 1) / 2).cast("int")
+    return df.join(placed.select(room, score, rank.alias("rank")), [room, score]).select(*df.columns, "rank")
 
 
 def low_mid_high_cells(df: DataFrame, n: int, low: int, high: int, rate: str = "rate", cell: str = "cell") -> DataFrame:
