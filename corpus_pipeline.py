@@ -14,7 +14,7 @@ from wayfield.llm.decontaminate import contamination
 from wayfield.llm.minhash import near_duplicates
 from wayfield.llm.mixing import mix, word_count
 from wayfield.llm.quality import judge
-from wayfield.llm.store import fresh, written
+from wayfield.llm.store import fresh, made, release, written
 from wayfield.llm.substring import without_repeats
 
 
@@ -29,7 +29,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without an id stay if any row without an id does.
     """
     kept = near_duplicates(docs).filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    kept = written(kept.select(F.struct("doc_id", "n").alias("k")), "kept")
+    # tables of ids grow with the corpus: here and below they are merged with the texts, at any size, and not broadcast
+    kept = written(kept.select(F.struct("doc_id", "n").alias("k")), "kept").hint("merge")
     rows = docs.select(F.struct("*").alias("d")).join(kept, F.expr("d.doc_id <=> k.doc_id"))
     once = rows.filter("k.n = 1").select("d.*")
     return once.unionByName(rows.filter("k.n > 1").select("d.*").dropDuplicates(["doc_id", "text"]))
@@ -46,14 +47,14 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     """Documents with a twentieth of their words or more inside benchmark windows go."""
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     bad = found.filter("n_hit > 0 and 20 * n_hit >= n_words").select(F.struct("doc_id", "text_key").alias("k")).distinct()
-    return docs.select(F.struct("*").alias("d")).join(written(bad, "contaminated"), F.expr("d.doc_id <=> k.doc_id and xxhash64(coalesce(d.text, '')) = k.text_key"), "left_anti").select("d.*")
+    return docs.select(F.struct("*").alias("d")).join(written(bad, "contaminated").hint("merge"), F.expr("d.doc_id <=> k.doc_id and xxhash64(coalesce(d.text, '')) = k.text_key"), "left_anti").select("d.*")
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, with ``copies``: how often each is to be read."""
     taken = mix(docs).filter("copies > 0").select(F.struct("doc_id", "source", "size").alias("k"), "copies").distinct()
     rows = docs.drop("copies").select(F.struct("*").alias("d"), word_count("text").alias("size"))
-    return rows.join(written(taken, "taken"), F.expr("d.doc_id <=> k.doc_id and d.source <=> k.source and size = k.size")).select("d.*", "copies")
+    return rows.join(written(taken, "taken").hint("merge"), F.expr("d.doc_id <=> k.doc_id and d.source <=> k.source and size = k.size")).select("d.*", "copies")
 
 
 STAGES = [
@@ -71,8 +72,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each one's rows written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mark = made()
     for name, stage in STAGES:
         out = fresh(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(out)
+        # what the stage wrote for itself, and its input, are not needed any more
+        release(spark, mark, keep=(out,))
         docs = spark.read.parquet(out)
     return docs

@@ -175,7 +175,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def _full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
     """id, shingles and a wider signature, of the documents in ``ids``."""
-    needed = docs.selectExpr(f"`{id_col}` id", f"`{text}` text").join(ids.distinct(), "id", "left_semi").dropDuplicates(["id"])
+    needed = docs.selectExpr(f"`{id_col}` id", f"`{text}` text").join(ids.distinct().hint("merge"), "id", "left_semi").dropDuplicates(["id"])
     longs = T.ArrayType(T.LongType())
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("shingles", longs), T.StructField("wide", longs)])
     return written(needed.mapInArrow(_sets(n, 19), schema), "sets")
@@ -210,7 +210,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     classes = written(classes.selectExpr("set_a", "set_b", "r.*"), "classes").withColumnRenamed("id", "rep")
     buckets = classes.filter("rep is not null").selectExpr("rep id", "explode(bands) key")
     crowded = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = written(buckets.join(crowded, "key"), "crowded").join(classes.filter("rep is not null").select(F.col("rep").alias("id"), *BITS), "id")
+    # both sides of a join are tables of their own: Spark splits a hot key only where no aggregate sits below the join
+    met = written(buckets.join(written(crowded, "keys"), "key"), "crowded").join(classes.filter("rep is not null").select(F.col("rep").alias("id"), *BITS), "id")
     met = written(met, "buckets")
     close = close_enough(similarity, BANDS * ROWS, BITS)
     met = written(met.alias("l").join(met.alias("r"), F.expr(f"l.key = r.key and l.id <> r.id and {close}"), "left_semi"), "candidates")
@@ -222,11 +223,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         else:
             placed = met.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
             mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-            placed = written(placed.join(mixed, "key"), "placed")
+            placed = written(placed.join(written(mixed, "mixed"), "key"), "placed")
         if turn < pivot_rounds:
             rank = placed.groupBy("id").agg(F.struct(F.sum("n").alias("c"), F.xxhash64(F.lit(turn), F.col("id")).alias("h")).alias("o"))
             pivots = placed.join(rank, "id").groupBy("key").agg(F.max(F.struct("o", "id", "component", *BITS)).alias("p")).select("key", "p.*").drop("o")
-            found = placed.alias("l").join(pivots.alias("r"), F.expr(f"l.key = r.key and l.component <> r.component and {close}"))
+            found = placed.alias("l").join(written(pivots, "pivots").alias("r"), F.expr(f"l.key = r.key and l.component <> r.component and {close}"))
             pairs = written(found.selectExpr("least(l.id, r.id) a", "greatest(l.id, r.id) b").distinct(), "pairs")
             joined = pairs.join(sets.selectExpr("id a", "shingles sa"), "a").join(sets.selectExpr("id b", "shingles sb"), "b")
             new = joined.filter(_similar("sa", "sb", round(similarity * 100))).select("a", "b")

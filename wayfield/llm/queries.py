@@ -81,7 +81,7 @@ with p as (select page_id, encode(coalesce(html, '')) body from pages),
   f as (select digest, min(page_id) first from d where n >= 100 group by digest)
 select page_id, n payload_bytes, d.digest payload_digest,
   case when first is not null and first <> page_id then 'revisit' else 'response' end record_type,
-  case when first <> page_id then first end refers_to
+  case when first <> page_id then first end::double refers_to
 from d left join f on d.digest = f.digest and d.n >= 100
 """
 
@@ -129,6 +129,39 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs.filter(~held))).withColumn("held_out", held)
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+ORACLE["op5_benchmark_decontamination"] = f"""
+with items as (select item_id, {_ALNUM} w from benchmark),
+  windows as (select distinct item_id, least(13, len(w)) size, array_to_string(w[i : i + 12], ' ') win
+    from (select item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) i from items where len(w) > 0)),
+  docs as (select doc_id, {_ALNUM} w from documents),
+  cuts as (select doc_id, size, i, array_to_string(w[i : i + size - 1], ' ') win
+    from (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) i from docs, (select distinct size from windows) where len(w) >= size)),
+  hits as (select doc_id, i, c.size, item_id from cuts c join windows v on c.win = v.win and c.size = v.size),
+  covered as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(i, i + size)) p from hits) group by doc_id),
+  named as (select doc_id, count(distinct item_id) n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) ids from hits group by doc_id)
+select d.doc_id, len(w)::bigint n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(ids, '')) items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
+from docs d left join covered c on c.doc_id = d.doc_id left join named n on n.doc_id = d.doc_id
+"""
+
+ORACLE["op9_minhash_near_dedup"] = f"""
+with recursive docs as (select doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') w from documents),
+  shingles as (select distinct doc_id, array_to_string(w[i : i + 4], ' ') s
+    from (select doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) i from docs where len(w) > 0)),
+  sizes as (select doc_id, count(*) n from shingles group by doc_id),
+  pairs as (select a.doc_id a, b.doc_id b, count(*) k from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by all),
+  links as (select a, b from pairs join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * k >= 75 * (x.n + y.n - k)),
+  ways as (select a, b from links union all select b, a from links),
+  reach as (select doc_id, doc_id r from sizes union select ways.b, reach.r from reach join ways on ways.a = reach.doc_id),
+  least_id as (select doc_id, min(r) c from reach group by doc_id)
+select d.doc_id, coalesce(n, 0) n_shingles, coalesce(c, d.doc_id) component_id, d.doc_id = coalesce(c, d.doc_id) kept
+from docs d left join sizes z on z.doc_id = d.doc_id left join least_id l on l.doc_id = d.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The ten queries, and the pipeline."""
     import corpus_pipeline

@@ -15,9 +15,26 @@ from pyspark.sql.column import Column
 from wayfield.session import shared_folder
 
 
+_MADE: list[str] = []
+
+
 def fresh(spark: SparkSession, name: str) -> str:
-    """A new folder of its own for one call."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder of its own for one call; it stays until ``release``."""
+    _MADE.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Remove the folders that this session's calls made (from the ``since``-th on), once their results have been used."""
+    for folder in [f for f in _MADE[since:] if f not in keep]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _MADE.remove(folder)
+
+
+def made() -> int:
+    """How many folders there are now; a mark for ``release``."""
+    return len(_MADE)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -49,7 +49,7 @@ def sentences(data: np.ndarray, words: Words, longest: int = LONGEST) -> np.ndar
     starts = np.flatnonzero(first)
     size = np.diff(np.append(starts, n))
     if (size > longest).any():
-        cut = words.hashes % np.uint64(longest // 3) == 0
+        cut = words.hashes % np.uint64(max(1, longest // 12)) == 0
         inside = np.repeat(size > longest, size)
         first |= cut & inside
         starts = np.flatnonzero(first)
@@ -140,8 +140,10 @@ def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     # the first place of a hash: ids in order, a missing id last, then the text's key and the sentence
     place = F.struct(F.col("id").isNull().alias("none"), "id", "text_key", "at")
     repeated = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("hash")
-    repeated = written(rows.join(repeated, "hash"), "repeated")
-    later = repeated.join(repeated.groupBy("hash").agg(F.min(place).alias("first")), "hash").filter(place != F.col("first")).select("id", "text_key", "at", "n").distinct()
+    # both sides of a join are tables of their own: Spark splits a hot key only where no aggregate sits below the join
+    repeated = written(rows.join(written(repeated, "hashes"), "hash"), "repeated")
+    firsts = written(repeated.groupBy("hash").agg(F.min(place).alias("first")), "firsts")
+    later = repeated.join(firsts, "hash").filter(place != F.col("first")).select("id", "text_key", "at", "n").distinct()
     covered = later.groupBy("id", "text_key").agg(F.collect_set(F.struct("at", "n")).alias("s"))
     return covered.select("id", "text_key", F.expr("array_sort(array_distinct(flatten(transform(s, x -> sequence(x.at, x.at + x.n - 1)))))").alias("cut"))
 
@@ -150,7 +152,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """``docs`` with repeated passages cut out of the text, and n_sentences, n_removed, chars_removed."""
     docs = docs.drop(*(c for c in NEW if c not in (id_col, text)))
     cuts = written(repeated_sentences(docs, id_col, text, span, least, alone), "cuts")
-    joined = docs.select(F.struct("*").alias("d")).join(cuts.alias("c"), F.expr(f"d.`{id_col}` <=> c.id and xxhash64(coalesce(d.`{text}`, '')) = c.text_key"), "left").select("d.*", F.col("c.cut").alias("cut_of_row"))
+    joined = docs.select(F.struct("*").alias("d")).join(cuts.hint("merge").alias("c"), F.expr(f"d.`{id_col}` <=> c.id and xxhash64(coalesce(d.`{text}`, '')) = c.text_key"), "left").select("d.*", F.col("c.cut").alias("cut_of_row"))
     new = [T.StructField(c, T.LongType()) for c in NEW]
     schema = T.StructType([*docs.schema.fields, *new])
     return joined.mapInArrow(_cut(text, "cut_of_row", schema.names), schema)
