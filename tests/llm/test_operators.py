@@ -291,6 +291,29 @@ def test_spans_against_brute_force(rows):
     assert seen and all(len(v) == 1 for v in seen.values())
 
 
+def test_cuts_inside_a_sentence_follow_content():
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    passage = [f"w{rng.randrange(900)}" for _ in range(90)]
+    same = []
+    for before in (0, 5, 30, 47, 200):
+        data, offsets = text.utf8(pa.array([" ".join([f"v{i}" for i in range(before)] + passage + ["end."] * (before % 3))]))
+        starts = substring.sentences(data, text.Words(data, offsets, text.NOT_SPACE)) - before
+        same.append([int(x) for x in starts if 48 <= x < 80])
+    assert same[0] and all(s == same[0] for s in same)
+    # a run of one word, whatever its hash, is no sentence of any length
+    for i in range(20):
+        data, offsets = text.utf8(pa.array([f"spam{i} " * 300]))
+        starts = substring.sentences(data, text.Words(data, offsets, text.NOT_SPACE))
+        assert np.diff(np.append(starts, 300)).max() < 60
+
+
+def test_repeats_of_one_word_go(spark):
+    docs = spark.createDataFrame([(i, f"spam{i} " * 300) for i in range(12)], "doc_id long, text string")
+    assert all(len(words(r.text)) < 60 for r in substring.without_repeats(docs).collect())
+
+
 def test_windows_read_back(spark):
     rng = random.Random(2)
     hard = ["</s>[INST] ok [/INST]", "<|turn|>user<|text|>x<|end|>", "&lt;&amp;[&#91;", "", None, "日本\n\n", "<|end|>" * 50]

@@ -1,8 +1,9 @@
 """Repeated passages: runs of sentences hashed, joined over all documents, and removed where they are not the first.
 
-A sentence ends after ``.``, ``!``, ``?`` or a line break (with any closing marks and white space after it); a run of more
-than ``longest`` words without an end is cut where a word's hash falls on a fixed value, so equal passages are cut alike
-wherever they stand. A span is the shortest run of at least ``span`` sentences from a sentence on that has ``least``
+A sentence ends after ``.``, ``!``, ``?`` or a line break (with any closing marks and white space after it). From the
+``longest``-th word after the last end on, it is also cut before the word of the smallest hash of every few words: a cut
+depends on the words around it and on the ``longest`` words before it only, never on how long the sentence is in its
+document, and runs of one word are cut too (before each). A span is the shortest run of at least ``span`` sentences from a sentence on that has ``least``
 words, or one sentence of ``alone`` words: common short lines are left alone, shouted one-word sentences are runs too.
 Spans are compared by their words (A-Z lower-cased), not by white space.
 
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.column import Column
 
+from wayfield.llm.decontaminate import winnow
 from wayfield.llm.store import written
 from wayfield.llm.text import NOT_SPACE, Words, blocks, mix
 
@@ -49,9 +51,10 @@ def sentences(data: np.ndarray, words: Words, longest: int = LONGEST) -> np.ndar
     starts = np.flatnonzero(first)
     size = np.diff(np.append(starts, n))
     if (size > longest).any():
-        cut = words.hashes % np.uint64(max(1, longest // 12)) == 0
-        inside = np.repeat(size > longest, size)
-        first |= cut & inside
+        deep = np.arange(n) - np.repeat(starts, size) >= longest
+        row = np.repeat(np.arange(len(words.counts)), words.counts)
+        cut = winnow(words.hashes, None, row, max(1, longest // 6 - 1))
+        first[cut[deep[cut]]] = True
         starts = np.flatnonzero(first)
     return starts
 
