@@ -314,6 +314,28 @@ def test_repeats_of_one_word_go(spark):
     assert all(len(words(r.text)) < 60 for r in substring.without_repeats(docs).collect())
 
 
+def test_passages_are_cut_whole_wherever_they_are_pasted(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(60):
+        n = rng.choice([50, 53, 60, 90, 200])
+        marked = rng.random() < 0.7
+        p = [f"p{i}x{j}" + (rng.choice(["", "", "", ".", ".\n"]) if marked else "") for j in range(n)]
+        for copy in range(3):  # pasted inside a sentence, after text without an end mark
+            before = [f"a{i}c{copy}x{j}" + ("." if j % 11 == 9 else "") for j in range(rng.choice([0, 7, 22, 71]))]
+            after = [f"b{i}c{copy}x{j}" + ("." if j % 9 == 8 else "") for j in range(rng.choice([0, 5, 40]))]
+            rows.append((3 * i + copy, " ".join(before + p + after), " ".join(before + after)))
+    # sentences of 31, 6 and 16 words, the first one glued to other text in the copy
+    shared, glued = " ".join(f"s{j}" + ("." if j in (30, 36, 52) else "") for j in range(53)), " ".join(f"u{j}" for j in range(22))
+    rows += [(900, shared, shared), (901, f"{glued} {shared}", glued)]
+    got = {r.doc_id: r for r in substring.without_repeats(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    for i, whole, rest in rows:
+        if i == 900 or i < 900 and i % 3 == 0:
+            assert got[i].text == whole and not got[i].n_removed
+        else:
+            assert words(got[i].text) == words(rest) and got[i].n_removed, i
+
+
 def test_windows_read_back(spark):
     rng = random.Random(2)
     hard = ["</s>[INST] ok [/INST]", "<|turn|>user<|text|>x<|end|>", "&lt;&amp;[&#91;", "", None, "日本\n\n", "<|end|>" * 50]
