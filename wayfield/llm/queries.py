@@ -1,4 +1,4 @@
-"""The queries op1 to op10: each applies one operator, with production parameters, to its whole table."""
+"""The queries op1 to op13: each applies one operator, with production parameters, to its whole table."""
 
 from __future__ import annotations
 
@@ -129,6 +129,77 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs.filter(~held))).withColumn("held_out", held)
 
 
+@query
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per distinct prefix of the rebuilt conversations: members, children, leaves, savings and who ends there."""
+    from wayfield.llm.trie import prefix_trie, shared_heads, turn_digests
+
+    return prefix_trie(*shared_heads(turn_digests(table(spark, sf_dir, "conversations"))))
+
+
+ORACLE["op11_conversation_trie"] = """
+with recursive t as (select conv_id c, coalesce(role, '') r, coalesce(text, '') x, row_number() over (partition by conv_id order by turn nulls first) - 1 n from conversations),
+  lens as (select c, count(*) len, c - c % 100 base from t group by c),
+  bits as (select c::varchar || '' s, c, 0 i, 4294967295::bigint v from lens union all
+    select s, c, i + 1, list_reduce(range(8), lambda a, k: case when a & 1 = 1 then xor(a >> 1, 3988292384::bigint) else a >> 1 end, xor(v, ascii(s[i + 1])::bigint)) from bits where i < length(s)),
+  heads as (select l.c, l.base, xor(v, 4294967295::bigint) % 6 h from lens l join bits b on b.c = l.c and b.i = length(b.s)),
+  got as (select h.c, h.base, h.h, least(h.h, coalesce(l.len, 0)) g from heads h left join lens l on l.c = h.base),
+  turns as (select g.c, t.n, r, x from got g join t on t.c = g.base and t.n < g.h union all select g.c, t.n - g.h + g.g, r, x from got g join t on t.c = g.c and t.n >= g.h),
+  paths as (select c, n + 1 d, length(x) size, string_agg(sha256(length(r) || ':' || r || x), '') over (partition by c order by n rows between unbounded preceding and current row) k from turns
+    union all select c, 0, 0, '' from lens),
+  keyed as (select c, d, size, sha256(k) k, lag(sha256(k)) over (partition by c order by d) p, max(d) over (partition by c) last from paths),
+  nodes as (select k, any_value(p) p, any_value(d) d, any_value(size) size, min(c) c, count(*) n,
+    sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (where d = last), '')) ends from keyed group by k),
+  kids as (select p, count(*) n from nodes where p is not null group by p),
+  worth as (select nodes.c, d, (nodes.n - 1) * size saved, (kids.p is null)::bigint leaf from nodes left join kids on kids.p = nodes.k),
+  sums as (select q.k, sum(saved)::bigint saved, sum(leaf)::bigint leaves from worth w join keyed q on q.c = w.c and q.d <= w.d group by q.k)
+select nodes.c conv_id, nodes.d depth, above.c::double parent_conv_id, nodes.n n_convs, coalesce(kids.n, 0) n_children, leaves n_leaves, saved saved_tokens, nodes.ends ends_sha256
+from nodes join sums on sums.k = nodes.k left join kids on kids.p = nodes.k left join nodes above on above.k = nodes.p
+"""
+
+
+@query
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars: the main text of every page, with weights learned from all pages that mark an article."""
+    from wayfield.llm.html import extract, weights
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract(pages, weights(pages))
+
+
+# what the rule comes to where every page marks its article and its blocks are headings and paragraphs
+ORACLE["op12_html_extraction"] = """
+with a as (select page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) x from pages),
+  b as (select page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '\\s+', ' ', 'g'), '<br>', ' ', 'g'), '</?(h1|p)>', chr(10), 'g'), '<[^>]*>', '', 'g') x from a),
+  c as (select page_id, url, list_filter(list_transform(string_split(x, chr(10)), lambda l: trim(regexp_replace(l, ' +', ' ', 'g'))), lambda l: l <> '') w from b),
+  d as (select page_id, url, replace(replace(replace(regexp_replace(array_to_string(w, chr(10)), '&quot;?', '"', 'g'), '&lt;', '<'), '&gt;', '>'), '&#x27;', chr(39)) x from c)
+select page_id, url, regexp_replace(x, '&amp;?', '&', 'g') "text", length(regexp_replace(x, '&amp;?', '&', 'g')) n_chars from d
+"""
+
+
+@query
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256 of all documents."""
+    from wayfield.llm.fim import fill_in_middle, restored
+
+    made = fill_in_middle(table(spark, sf_dir, "documents"))
+    back = restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+ORACLE["op13_fill_in_middle"] = """
+with d as (select doc_id, coalesce(text, '') x, sha256('1:' || doc_id::varchar) s from documents),
+  t as (select *, regexp_extract_all(x, '[A-Za-z]+|[^A-Za-z]') w, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(s, i, 8))::bigint) h from d),
+  u as (select *, len(w) n, least(h[1] % (len(w) + 1), h[2] % (len(w) + 1)) i, greatest(h[1] % (len(w) + 1), h[2] % (len(w) + 1)) j,
+    case when x = '' or contains(x, '<P>') or contains(x, '<S>') or contains(x, '<M>') or h[3] % 100 >= 90 then 'plain' when h[4] % 100 < 20 then 'spm' else 'psm' end form from t),
+  v as (select *, array_to_string(w[1:i], '') p, array_to_string(w[i + 1 : j], '') m, array_to_string(w[j + 1 : n], '') e from u)
+select doc_id, n::bigint n, form, case when form <> 'plain' then length(p) end::double prefix_chars, case when form <> 'plain' then length(m) end::double middle_chars,
+  sha256(case form when 'plain' then x when 'psm' then '<P>' || p || '<S>' || e || '<M>' || m else '<S>' || e || '<P>' || p || '<M>' || m end) output_sha256,
+  sha256(x) restored_sha256
+from v
+"""
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
@@ -163,7 +234,7 @@ from docs d left join sizes z on z.doc_id = d.doc_id left join least_id l on l.d
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """The ten queries, and the pipeline."""
+    """The queries, and the pipeline."""
     import corpus_pipeline
 
     return dict(QUERIES) | {"pipeline": corpus_pipeline.run}
