@@ -1,12 +1,11 @@
 """Neighbour joins between points and the smoothness of a mapping over neighbour graphs.
 
 Points meet through square buckets, never all against all. Points at one place are merged first, a crowded bucket is
-salted, and nearest neighbours start from buckets fine enough to hold a few places each.
+salted, and nearest neighbours are searched in a quadtree that is as deep as the places are dense.
 """
 
 from __future__ import annotations
 
-import logging
 import math
 from collections.abc import Sequence
 from functools import reduce
@@ -18,11 +17,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayfield.functions.numeric import hypot2
-from wayfield.plans.ordered import quantiles
+from wayfield.plans.ordered import in_order, quantiles
 from wayfield.session import cut_lineage
 
 BUCKET_ROWS = 50_000
-log = logging.getLogger(__name__)
 
 
 def _bucket(c: str, width: float | Column) -> Column:
@@ -73,83 +71,156 @@ def near_points_join(nodes: DataFrame, points: DataFrame, radius: float, on: Seq
     return nodes.join(hits, [*on, x, y], "left_semi")
 
 
-def knn_join(points: DataFrame, k: int, keys: Sequence[str] = (), x: str = "x", y: str = "y", row: str = "id", places_per_bucket: int | None = None) -> DataFrame:
+# quadtree: codes of 31 bits an axis; nodes at even levels, up to DEEPEST
+_BITS, DEEPEST, _BLOCK = 31, 30, 1 << 13
+
+
+def _spread_bits(v: Column) -> Column:
+    """Bit i of a 31-bit number moved to bit 2i."""
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+    return v
+
+
+def _bit_length(v: np.ndarray) -> np.ndarray:
+    high = v >> 31
+    return np.where(high > 0, 31 + np.frexp(high.astype(float))[1], np.frexp((v & 0x7FFFFFFF).astype(float))[1])
+
+
+def _leaf_levels(codes: np.ndarray, crowd: int) -> np.ndarray:
+    """For each of the rising codes the coarsest even level whose cell around it has at most ``crowd`` codes.
+
+    A cell is crowded if some code and the ``crowd``-th after it are both inside, that is if they share its prefix.
+    """
+    n = len(codes)
+    deepest = np.full(n, -1, dtype=np.int64)
+    if n > crowd:
+        shared = _BITS - (_bit_length(codes[:-crowd] ^ codes[crowd:]) + 1) // 2
+        for back in range(crowd + 1):
+            np.maximum(deepest[back : n - crowd + back], shared, out=deepest[back : n - crowd + back])
+    return np.minimum((deepest + 2) // 2 * 2, DEEPEST)
+
+
+def _place_levels(placed: DataFrame, keys: Sequence[str], crowd: int) -> DataFrame:
+    """``placed`` with ``level``: places in order of their codes, in blocks of ranks with ``crowd`` border rows on both sides."""
+    ranked = in_order(placed, keys, "code", ("x", "y"), index="_n")
+    at, block = F.pmod(F.col("_n"), F.lit(_BLOCK)), F.floor(F.col("_n") / _BLOCK)
+    shares = F.array_compact(F.array(block, F.when((at < crowd) & (block > 0), block - 1), F.when(at >= _BLOCK - crowd, block + 1)))
+    dealt = ranked.withColumn("_block", F.explode(shares))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_n", kind="stable")
+        pdf["level"] = _leaf_levels(pdf["code"].to_numpy(), crowd)
+        return pdf[pdf["_n"] // _BLOCK == pdf["_block"]].drop(columns=["_n", "_block"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema) + ", level long"
+    return dealt.groupBy(*keys, "_block").applyInPandas(run, schema)
+
+
+def knn_join(points: DataFrame, k: int, keys: Sequence[str] = (), x: str = "x", y: str = "y", row: str = "id", places_per_cell: int | None = None) -> DataFrame:
     """The ``k`` nearest other points of each point: ``i``, ``j``, ``distance``; equal distances go by id.
 
-    Places: the distinct positions of a group, each with its ``k + 1`` smallest ids, which is all any neighbour list
-    can need of it. Search: buckets start so fine that none holds more than
-    ``places_per_bucket`` places (2k + 4 if not given). A place is
-    finished when the distance of its k-th neighbour is within the reach its nine buckets cover for certain; the others
-    go on with wider buckets, until one bucket spans the group. A place is only joined where its nine buckets
-    hold enough points, so sparse stretches skip the fine levels without comparing anything.
+    Places: the distinct positions of a group, each with its ``k + 1`` smallest ids, which is all any neighbour list can
+    need of it. Tree: places in order of their Morton codes; only cells with more than ``places_per_cell`` places (2k + 4 if not
+    given) are split, in sixteen, so a dense spot is deep and the rest shallow. Every place has its own level: the cell above
+    its leaf holds more than k other places, so the k-th neighbour is no further than that cell's diagonal. It starts at the cells two
+    steps above its leaf that meet that circle, and descends: a node's places are candidates, its children stay if they
+    reach into the circle, and the circle shrinks to any child that alone holds enough points. All places take a step per
+    round, 15 rounds at most; most have finished after three. Places closer together than 2^-30 of a group's extent share a leaf.
     """
-    places_per_bucket = places_per_bucket or 2 * k + 4
-    keys = list(keys) or ["_all"]
-    base = points if keys != ["_all"] else points.withColumn("_all", F.lit(0))
-    base = base.select(*keys, F.col(row).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    crowd = max(places_per_cell or 2 * k + 4, k + 1)
+    # names of their own for the keys, which may be called like a column of the tree
+    named, keys = {f"_k{i}": c for i, c in enumerate(keys)}, [f"_k{i}" for i in range(len(keys))] or ["_all"]
+    group = [F.col(c).alias(k) for k, c in named.items()] or [F.lit(0).alias("_all")]
+    base = points.select(*group, F.col(row).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
     spot = [*keys, "x", "y"]
     ids = base.withColumn("_r", F.row_number().over(W.partitionBy(*spot).orderBy("id"))).filter(F.col("_r") <= k + 1)
     places = ids.groupBy(*spot).agg(F.sort_array(F.collect_list("id")).alias("ids"))
     sizes = base.groupBy(*spot).agg(F.count(F.lit(1)).alias("m"))
     extent = base.groupBy(*keys).agg(
-        F.min("x").alias("_x0"), F.min("y").alias("_y0"),
-        F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-300)).alias("_span"), F.count(F.lit(1)).alias("_total"),
+        F.min("x").alias("x0"), F.min("y").alias("y0"),
+        F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-300)).alias("span"), F.least(F.lit(k), F.count(F.lit(1)) - 1).alias("need"),
     )
-    placed = cut_lineage(places.join(sizes, spot).join(extent, keys))
-
-    def cell(level: int, c: str) -> Column:
-        share = (F.col(c) - F.col(f"_{c}0")) / F.col("_span")
-        return F.least(F.floor(share * F.lit(float(1 << level))), F.lit((1 << level) - 1))
-
-    # finest level that is needed: the first at which no bucket is crowded (24 halvings at most); one pass tries all
-    tried = list(range(25))
-    places_at = F.explode(F.array(*[F.struct(F.lit(v).alias("level"), cell(v, "x").alias("cx"), cell(v, "y").alias("cy")) for v in tried]))
-    crowd = placed.select(*keys, places_at.alias("_l")).groupBy(*keys, "_l").count().groupBy(F.col("_l.level").alias("level")).agg(F.max("count").alias("most"))
-    most = {r["level"]: r["most"] for r in crowd.collect()}
-    level = next((v for v in tried if most.get(v, 0) <= places_per_bucket), tried[-1])
-    n_places = placed.count()
-    need = F.least(F.lit(k), F.col("_total") - 1)
-    todo, found = placed, []
-    while True:
-        at = {"_cx": cell(level, "x"), "_cy": cell(level, "y")}
-        key = [*keys, "_cx", "_cy"]
-        around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-        counts = placed.withColumns(at).groupBy(*key).agg(F.sum("m").alias("_m"))
-        block = counts.withColumn("_i", around).withColumn("_j", around)
-        block = block.withColumns({"_cx": F.col("_cx") + F.col("_i"), "_cy": F.col("_cy") + F.col("_j")}).groupBy(*key).agg(F.sum("_m").alias("_near"))
-        asking = todo.withColumns(at).join(block, key).filter(F.col("_near") > need)
-        asking = asking.withColumn("_i", around).withColumn("_j", around)
-        asking = asking.withColumns({"_cx": F.col("_cx") + F.col("_i"), "_cy": F.col("_cy") + F.col("_j")})
-        asking = asking.select(*key, "x", "y", "_span", need.alias("_need"))
-        other = placed.withColumns(at).select(*key, F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("ids").alias("oids"))
-        pairs = asking.join(other, key).withColumn("distance", hypot2(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")))
-        # the k + 1 nearest points of a place (itself among them), ids in order within a place
-        listed = pairs.select(*spot, "_span", "_need", "distance", F.explode("oids").alias("j"))
-        w = W.partitionBy(*spot).orderBy("distance", "j")
-        top = listed.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k + 1)
-        lists = top.groupBy(*spot).agg(
-            F.array_sort(F.collect_list(F.struct("distance", "j"))).alias("near"), F.max("distance").alias("_last"), F.count(F.lit(1)).alias("_c"),
-            F.max("_span").alias("_span"), F.max("_need").alias("_need"),
-        )
-        reach = F.col("_span") / F.lit(float(1 << level))
-        done = (F.col("_c") > F.col("_need")) & (F.col("_last") <= reach) if level > 0 else F.lit(True)
-        lists = cut_lineage(lists.filter(done).select(*spot, "near"))
-        found.append(lists)
-        if level == 0:
-            break
-        todo = cut_lineage(todo.join(lists, spot, "left_anti"))
-        left = todo.count()
-        log.debug("level %d: %d places left of %d", level, left, n_places)
-        if left == 0:
+    joined = places.join(sizes, spot).join(extent, keys)
+    axis = {c: F.least(F.floor((F.col(c) - F.col(f"{c}0")) / F.col("span") * F.lit(float(1 << _BITS))), F.lit((1 << _BITS) - 1)) for c in "xy"}
+    placed = joined.withColumn("code", _spread_bits(axis["x"]).bitwiseOR(F.shiftleft(_spread_bits(axis["y"]), 1)))
+    placed = cut_lineage(_place_levels(cut_lineage(placed), keys, crowd))
+
+    def cell(code: str, level: Column) -> Column:
+        return F.call_function("shiftright", F.col(code), ((F.lit(_BITS) - level) * 2).cast("int"))
+
+    # nodes: leaves with their places, and everything above them with counts
+    node = [*keys, "level", "cell"]
+    own = cell("code", F.col("level")).alias("cell")
+    held = cut_lineage(placed.select(*keys, "level", own, F.struct("x", "y", "ids", "m").alias("place"), "x0", "y0", "span"))
+    leaves = held.groupBy(*node, "x0", "y0", "span").agg(F.sum("place.m").alias("m"))
+    up = F.explode(F.sequence(F.lit(0).cast("long"), F.col("level"), F.lit(2).cast("long")))
+    above = leaves.withColumn("_v", up).select(*keys, F.col("_v").alias("level"), F.call_function("shiftright", F.col("cell"), ((F.col("level") - F.col("_v")) * 2).cast("int")).alias("cell"), "m", (F.col("_v") == F.col("level")).alias("_own"))
+    nodes = cut_lineage(above.groupBy(*node).agg(F.sum("m").alias("m"), F.max("_own").alias("_own")))
+    children = nodes.filter("level > 0").select(*keys, (F.col("level") - 2).alias("level"), F.call_function("shiftright", F.col("cell"), F.lit(4)).alias("cell"), F.col("cell").alias("_child"), "m", F.col("_own").alias("_child_own"))
+
+    width = lambda level: F.col("span") * F.pow(F.lit(2.0), -level)
+    here = F.greatest(F.col("level") - 4, F.lit(0))
+    radius = F.when(F.col("level") >= 2, width(F.col("level") - 2) * F.lit(math.sqrt(2) * (1 + 1e-9))).otherwise(F.lit(float("inf")))
+    asked = placed.select(*spot, "x0", "y0", "span", "need", here.alias("level"), radius.alias("r"))
+    reach = {}
+    for c in "xy":
+        side = F.lit(1).cast("long") * F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level").cast("int"))
+        index = lambda v: F.least(F.greatest(F.floor((v - F.col(f"{c}0")) / width(F.col("level"))), F.lit(0).cast("long")), side - 1)  # noqa: B023, E731
+        low, high = index(F.col(c) - F.col("r")), index(F.col(c) + F.col("r"))
+        reach[c] = F.when(F.col("level") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(low, high))
+    asked = asked.withColumns({"_cx": reach["x"], "_cy": reach["y"]}).withColumn("_cx", F.explode("_cx")).withColumn("_cy", F.explode("_cy"))
+    asked = asked.withColumn("cell", _spread_bits(F.col("_cx")).bitwiseOR(F.shiftleft(_spread_bits(F.col("_cy")), 1))).drop("_cx", "_cy")
+    asked = cut_lineage(asked)
+
+    ask = [*spot, "need", "r"]
+    # leaves above the cells that a place starts from
+    starts = asked.select(*node).distinct().filter("level > 0")
+    upper = F.explode(F.sequence(F.lit(0).cast("long"), F.col("level") - 2, F.lit(2).cast("long"))).alias("_v")
+    chain = starts.select(*keys, F.col("level").alias("_from"), F.col("cell").alias("_start"), upper)
+    chain = chain.select(*keys, "_from", "_start", F.col("_v").alias("level"), F.call_function("shiftright", F.col("_start"), ((F.col("_from") - F.col("_v")) * 2).cast("int")).alias("cell"))
+    covered = chain.join(nodes.filter("_own").select(*node), node).select(*keys, F.col("level").alias("_over"), F.col("cell").alias("_over_cell"), F.col("_from").alias("level"), F.col("_start").alias("cell"))
+    found = [asked.join(covered, node).select(*ask, F.col("_over").alias("level"), F.col("_over_cell").alias("cell")).distinct()]
+    frontier = asked.join(nodes.select(*node, "_own"), node).select(*ask, "x0", "y0", "span", "level", "cell", "_own")
+    found.append(frontier.filter("_own").select(*ask, "level", "cell"))
+    for _ in range(DEEPEST // 2):
+        down = frontier.drop("_own").join(children, node).withColumns({"level": F.col("level") + 2, "cell": F.col("_child"), "_own": F.col("_child_own")})
+        near, far = _cell_distances(down, width(F.col("level")))
+        down = down.withColumns({"_near": near, "_far": far})
+        closer = F.min(F.when(F.col("m") > F.col("need"), F.col("_far"))).over(W.partitionBy(*spot))
+        down = down.withColumn("r", F.least("r", closer * F.lit(1 + 1e-9))).filter(F.col("_near") <= F.col("r"))
+        frontier = cut_lineage(down.select(*ask, "x0", "y0", "span", "level", "cell", "_own"))
+        if frontier.isEmpty():
             break
-        # a handful of stragglers takes two halvings back at a time
-        level = max(0, level - (2 if left * 50 < n_places else 1))
-    merged = found[0]
-    for f in found[1:]:
-        merged = merged.unionByName(f)
-    rows = base.join(merged, spot).select(*keys, F.col("id").alias("i"), F.slice(F.filter("near", lambda s: s["j"] != F.col("id")), 1, k).alias("near"))
+        found.append(frontier.filter("_own").select(*ask, "level", "cell"))
+    visits = reduce(DataFrame.unionByName, found)
+    pairs = visits.join(held.select(*node, "place"), node).withColumn("distance", hypot2(F.col("x") - F.col("place.x"), F.col("y") - F.col("place.y")))
+    pairs = pairs.filter(F.col("distance") <= F.col("r"))
+    # the k + 1 nearest points of a place (itself among them), ids in order within a place
+    listed = pairs.select(*spot, "distance", F.explode("place.ids").alias("j"))
+    top = listed.withColumn("_r", F.row_number().over(W.partitionBy(*spot).orderBy("distance", "j"))).filter(F.col("_r") <= k + 1)
+    lists = top.groupBy(*spot).agg(F.array_sort(F.collect_list(F.struct("distance", "j"))).alias("near"))
+    rows = base.join(lists, spot).select(*keys, F.col("id").alias("i"), F.slice(F.filter("near", lambda s: s["j"] != F.col("id")), 1, k).alias("near"))
     out = rows.select(*keys, "i", F.explode("near").alias("_s")).select(*keys, "i", F.col("_s.j").alias("j"), F.col("_s.distance").alias("distance"))
-    return out.drop("_all")
+    return out.drop("_all").withColumnsRenamed(named)
+
+
+def _cell_distances(df: DataFrame, width: Column) -> tuple[Column, Column]:
+    """Distance from (x, y) to the nearest and to the furthest point of the cell, a little widened against rounding."""
+
+    def axis(c: str, shift: int) -> Column:
+        v = F.shiftright("cell", shift).bitwiseAND(F.lit(0x5555555555555555))
+        for step, mask in ((1, 0x3333333333333333), (2, 0x0F0F0F0F0F0F0F0F), (4, 0x00FF00FF00FF00FF), (8, 0x0000FFFF0000FFFF), (16, 0x00000000FFFFFFFF)):
+            v = v.bitwiseOR(F.shiftright(v, step)).bitwiseAND(F.lit(mask))
+        return F.col(f"{c}0") + v * width
+
+    slack = F.col("span") * F.lit(1e-12)
+    gaps, spans = [], []
+    for c, shift in (("x", 0), ("y", 1)):
+        low = axis(c, shift)
+        gaps.append(F.greatest(low - slack - F.col(c), F.col(c) - (low + width + slack), F.lit(0.0)))
+        spans.append(F.greatest(F.col(c) - (low - slack), low + width + slack - F.col(c)))
+    return hypot2(*gaps), hypot2(*spans)
 
 
 def grid_neighbour_join(points: DataFrame, keys: Sequence[str] = (), neighbours: int = 8, weighted: bool = True, x: str = "x", y: str = "y", row: str = "id") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wayfield.operators.affine import decompose_affine, moment_aggs, solve_moments
 from wayfield.operators.decoding import column_suffixes
+from wayfield.operators.outlines import Outlines, with_inside_table
 from wayfield.operators.rooms import Polygon, with_inside
 
 
@@ -74,6 +75,10 @@ def mapping_fits(
     moments come from one aggregate.
     """
     rows = centred_pairs(pair_rows(wide, pairs, [p.name for p in polygons], room, mode, keep=keys), polygons)
+    return _fits(rows, keys, min_points)
+
+
+def _fits(rows: DataFrame, keys: Sequence[str], min_points: int) -> DataFrame:
     by = [*keys, "source_room", "target_room"]
     moments = moment_aggs(F.col("sx"), F.col("sy"), F.col("tx"), F.col("ty"), F.col("inside"))
     sums = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_points"), *moments)
@@ -86,9 +91,34 @@ def mapping_stats(
     room: str = "room", mode: str = "both", min_points: int = 10, cm_per_unit: float = 1.0,
 ) -> DataFrame:
     """The eight-column table: rooms, fit quality, angle, reflection and stretch of each pair's map."""
-    fits = mapping_fits(wide, pairs, polygons, keys, room, mode, min_points)
+    return _stats(mapping_fits(wide, pairs, polygons, keys, room, mode, min_points), keys, cm_per_unit)
+
+
+def _stats(fits: DataFrame, keys: Sequence[str], cm_per_unit: float) -> DataFrame:
     return fits.select(
         *keys, "source_room", "target_room", F.col("r2").alias("affinity_r2"),
         (F.col("rmse") * F.lit(float(cm_per_unit))).alias("rmse_cm"),
         "angle_deg", "reflection", "max_eigenvalue", "min_eigenvalue",
     )
+
+
+def centred_pairs_table(rows: DataFrame, outlines: Outlines, keys: Sequence[str], room: str = "room") -> DataFrame:
+    """``centred_pairs`` against each session's own outlines, with the rooms that a room excludes cut out of it."""
+    for side, out in (("source_room", "s"), ("target_room", "t")):
+        names = {**{k: k for k in keys}, room: side}
+        rows = with_inside_table(rows, outlines, names, f"{out}x", f"{out}y", out=f"_in_{out}", centroid=(f"_c{out}x", f"_c{out}y"))
+    rows = rows.withColumns({"inside": F.col("_in_s") & F.col("_in_t")} | {f"{a}{c}": F.col(f"{a}{c}") - F.col(f"_c{a}{c}") for a in "st" for c in "xy"})
+    return rows.drop("_in_s", "_in_t", "_csx", "_csy", "_ctx", "_cty")
+
+
+def mapping_stats_table(
+    wide: DataFrame, pairs: Sequence[tuple[str, str]], outlines: Outlines, keys: Sequence[str],
+    room: str = "room", mode: str = "both", min_points: int = 10, cm_per_unit: float = 1.0,
+) -> DataFrame:
+    """``mapping_stats`` over sessions with outlines of their own (an index on ``keys`` and ``room``), in one job.
+
+    A pair's points inside both outlines of their session are centred on those outlines' centroids.
+    """
+    rooms = sorted({r for pair in pairs for r in pair})
+    rows = centred_pairs_table(pair_rows(wide, pairs, rooms, room, mode, keep=keys), outlines, keys, room)
+    return _stats(_fits(rows, keys, min_points), keys, cm_per_unit)
