@@ -125,6 +125,46 @@ def test_fold_decoder_against_normal_equations(spark):
         np.testing.assert_allclose(part["x_pred"], np.c_[np.ones(len(test)), test[["f1", "f2"]]] @ w, atol=1e-8)
 
 
+def test_fold_decoder_with_five_hundred_features(spark):
+    rng = np.random.default_rng(12)
+    n, d = 1500, 500
+    x = rng.normal(size=(n, d))
+    y = x @ rng.normal(size=(d, 2)) + 0.1 * rng.normal(size=(n, 2))
+    names = [f"c{i}" for i in range(d)]
+    pdf = pd.DataFrame(x, columns=names).assign(s="one", row_id=range(n), room=np.where(rng.random(n) < 0.6, "A", "B"), fold=rng.integers(1, 3, n), x=y[:, 0], y=y[:, 1])
+    pdf.loc[0, "c7"] = np.nan
+    packed = pdf.drop(columns=names).assign(cells=pdf[names].to_numpy().tolist())
+    got = D.fold_decoder(spark.createDataFrame(packed).repartition(6), ["s"], "cells", ["x", "y"], ridge=1.0, rows_per_chunk=200).toPandas()
+    assert len(got) == 2 * n and got["x_pred"].isna().sum() == 2
+    good = pdf.dropna()
+    for (fold, room), part in got.groupby(["fold", "predicted_room"]):
+        train = good[(good["fold"] != fold) & (good["room"] == room)]
+        design = np.c_[np.ones(len(train)), train[names]]
+        w = np.linalg.solve(design.T @ design + np.eye(d + 1), design.T @ train[["x", "y"]])
+        part = part.dropna().sort_values("row_id")
+        test = good.set_index("row_id").loc[part["row_id"]]
+        np.testing.assert_allclose(part[["x_pred", "y_pred"]], np.c_[np.ones(len(test)), test[names]] @ w, atol=1e-6)
+
+
+def test_knn_in_a_dense_spot_with_far_outliers(spark):
+    rng = np.random.default_rng(14)
+    spot = 3.0 + rng.normal(size=(700, 2)) * 1e-6
+    xy = np.r_[spot, rng.random((60, 2)) * 1e4, np.stack([np.arange(40.0), np.zeros(40)], axis=1), np.full((30, 2), 7.5)]
+    pdf = pd.DataFrame({"g": 1, "id": np.arange(len(xy)), "x": xy[:, 0], "y": xy[:, 1]})
+    got = G.knn_join(spark.createDataFrame(pdf.sample(frac=1, random_state=1)).repartition(5), 4, ["g"]).toPandas()
+    assert {(int(a), int(b)) for a, b in zip(got["i"], got["j"])} == brute_knn(pdf, 4)
+
+
+def test_leaf_levels_split_crowded_cells_only():
+    rng = np.random.default_rng(2)
+    codes = np.sort(np.r_[rng.integers(0, 1 << 62, 300), (1 << 61) + rng.integers(0, 1 << 12, 50)])
+    levels = G._leaf_levels(codes, 5)
+    count = lambda level, code: int((codes >> 2 * (31 - level) == code >> 2 * (31 - level)).sum())
+    for level, code in zip(levels.tolist(), codes.tolist(), strict=True):
+        assert level % 2 == 0 and (level == G.DEEPEST or count(level, code) <= 5)
+        assert level == 0 or count(level - 2, code) > 5
+
+
 def test_border_length_is_the_connected_part(spark):
     walls = spark.createDataFrame([("R", x, y, 1.0 if x == 0 else 2.0) for x in range(2) for y in range(6)], "room string, bx int, by int, distance double")
     values = {(0, 0): 10.0, (0, 1): 5.0, (0, 3): 9.0, (1, 5): 1.0}

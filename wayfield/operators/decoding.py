@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
+
+from wayfield.session import cut_lineage
 
 
 def column_suffixes(rooms: Sequence[str]) -> dict[str, str]:
@@ -69,63 +74,166 @@ def test_rows(df: DataFrame, set_name: str = "set_name", room: str = "actual_roo
     return out.filter(F.col(room) != "All") if room in out.columns else out
 
 
+#: Numbers in one piece of a packed matrix, and numbers that a task holds before it hands its sums on.
+PIECE, HELD = 4096, 1 << 23
+
+
+def _design(rows: pd.DataFrame) -> np.ndarray:
+    """(1, features) of each row; a missing feature is NaN."""
+    return np.column_stack([np.ones(len(rows)), np.stack([np.asarray(f, dtype=float) for f in rows["_f"]])])
+
+
+def _packed_features(features: str | Sequence[str]) -> Column:
+    return F.col(features).cast("array<double>") if isinstance(features, str) else F.array(*[F.col(f).cast("double") for f in features])
+
+
+def _gram_pieces(by: Sequence[str], targets: Sequence[str]):
+    """Sums of products of one task's rows by group, packed and cut into pieces."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def out() -> Iterator[pd.DataFrame]:
+            for key, packed in held.items():
+                pieces = [packed[i : i + PIECE] for i in range(0, len(packed), PIECE)]
+                table = pd.DataFrame([key] * len(pieces), columns=list(by))
+                yield table.assign(_piece=range(len(pieces)), _sums=pieces)
+            held.clear()
+
+        for pdf in batches:
+            for key, rows in pdf.groupby(list(by), dropna=False, sort=False):
+                x = _design(rows)
+                whole = np.isfinite(x).all(axis=1)
+                x, y = x[whole], rows[list(targets)].to_numpy(float)[whole]
+                d = x.shape[1]
+                products = x.T @ np.column_stack([x, y])
+                packed = np.concatenate([products[:, :d][np.triu_indices(d)], products[:, d:].ravel()])
+                key = tuple(None if pd.isna(k) else k for k in key)
+                held[key] = held[key] + packed if key in held else packed
+            if sum(map(len, held.values())) > HELD:
+                yield from out()
+        yield from out()
+
+    return run
+
+
+def _added(pieces: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Pieces of equal ``by`` added up, as a stream: a task holds one sum, however many there are to add."""
+    names = [*by, "_sums"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total, done = None, None, []
+
+        def packed() -> pa.RecordBatch:
+            columns = list(zip(*[(*k, v) for k, v in done], strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, kinds, strict=True)], schema=pa.schema(kinds))
+
+        kinds: list[pa.Field] = []
+        for batch in batches:
+            kinds = [pa.field(n, batch.schema.field(n).type) for n in by] + [pa.field("_sums", pa.list_(pa.float64()))]
+            sums, keys = batch.column("_sums"), list(zip(*(batch.column(n).to_pylist() for n in by), strict=True))
+            for i, k in enumerate(keys):
+                values = sums[i].values.to_numpy(zero_copy_only=False)
+                if k == key:
+                    total += values
+                    continue
+                if key is not None:
+                    done.append((key, total))
+                key, total = k, values.copy()
+                if len(done) >= 64:
+                    yield packed()
+                    done.clear()
+        if key is not None:
+            done.append((key, total))
+            yield packed()
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.select(*by).schema) + ", _sums array<double>"
+    return pieces.select(*names).repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema)
+
+
+def gram_sums(df: DataFrame, by: Sequence[str], features: str | Sequence[str], targets: Sequence[str]) -> DataFrame:
+    """by…, _piece, _sums: the products of (1, features) with (1, features, targets) summed over each group.
+
+    A task adds up matrix products per Arrow batch and hands on one packed matrix per group, cut into pieces. Pieces of
+    a group are added in two steps, first by the task's salt, so a group that every task holds meets in many tasks.
+    """
+    data = df.select(*by, _packed_features(features).alias("_f"), *targets).dropna(subset=["_f", *targets])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in data.select(*by).schema) + ", _piece int, _sums array<double>"
+    pieces = data.mapInPandas(_gram_pieces(by, targets), schema).withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(64)))
+    return _added(_added(pieces, [*by, "_piece", "_salt"]), [*by, "_piece"])
+
+
+def solve_ridge(packed: np.ndarray, d: int, m: int, ridge: float) -> np.ndarray:
+    """Weights (d by m) from packed sums, by Cholesky; a matrix that is not positive definite is solved by least squares."""
+    gram = np.zeros((d, d))
+    gram[np.triu_indices(d)] = packed[: d * (d + 1) // 2]
+    gram = gram + np.triu(gram, 1).T + ridge * np.eye(d)
+    rhs = packed[d * (d + 1) // 2 :].reshape(d, m)
+    try:
+        low = np.linalg.cholesky(gram)
+    except np.linalg.LinAlgError:
+        return np.linalg.lstsq(gram, rhs, rcond=None)[0]
+    return np.linalg.solve(low.T, np.linalg.solve(low, rhs))
+
+
 def fold_decoder(
-    df: DataFrame, keys: Sequence[str], features: Sequence[str], targets: Sequence[str], room: str = "room",
-    fold: str = "fold", row: str = "row_id", ridge: float = 1e-3,
+    df: DataFrame, keys: Sequence[str], features: str | Sequence[str], targets: Sequence[str], room: str = "room",
+    fold: str = "fold", row: str = "row_id", ridge: float = 1e-3, rows_per_chunk: int = 50_000,
 ) -> DataFrame:
     """Train and predict: a ridge decoder per (keys, held-out fold, room), applied to the fold's rows of every room.
 
-    Normal equations are sums of products, so a decoder for "all folds but f" is the total minus fold f: one aggregate
-    over the data gives every decoder, however large a room or fold is. Only the tiny per-decoder systems are solved
-    in Python; predictions are column arithmetic again.
+    Normal equations are sums of products, so a decoder for "all folds but f" is the total minus fold f: one pass over
+    the data gives every decoder, however large a room or fold is, for hundreds of features. A decoder's matrix is
+    gathered in one task, and is as large as the square of the features. Rows to predict are dealt to chunks, each of
+    which meets its fold's decoders once, so a prediction is one matrix product per chunk.
+
+    ``features`` names the feature columns, or one array column with all of them, as long in every row.
 
-    Result: keys, fold, row, actual_room, predicted_room, targets, ``<target>_pred``.
+    Result: keys, fold, row, actual_room, predicted_room, targets, ``<target>_pred``. Rows that miss a feature are not
+    learned from and have missing predictions; a room without rows in a fold trains on all its rows.
     """
     keys = list(keys)
     if not keys:
         raise ValueError("give at least one key, such as the session or the offset")
-    design = ["_one", *features]
-    data = df.withColumn("_one", F.lit(1.0)).dropna(subset=[*features, *targets])
-    pairs = [(i, j) for i in range(len(design)) for j in range(i, len(design))]
-    sums = [F.sum(F.col(design[i]) * F.col(design[j])).alias(f"g_{i}_{j}") for i, j in pairs]
-    sums += [F.sum(F.col(f) * F.col(t)).alias(f"b_{i}_{k}") for i, f in enumerate(design) for k, t in enumerate(targets)]
-    names = [f"g_{i}_{j}" for i, j in pairs] + [f"b_{i}_{k}" for i in range(len(design)) for k in range(len(targets))]
-    by_fold = data.groupBy(*keys, room, fold).agg(*sums)
-    total = by_fold.groupBy(*keys, room).agg(*[F.sum(n).alias(f"t_{n}") for n in names])
+    m = len(targets)
+    by_fold = cut_lineage(gram_sums(df, [*keys, room, fold], features, targets))
+    total = _added(by_fold, [*keys, room, "_piece"]).withColumnRenamed("_sums", "_total")
     folds = by_fold.select(*keys, fold).distinct()
-    # every (room, fold) pair of the same keys; a room without rows in a fold trains on all its rows
-    grid = total.join(folds, keys)
-    train = grid.join(by_fold, [*keys, room, fold], "left").select(
-        *keys, F.col(room).alias("predicted_room"), fold,
-        *[(F.col(f"t_{n}") - F.coalesce(F.col(n), F.lit(0.0))).alias(n) for n in names],
-    )
-    d, m = len(design), len(targets)
-    weights = [f"w_{i}_{k}" for i in range(d) for k in range(m)]
-
-    def solve(batches):
-        for pdf in batches:
-            gram = np.zeros((len(pdf), d, d))
-            rhs = np.zeros((len(pdf), d, m))
-            for i, j in pairs:
-                gram[:, i, j] = gram[:, j, i] = pdf[f"g_{i}_{j}"].to_numpy()
-            for i in range(d):
-                for k in range(m):
-                    rhs[:, i, k] = pdf[f"b_{i}_{k}"].to_numpy()
-            gram += ridge * np.eye(d)
-            w = np.linalg.solve(gram, rhs)
-            solved = pdf.drop(columns=names)
-            yield pd.concat(
-                [solved.reset_index(drop=True), pd.DataFrame(w.reshape(len(pdf), -1), columns=weights)], axis=1
-            )
-
-    head = train.drop(*names).schema
-    for w in weights:
-        head = head.add(w, "double")
-    decoders = train.mapInPandas(solve, head)
-    test = df.select(*keys, fold, row, F.col(room).alias("actual_room"), *features, *targets)
-    joined = test.join(decoders, [*keys, fold])
-    predictions = [
-        (F.col(f"w_0_{k}") + sum((F.col(f"w_{i + 1}_{k}") * F.col(f) for i, f in enumerate(features)), F.lit(0.0))).alias(f"{t}_pred")
-        for k, t in enumerate(targets)
-    ]
-    return joined.select(*keys, fold, row, "actual_room", "predicted_room", *targets, *predictions)
+    grid = total.join(folds, keys).join(by_fold, [*keys, room, fold, "_piece"], "left")
+    rest = F.when(F.col("_sums").isNull(), F.col("_total")).otherwise(F.zip_with("_total", "_sums", lambda a, b: a - b))
+    train = grid.select(*keys, F.col(room).alias("predicted_room"), fold, "_piece", rest.alias("_sums"))
+    which = [*keys, "predicted_room", fold]
+    head = train.select(*which).schema.add("_w", ArrayType(DoubleType()))
+
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        packed = np.concatenate([np.asarray(v) for v in pdf.sort_values("_piece")["_sums"]])
+        # d (d + 1) / 2 + d m numbers
+        d = round((math.sqrt((1 + 2 * m) ** 2 + 8 * len(packed)) - 1 - 2 * m) / 2)
+        return pd.DataFrame([[*key, solve_ridge(packed, d, m, ridge).ravel()]], columns=[*which, "_w"])
+
+    decoders = cut_lineage(train.groupBy(*which).applyInPandas(solve, head))
+    test = df.select(*keys, fold, row, F.col(room).alias("actual_room"), _packed_features(features).alias("_f"), *targets)
+    on = [*keys, fold]
+    chunks = cut_lineage(test.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_chunk)).alias("_chunks")))
+    dealt = test.join(chunks, on).withColumn("_chunk", F.pmod(F.xxhash64(*test.columns), F.col("_chunks"))).drop("_chunks")
+    sent = decoders.join(chunks, on).withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1))).drop("_chunks")
+    made = [f"{t}_pred" for t in targets]
+    schema = dealt.select(*on, row, "actual_room").schema.add("predicted_room", head["predicted_room"].dataType)
+    for t in targets:
+        schema = schema.add(t, dealt.schema[t].dataType)
+    for t in made:
+        schema = schema.add(t, "double")
+
+    def predict(rows: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(models):
+            return pd.DataFrame({f.name: pd.Series(dtype=object) for f in schema})
+        d = len(models["_w"][0]) // m
+        missing = np.full(d - 1, np.nan)
+        x = _design(rows.assign(_f=[missing if f is None else f for f in rows["_f"]]))
+        parts = []
+        for name, w in zip(models["predicted_room"], models["_w"], strict=True):
+            found = pd.DataFrame(x @ np.asarray(w).reshape(d, m), columns=made, index=rows.index)
+            parts.append(pd.concat([rows[[*on, row, "actual_room"]].assign(predicted_room=name), rows[list(targets)], found], axis=1))
+        return pd.concat(parts)
+
+    return dealt.groupBy(*on, "_chunk").cogroup(sent.groupBy(*on, "_chunk")).applyInPandas(predict, schema)
