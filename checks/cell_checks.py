@@ -98,20 +98,48 @@ def corr_by_hd(spark, sf):
     return C.corr_by_hd(V.activity(spark, sf).withColumn("_b", F.lit(1)), ["_b"], 12).drop("_b")
 
 
-@check("norm_clusters")
+define("vectors", "select vec_id cell, list_transform(embedding, lambda v: v::double) e from embeddings")
+
+
+@check(
+    "norm_clusters",
+    """with recursive s as (select cell, e, list_transform(e, lambda v: case when v*v/list_max(list_transform(e, lambda w: w*w))>0.1::double then v else 0 end) kept,
+        row_number() over (order by list_dot_product(e, e) desc, cell desc) k from vectors),
+      st as (select cell, e, 0 label, 0::bigint k from vectors union all
+        select cell, e, case when seed_free and n>=5 and most<100 and hit then most+1 else label end, k+1 from (
+          select *, bool_or(cell=seed and label=0) over () seed_free, count(*) filter (where hit) over () n, max(label) over () most from (
+            select st.cell, st.e, label, st.k, s.cell seed, label=0 and list_dot_product(st.e, s.kept)>list_dot_product(s.kept, s.kept)/2 hit from st join s on s.k=st.k+1)))
+      select cell, label::int "cluster" from st where k=(select count(*) from vectors)""",
+)
 def norm_clusters(spark, sf):
     return C.norm_clusters(V.vectors(spark, sf), min_cells=5)
 
 
-@check("merge_clusters")
+define("day_hours", 'select floor("timestamp"/86400)::bigint cell, floor("timestamp"/3600)::bigint%24 hr, avg(rate) rate from activity group by all')
+define("day_corr", "select a.cell cell_a, b.cell cell_b, corr(a.rate, b.rate) r from day_hours a join day_hours b on a.hr=b.hr and a.cell<b.cell group by all")
+
+
+@check(
+    "merge_clusters",
+    """with recursive st as (
+        select cell_a, cell_b, r, floor(cell_a/3)::int la, floor(cell_b/3)::int lb, 0 k from day_corr union all
+        select cell_a, cell_b, r, case when la=gone then keep else la end, case when lb=gone then keep else lb end, k+1 from st, (
+          select ca keep, cb gone from (
+            select m.ca, m.cb, m.m, greatest(x.m, y.m) top, least(x.m, y.m) low
+            from (select least(la, lb) ca, greatest(la, lb) cb, avg(r) m from st group by all) m
+            join (select la c, avg(r) m from st where la=lb group by la) x on x.c=m.ca join (select la c, avg(r) m from st where la=lb group by la) y on y.c=m.cb
+            where m.ca<>m.cb) where (m/top>0.5 and low/top<0.5) or top<0.02 order by m desc, ca, cb limit 1) p),
+      f as (select * from st where k=(select max(k) from st))
+      select distinct cell, "cluster" from (select cell_a cell, la "cluster" from f union all select cell_b, lb from f)""",
+)
 def merge_clusters(spark, sf):
-    """Cells are the days of the recording, their labels the week; correlation over the hours of the day."""
+    """Cells are the days of the recording, three to a cluster; correlation over the hours of the day."""
     daily = V.activity(spark, sf).groupBy(
         F.floor(F.col("timestamp") / 86400).alias("cell"), F.pmod(F.floor(F.col("timestamp") / 3600), F.lit(24)).alias("hour")
     ).agg(F.avg("rate").alias("rate"))
     corr = C.corr_by_block(daily.withColumn("_b", F.lit(1)), ["_b"], "hour")
-    clusters = daily.select("cell").distinct().select("cell", F.floor(F.col("cell") / 5).cast("int").alias("cluster"))
-    return C.merge_clusters(corr, clusters)
+    clusters = daily.select("cell").distinct().select("cell", F.floor(F.col("cell") / 3).cast("int").alias("cluster"))
+    return C.merge_clusters(corr, clusters, weak=0.02)
 
 
 @check("latent_pca")
@@ -229,3 +257,27 @@ def peak_bin(spark, sf):
 def first_groups(spark, sf):
     p = V.pred_long(spark, sf).select("row_key", "offset_no", "fold", "actual_room", "predicted_room")
     return C.first_groups(p, ["fold", "offset_no", "actual_room", "predicted_room"], 7)
+
+
+@check(
+    "corr_by_block_labels",
+    """with c as (select a.block, 'Cell_'||a.cell cell_a, 'Cell_'||b.cell cell_b, count(*) n, corr(a.rate, b.rate) r
+      from hourly a join hourly b on a.block=b.block and a."hour"=b."hour" and 'Cell_'||a.cell<='Cell_'||b.cell group by all)
+      select block, cell_a, cell_b, case when n<2 or isnan(r) then 0 else coalesce(r, 0) end r from c""",
+    "r",
+)
+def corr_by_block_labels(spark, sf):
+    """Cells named as in session tables."""
+    return C.corr_by_block(hourly(spark, sf).withColumn("cell", F.concat(F.lit("Cell_"), "cell")), ["block"], "hour")
+
+
+@check(
+    "corr_by_hd_labels",
+    """with t as (select cell, floor(((hd+15)%360)/30)::int ai, avg(rate) v from activity group by all),
+      g as (select 'Cell_'||c.cell cell, i.ai, coalesce(v, 0) v from (select distinct cell from t) c, (select unnest(range(12)) ai) i left join t on t.cell=c.cell and t.ai=i.ai)
+      select a.cell cell_a, b.cell cell_b, corr(a.v, b.v) r from g a join g b on a.ai=b.ai and a.cell<=b.cell group by all""",
+    "r",
+)
+def corr_by_hd_labels(spark, sf):
+    named = V.activity(spark, sf).withColumns({"_b": F.lit(1), "cell": F.concat(F.lit("Cell_"), "cell")})
+    return C.corr_by_hd(named, ["_b"], 12).drop("_b")

@@ -137,7 +137,8 @@ def melt_predictions(spark, sf):
     "x_pred_A y_pred_A x_pred_B y_pred_B x_pred_a2 y_pred_a2",
 )
 def pivot_predictions(spark, sf):
-    return D.pivot_predictions(V.pred_long(spark, sf), KEYS, ROOM_NAMES, "row_key")
+    wide = D.pivot_predictions(V.pred_keyed(spark, sf), [*V.ROW, *KEYS[1:]], ROOM_NAMES, "offset_no")
+    return wide.selectExpr(V.ROW_KEY, "* except (" + ", ".join(V.ROW) + ")")
 
 
 @check(

@@ -86,17 +86,20 @@ def knn_laplacian(spark, sf):
 
 @check(
     "residual_energy",
-    """with r as (select g.id, g.tx-(a*g.sx+b*g.sy+f.tx) rx, g.ty-(c*g.sx+d*g.sy+f.ty) ry from gpoints g join room_fit f on f.room='A' and f.fold=1),
-      g as (select d.cell, d.id, d.d, rx, ry from gdeg d join r on r.id=d.id)
-      select cell, n, o-x energy from (select cell, count(*) n, sum(d*(rx^2+ry^2)) o from g group by cell)
-      join (select e.cell, sum(w*(a.rx*b.rx+a.ry*b.ry)) x from gedges e join g a on a.id=e.i join g b on b.id=e.j group by e.cell) using (cell)""",
+    """with r as (select f.room, f.fold, g.id, g.tx-(a*g.sx+b*g.sy+f.tx) rx, g.ty-(c*g.sx+d*g.sy+f.ty) ry from gpoints g join room_fit f on true),
+      g as (select d.cell, room, fold, d.id, d.d, rx, ry from gdeg d join r on r.id=d.id)
+      select cell, room, fold, n, o-x energy from (select cell, room, fold, count(*) n, sum(d*(rx^2+ry^2)) o from g group by all)
+      join (select e.cell, a.room, a.fold, sum(w*(a.rx*b.rx+a.ry*b.ry)) x from gedges e join g a on a.id=e.i join g b on b.id=e.j and b.room=a.room and b.fold=a.fold group by all)
+        using (cell, room, fold)""",
     "energy",
 )
 def residual_energy(spark, sf):
-    fit = room_fit(spark, sf).filter("room = 'A' and fold = 1").select("a", "b", F.col("tx").alias("mx"), "c", "d", F.col("ty").alias("my"), F.lit(1).alias("_k"))
-    pts = gpoints(spark, sf).withColumn("_k", F.lit(1)).join(fit, "_k")
+    # a fit per room and fold: all of them are one row's array, which every point unfolds
+    fit = room_fit(spark, sf).select("room", "fold", "a", "b", F.col("tx").alias("mx"), "c", "d", F.col("ty").alias("my"))
+    fits = fit.agg(F.collect_list(F.struct(*fit.columns)).alias("_f")).withColumn("_k", F.lit(1))
+    pts = gpoints(spark, sf).withColumn("_k", F.lit(1)).join(fits, "_k").selectExpr("* except (_f, _k)", "inline(_f)")
     pts = pts.withColumns({"rx": F.expr("tx - (a*sx + b*sy + mx)"), "ry": F.expr("ty - (c*sx + d*sy + my)")})
-    return G.residual_energy(pts.select("id", "cell", "sx", "sy", "rx", "ry"), 6, ["cell"])
+    return G.residual_energy(pts.select("id", "cell", "room", "fold", "sx", "sy", "rx", "ry"), 6, ["cell"], per=["room", "fold"])
 
 
 define("lattice", "select row_id id, cell, floor(x*40) sx, floor(y*40) sy, hd/10 tx, rate/10 ty from positions")

@@ -404,7 +404,27 @@ def border_score(spark, sf):
     return M.border_score(smooth, walls, ["cell"], 0.3, end=4, max_width=None, min_width=1)
 
 
-@check("border_length")
+define(
+    "border_field",
+    """select b.cell, b.room, w.bx, w."by", case when m."value">0 and m."value">=q.q then m."value" else 0 end v
+      from border_best b join wall_nodes w on w.room=b.room and w.distance>b.start and w.distance<=b.stop
+        left join smooth_maps m on m.cell=b.cell and m.room=b.room and m.bx=w.bx and m."by"=w."by"
+        join (select m.cell, m.room, quantile_cont(m."value", 0.3) q from smooth_maps m join wall_nodes w on w.room=m.room and w.bx=m.bx and w."by"=m."by"
+          where m."value">0 group by all) q on q.cell=b.cell and q.room=b.room""",
+)
+
+
+@check(
+    "border_length",
+    """with recursive f as (select *, max(v) over (partition by cell, room) peak,
+        row_number() over (partition by cell, room order by v desc, "by", bx) k from border_field),
+      strong as (select * from f where peak>0 and v>=0.3*peak),
+      fill as (select cell, room, bx, "by" from strong where k=1 union
+        select s.cell, s.room, s.bx, s."by" from fill join strong s on s.cell=fill.cell and s.room=fill.room and abs(s.bx-fill.bx)<=1 and abs(s."by"-fill."by")<=1)
+      select a.cell, a.room, coalesce(c, 0)/n length_score from (select cell, room, count(*) n from f group by all) a
+      left join (select cell, room, count(*) c from fill group by all) b on b.cell=a.cell and b.room=a.room""",
+    "length_score",
+)
 def border_length(spark, sf):
     smooth, walls = border_inputs(spark, sf)
     scores = M.border_score(smooth, walls, ["cell"], 0.3, end=4, max_width=None, min_width=1)

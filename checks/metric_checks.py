@@ -126,7 +126,8 @@ define(
     _ALL + " rmse",
 )
 def decoder_ensemble_metrics(spark, sf):
-    return M.decoder_ensemble_metrics(scored(spark, sf), GROUPS[:2])
+    keyed = V.pred_keyed(spark, sf).withColumnsRenamed({"predicted_room": "project", "actual_room": "room"})
+    return M.decoder_ensemble_metrics(keyed, GROUPS[:2], row=V.ROW)
 
 
 @check(

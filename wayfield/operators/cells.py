@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import inspect
 from collections.abc import Sequence
 
 import numpy as np
@@ -9,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from wayfield.functions.numeric import corr_from_sums, finite, ratio
 from wayfield.operators.maps import hd_sectors, mean_map, smooth_map
@@ -33,6 +36,44 @@ def _flat(pdf: pd.DataFrame, names: Sequence[str]) -> tuple[np.ndarray, list[np.
     return rows, [np.concatenate([np.asarray(a) for a in pdf[n]]) if len(pdf) else np.array([]) for n in names]
 
 
+def coded(df: DataFrame, keys: Sequence[str], cell: str) -> tuple[DataFrame, DataFrame | None]:
+    """``df`` with dense codes for cells that are not whole numbers, and the codes' labels per group, in label order.
+
+    The dictionary has a row per cell of a group. Rows without a cell go.
+    """
+    if isinstance(df.schema[cell].dataType, IntegralType):
+        return df, None
+    labels = df.select(*keys, F.col(cell).alias("_label")).dropna(subset=["_label"]).distinct()
+    names = cut_lineage(labels.withColumn("_code", F.dense_rank().over(W.partitionBy(*(keys or [F.lit(0)])).orderBy("_label")).cast("bigint")))
+    left = df.withColumnRenamed(cell, "_label")
+    return left.join(names, [*keys, "_label"]).withColumnRenamed("_code", cell).drop("_label"), names
+
+
+def labelled(pairs: DataFrame, names: DataFrame | None, keys: Sequence[str]) -> DataFrame:
+    """Cell pairs with the labels in place of the codes."""
+    if names is None:
+        return pairs
+    for c in ("cell_a", "cell_b"):
+        pairs = pairs.join(names.withColumnRenamed("_code", c), [*keys, c]).drop(c).withColumnRenamed("_label", c)
+    return pairs.select(*keys, "cell_a", "cell_b", *[c for c in pairs.columns if c not in (*keys, "cell_a", "cell_b")])
+
+
+def by_label(fn):
+    """A pair operator over whole-number cells, made to take and return cells of any type that can be ordered."""
+
+    @functools.wraps(fn)
+    def run(df: DataFrame, keys: Sequence[str], *args, **options) -> DataFrame:
+        bound = inspect.signature(fn).bind(df, keys, *args, **options)
+        bound.apply_defaults()
+        cell = bound.arguments.get("cell", "cell")
+        rows, names = coded(df, list(keys), cell)
+        bound.arguments["df"] = rows
+        return labelled(fn(*bound.args, **bound.kwargs), names, list(keys))
+
+    return run
+
+
+@by_label
 def pair_sums(df: DataFrame, keys: Sequence[str], row: str, cell: str, value: str) -> DataFrame:
     """Pairwise-complete sums for every cell pair (a <= b) that meets in a frame: n, sx, sy, sxx, syy, sxy.
 
@@ -119,6 +160,7 @@ def corr_zero_filled(df: DataFrame, keys: Sequence[str], row: str, cell: str, va
     return both.select(*keys, "cell_a", "cell_b", r.alias("r"))
 
 
+@by_label
 def corr_phase_shift(df: DataFrame, keys: Sequence[str], row: str, block_rows: int, max_shift: int = 3, cell: str = "cell", value: str = "rate") -> DataFrame:
     """Largest correlation of each cell pair over shifts of up to ``max_shift`` rows, blocks padded with zeros.
 
@@ -140,6 +182,7 @@ def corr_phase_shift(df: DataFrame, keys: Sequence[str], row: str, block_rows: i
     return pair.groupBy(*keys, "cell_a", "cell_b").agg(F.max("r").alias("r"))
 
 
+@by_label
 def corr_by_position(df: DataFrame, keys: Sequence[str], n: int = 34, lo: float = 0.0, hi: float = 1.0, value: str = "rate", sigma: float = 2.0, kernel_size: int = 8) -> DataFrame:
     """Correlation of the cells' smoothed mean-rate maps over all n*n bins, per block."""
     by = [*keys, "cell"]
@@ -147,6 +190,7 @@ def corr_by_position(df: DataFrame, keys: Sequence[str], n: int = 34, lo: float
     return corr_zero_filled(smooth.withColumn("bin", F.col("bx") * n + F.col("by")), keys, "bin", "cell", "value", n * n)
 
 
+@by_label
 def corr_by_hd(df: DataFrame, keys: Sequence[str], sectors: int = 36, value: str = "rate", hd: str = "hd") -> DataFrame:
     """Correlation of the cells' mean rates over head-direction sectors, per block."""
     return corr_zero_filled(hd_sectors(df, [*keys, "cell"], sectors, value, hd), keys, "ai", "cell", "value", sectors)
@@ -163,8 +207,12 @@ def norm_clusters(
     A free cell belongs to a seed when it is nearer to it than to the origin over the seed's significant dimensions,
     which is one dot product. A seed with fewer than ``min_cells`` members is passed over (and may still join a later
     cluster). The whole state is the list of accepted seeds, at most ``max_clusters`` vectors: a cell's label is the
-    first of them it belongs to. Each pass tries many seeds at once and stops at the first that is accepted, so the
-    number of passes is about the number of clusters, none of them shuffles cells, and no lineage grows.
+    first of them it belongs to. None of the passes shuffles cells, and no lineage grows.
+
+    A round tries ``seeds_per_pass`` free seeds at once. Seeds with too few members even alone are out. The others are
+    counted as if every seed before them were accepted, each cell counting for the first that it belongs to. That holds up to the
+    first seed with too few members; beyond it counts are lower bounds, which still accept, so a round ends only at a
+    seed that lacks members or freedom because of one passed over.
     """
     base = df.select(F.col(cell).alias("cell"), F.col(embedding).cast("array<double>").alias("e"))
     norm = F.aggregate("e", F.lit(0.0), lambda a, v: a + v * v)
@@ -191,15 +239,25 @@ def norm_clusters(
                 yield pdf[labels_of(matrix(pdf), seeds, cuts) == 0]
         return keep
 
-    def count_members(seeds, cuts, tests, levels):
+    def count_members(seeds, cuts, tests, levels, first_only: bool):
         def count(batches):
+            total = np.zeros(len(tests), dtype="int64")
             for pdf in batches:
                 x = matrix(pdf)
-                free = labels_of(x, seeds, cuts) == 0
-                hits = (x[free] @ np.stack(tests).T > np.array(levels)).sum(axis=0) if free.any() else np.zeros(len(tests), dtype=int)
-                yield pd.DataFrame({"seed": np.arange(len(tests)), "n": hits.astype("int64")})
+                x = x[labels_of(x, seeds, cuts) == 0]
+                if not len(x):
+                    continue
+                hits = x @ np.stack(tests).T > np.array(levels)
+                total += np.bincount(hits.argmax(axis=1)[hits.any(axis=1)], minlength=len(tests)) if first_only else hits.sum(axis=0)
+            yield pd.DataFrame({"seed": np.arange(len(tests)), "n": total})
         return count
 
+    def counted(tests: list[np.ndarray], levels: list[float], first_only: bool) -> list[int]:
+        # one row per seed and task
+        rows = base.mapInPandas(count_members(list(normals), list(limits), tests, levels, first_only), "seed int, n bigint").groupBy("seed").agg(F.sum("n").alias("n"))
+        sizes = {r["seed"]: r["n"] for r in rows.collect()}
+        return [sizes.get(i, 0) for i in range(len(tests))]
+
     after = None
     while len(normals) < max_clusters:
         pool = ranked if after is None else ranked.filter((F.col("norm") < after[0]) | ((F.col("norm") == after[0]) & (F.col("cell") < after[1])))
@@ -208,15 +266,33 @@ def norm_clusters(
         batch = free.orderBy(F.desc("norm"), F.desc("cell")).limit(seeds_per_pass).collect()
         if not batch:
             break
-        tests, levels = zip(*[member_test(np.array(r["e"])) for r in batch])
-        counted = base.mapInPandas(count_members(list(normals), list(limits), tests, levels), "seed int, n bigint").groupBy("seed").agg(F.sum("n").alias("n"))
-        sizes = {r["seed"]: r["n"] for r in counted.collect()}
-        taken = next((i for i in range(len(batch)) if sizes.get(i, 0) >= min_cells), None)
-        stop = len(batch) - 1 if taken is None else taken
+        vectors = [np.array(r["e"]) for r in batch]
+        tests, levels = (list(v) for v in zip(*map(member_test, vectors)))
+        alone = counted(tests, levels, False)
+        # as if all of them were accepted: a seed that an earlier one holds would not be free
+        assumed: list[int] = []
+        for i, v in enumerate(vectors):
+            if alone[i] >= min_cells and not any(v @ tests[j] > levels[j] for j in assumed):
+                assumed.append(i)
+        sizes = dict(zip(assumed, counted([tests[i] for i in assumed], [levels[i] for i in assumed], True))) if assumed else {}
+        passed_over, stop = False, len(batch) - 1
+        taken: list[int] = []
+        for i, v in enumerate(vectors):
+            if alone[i] < min_cells or any(v @ tests[j] > levels[j] for j in taken):
+                continue
+            if len(normals) + len(taken) >= max_clusters:
+                break
+            if sizes.get(i, 0) >= min_cells:
+                taken.append(i)
+            elif i in sizes and not passed_over:
+                passed_over = True
+            else:
+                # it hangs on a seed that was passed over: the next round starts with it
+                stop = i - 1
+                break
         after = (batch[stop]["norm"], batch[stop]["cell"])
-        if taken is not None:
-            normals.append(tests[taken])
-            limits.append(levels[taken])
+        normals += [tests[i] for i in taken]
+        limits += [levels[i] for i in taken]
 
     def assign(batches):
         for pdf in batches:
@@ -225,41 +301,59 @@ def norm_clusters(
     return base.mapInPandas(assign, base.select("cell").schema.add("cluster", "integer"))
 
 
-def merge_clusters(corr: DataFrame, clusters: DataFrame, threshold: float = 0.5, weak: float = 0.1) -> DataFrame:
+def merge_clusters(corr: DataFrame, clusters: DataFrame, threshold: float = 0.5, weak: float = 0.1, keys: Sequence[str] = (), max_clusters: int = 1000) -> DataFrame:
     """Merge clusters until no pair qualifies; the second label of a pair becomes the first (smaller) one.
 
-    ``corr(cell_a, cell_b, r)`` holds every unordered cell pair once, ``clusters(cell, cluster)`` one label per cell.
-    Pairs are tried in order of falling mean correlation. Cell pairs are summed to cluster pairs once; a merge adds up
-    sums, so later rounds only touch the small table of cluster pairs.
+    ``corr(keys…, cell_a, cell_b, r)`` holds every unordered cell pair of a group once, ``clusters(keys…, cell, cluster)`` one
+    label per cell. Pairs are tried in order of falling mean correlation. Cell pairs are summed to cluster pairs by one
+    aggregate; the matrix of sums, at most ``max_clusters`` a side (more raise an error), is merged in one task per group, as a
+    merge only adds up rows and columns of it.
     """
-    a = clusters.select(F.col("cell").alias("cell_a"), F.col("cluster").alias("ca"))
-    b = clusters.select(F.col("cell").alias("cell_b"), F.col("cluster").alias("cb"))
-    pairs = corr.filter("cell_a <> cell_b").join(a, "cell_a").join(b, "cell_b")
-
-    def total(df: DataFrame) -> DataFrame:
-        return df.groupBy(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-
-    table = cut_lineage(total(pairs.select("ca", "cb", F.col("r").alias("s"), F.lit(1).cast("bigint").alias("n"))))
-    mapping = cut_lineage(clusters.select("cluster").distinct().select("cluster", F.col("cluster").alias("merged")))
-    while True:
-        mean = table.withColumn("m", ratio("s", "n"))
-        intra = mean.filter("ca = cb").select(F.col("ca").alias("c"), F.col("m").alias("i"))
-        inter = mean.filter("ca <> cb").join(intra.select(F.col("c").alias("ca"), F.col("i").alias("ia")), "ca").join(
-            intra.select(F.col("c").alias("cb"), F.col("i").alias("ib")), "cb"
-        )
-        top, low = F.greatest("ia", "ib"), F.least("ia", "ib")
-        rule = ((F.try_divide(F.col("m"), top) > threshold) & (F.try_divide(low, top) < threshold)) | (top < weak)
-        first = inter.filter(rule).orderBy(F.desc("m"), "ca", "cb").select("ca", "cb").limit(1).collect()
-        if not first:
-            break
-        keep, gone = first[0]["ca"], first[0]["cb"]
-
-        def renamed(c: str) -> Column:
-            return F.when(F.col(c) == gone, F.lit(keep)).otherwise(F.col(c))
-
-        table = cut_lineage(total(table.select(renamed("ca").alias("ca"), renamed("cb").alias("cb"), "s", "n")))
-        mapping = cut_lineage(mapping.select("cluster", renamed("merged").alias("merged")))
-    return clusters.join(mapping, "cluster").select("cell", F.col("merged").cast("int").alias("cluster"))
+    named, keys = {f"_k{i}": c for i, c in enumerate(keys)}, [f"_k{i}" for i in range(len(keys))] or ["_all"]
+    group = [F.col(c).alias(k) for k, c in named.items()] or [F.lit(0).alias("_all")]
+    labels = clusters.select(*group, "cell", "cluster")
+    a = labels.withColumnsRenamed({"cell": "cell_a", "cluster": "ca"})
+    b = labels.withColumnsRenamed({"cell": "cell_b", "cluster": "cb"})
+    pairs = corr.filter("cell_a <> cell_b").select(*group, "cell_a", "cell_b", "r").join(a, [*keys, "cell_a"]).join(b, [*keys, "cell_b"])
+    sums = pairs.groupBy(*keys, F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).agg(F.sum("r").alias("s"), F.count(F.lit(1)).alias("n"))
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, at = np.unique(np.concatenate([pdf["ca"], pdf["cb"]]), return_inverse=True)
+        c = len(names)
+        if c > max_clusters:
+            raise ValueError(f"{c} clusters, at most {max_clusters} are merged")
+        i, j = at[: len(pdf)], at[len(pdf) :]
+        s, n = np.zeros((c, c)), np.zeros((c, c))
+        for m, v in ((s, pdf["s"].to_numpy(float)), (n, pdf["n"].to_numpy(float))):
+            m[i, j] = v
+            m[j, i] = v
+        merged, live = np.arange(c), np.ones(c, dtype=bool)
+        upper = np.triu(np.ones((c, c), dtype=bool), 1)
+        while True:
+            with np.errstate(divide="ignore", invalid="ignore"):
+                mean = s / n
+                intra = np.diag(mean)
+                top, low = np.maximum(intra[:, None], intra), np.minimum(intra[:, None], intra)
+                rule = ((mean / top > threshold) & (low / top < threshold) & (top != 0)) | (top < weak)
+            rule &= upper & live[:, None] & live & (n > 0) & np.isfinite(top)
+            if not rule.any():
+                break
+            # the highest mean; of equal ones the first pair of labels
+            keep, gone = np.unravel_index(np.argmax(np.where(rule, mean, -np.inf)), rule.shape)
+            for m in (s, n):
+                inner = m[keep, keep] + m[gone, gone] + m[keep, gone]
+                m[keep] += m[gone]
+                m[:, keep] = m[keep]
+                m[keep, keep] = inner
+            live[gone] = False
+            merged[merged == gone] = keep
+        first = pdf[keys].iloc[[0] * c].reset_index(drop=True)
+        return first.assign(cluster=names, merged=names[merged])
+
+    schema = labels.select(*keys, "cluster").schema.add("merged", labels.schema["cluster"].dataType)
+    mapping = sums.groupBy(*keys).applyInPandas(merge, schema)
+    out = labels.join(mapping, [*keys, "cluster"], "left")
+    return out.select(*keys, "cell", F.coalesce("merged", "cluster").cast("int").alias("cluster")).drop("_all").withColumnsRenamed(named)
 
 
 def latent_pca(df: DataFrame, k: int = 3, ids: Sequence[str] = ("cell",), vector: str = "embedding") -> DataFrame:

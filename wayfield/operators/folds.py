@@ -189,10 +189,23 @@ def temporal_fade(df: DataFrame, keys: Sequence[str] = ("session", "room"), time
 
 
 def dense_bins(bounds: DataFrame, keys: Sequence[str], lo: str = "lo", hi: str = "hi", name: str = "bin", chunk: int = 10_000) -> DataFrame:
-    """Every integer from ``lo`` to ``hi`` per row of ``bounds``, made in chunks so that no single array grows long."""
-    parts = bounds.withColumn("_c", F.explode(F.sequence(F.floor(F.col(lo) / chunk), F.floor(F.col(hi) / chunk))))
-    first, last = F.greatest(F.col(lo), F.col("_c") * chunk), F.least(F.col(hi), F.col("_c") * chunk + (chunk - 1))
-    return parts.withColumn(name, F.explode(F.sequence(first, last))).select(*keys, name)
+    """Every integer from ``lo`` to ``hi`` per row of ``bounds``, made in chunks so that no single array grows long.
+
+    Stretches of a hundred chunks are dealt to all tasks before they are filled, so the bins of one long trace are made
+    by many. The number of tasks is given, as Spark would merge the few short rows that stand for them.
+    """
+    spark = bounds.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    far = chunk * 100
+    dealt = bounds.select(*keys, F.col(lo).alias("_lo"), F.col(hi).alias("_hi"), F.explode(F.sequence(F.floor(F.col(lo) / far), F.floor(F.col(hi) / far))).alias("_f"))
+    dealt = dealt.repartition(tasks, *keys, "_f")
+
+    def stretches(df: DataFrame, width: int, place: str) -> DataFrame:
+        first, last = F.greatest(F.col("_lo"), F.col(place) * width), F.least(F.col("_hi"), F.col(place) * width + (width - 1))
+        return df.withColumns({"_lo": first, "_hi": last})
+
+    parts = stretches(dealt, far, "_f").withColumn("_c", F.explode(F.sequence(F.floor(F.col("_lo") / chunk), F.floor(F.col("_hi") / chunk))))
+    return stretches(parts, chunk, "_c").select(*keys, F.explode(F.sequence("_lo", "_hi")).alias(name))
 
 
 def binned_rates(df: DataFrame, width: float, keys: Sequence[str] = ("cell",), time: str = "timestamp") -> DataFrame:

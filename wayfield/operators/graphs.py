@@ -243,14 +243,17 @@ def _merge_edges(edges: DataFrame, keys: Sequence[str], half: bool) -> DataFrame
     return both.groupBy(*keys, "i", "j").agg((F.least(total / 2, F.lit(1.0)) if half else total).alias("w"))
 
 
-def graph_energy(edges: DataFrame, nodes: DataFrame, keys: Sequence[str], signals: Sequence[str], normalised: bool = True, epsilon: float = 1e-8, row: str = "id") -> DataFrame:
+def graph_energy(
+    edges: DataFrame, nodes: DataFrame, keys: Sequence[str], signals: Sequence[str], normalised: bool = True, epsilon: float = 1e-8, row: str = "id", per: Sequence[str] = ()
+) -> DataFrame:
     """``x' L x`` of each signal over a symmetric graph, the Frobenius norm of L, and the number of nodes per group.
 
-    For the normalised Laplacian with s = 1 / (sqrt(d) + eps): energy = sum d s^2 x^2 - sum w s_i s_j x_i x_j.
+    For the normalised Laplacian with s = 1 / (sqrt(d) + eps): energy = sum d s^2 x^2 - sum w s_i s_j x_i x_j. ``per`` names columns
+    that tell several signals over the same nodes apart; the graph of ``keys`` serves them all.
     """
-    keys = list(keys)
-    degree = edges.groupBy(*keys, "i").agg(F.sum("w").alias("_d"))
-    full = nodes.select(*keys, F.col(row).alias("i"), *signals).join(degree, [*keys, "i"], "left").withColumn("_d", F.coalesce("_d", F.lit(0.0)))
+    graph, keys = list(keys), [*keys, *per]
+    degree = edges.groupBy(*graph, "i").agg(F.sum("w").alias("_d"))
+    full = nodes.select(*keys, F.col(row).alias("i"), *signals).join(degree, [*graph, "i"], "left").withColumn("_d", F.coalesce("_d", F.lit(0.0)))
     s = F.lit(1.0) / (F.sqrt("_d") + F.lit(epsilon)) if normalised else F.lit(1.0)
     full = full.withColumn("_s", s)
     own = full.groupBy(*keys).agg(
@@ -259,7 +262,7 @@ def graph_energy(edges: DataFrame, nodes: DataFrame, keys: Sequence[str], signal
     )
     a = full.select(*keys, "i", F.col("_s").alias("_si"), *[F.col(c).alias(f"_i_{c}") for c in signals])
     b = full.select(*keys, F.col("i").alias("j"), F.col("_s").alias("_sj"), *[F.col(c).alias(f"_j_{c}") for c in signals])
-    wide = edges.join(a, [*keys, "i"]).join(b, [*keys, "j"]).withColumn("_w", F.col("w") * F.col("_si") * F.col("_sj"))
+    wide = edges.join(a, [*graph, "i"]).join(b, [*keys, "j"]).withColumn("_w", F.col("w") * F.col("_si") * F.col("_sj"))
     cross = wide.groupBy(*keys).agg(
         F.sum(F.col("_w") * F.col("_w")).alias("_f2"), *[F.sum(F.col("_w") * F.col(f"_i_{c}") * F.col(f"_j_{c}")).alias(f"_x_{c}") for c in signals]
     )
@@ -309,20 +312,24 @@ def grid_laplacian(points: DataFrame, keys: Sequence[str], neighbours: int = 8,
     )
 
 
-def residual_energy(points: DataFrame, k: int, keys: Sequence[str], x: str = "sx", y: str = "sy", rx: str = "rx", ry: str = "ry", row: str = "id") -> DataFrame:
-    """Laplacian energy of affine residuals (rx, ry) over the source's neighbour graph."""
-    edges = kernel_edges(points, k, keys, x, y, row)
-    e = graph_energy(edges, points, keys, [rx, ry], normalised=False, row=row)
-    return e.select(*keys, "n", (F.col(f"e_{rx}") + F.col(f"e_{ry}")).alias("energy"))
+def residual_energy(points: DataFrame, k: int, keys: Sequence[str], x: str = "sx", y: str = "sy", rx: str = "rx", ry: str = "ry", row: str = "id", per: Sequence[str] = ()) -> DataFrame:
+    """Laplacian energy of affine residuals (rx, ry) over the source's neighbour graph.
+
+    ``per`` names the columns of the map that left the residuals (as room and fold), where points have a row for each of several.
+    """
+    places = points.select(*keys, row, x, y).distinct() if per else points
+    edges = kernel_edges(places, k, keys, x, y, row)
+    e = graph_energy(edges, points, keys, [rx, ry], normalised=False, row=row, per=per)
+    return e.select(*keys, *per, "n", (F.col(f"e_{rx}") + F.col(f"e_{ry}")).alias("energy"))
 
 
 def map_laplacian(pairs: DataFrame, keys: Sequence[str], n_bins: int) -> DataFrame:
     """Smoothness change from map ``a`` to map ``b`` over the complete graph of n_bins-by-n_bins bins.
 
-    The graph depends on the map size only and is built once per task; a map is one array of at most n_bins^2 values.
-    Missing bins count as 0.
+    A weight depends on the distance between two bins alone, so the matrix is block-Toeplitz: it is applied by FFT of its
+    circulant embedding (2 n_bins a side) and never written out. A map is one array of at most n_bins^2 values. Missing
+    bins count as 0.
     """
-    size = n_bins * n_bins
     packed = pairs.groupBy(*keys).agg(F.collect_list(F.struct((F.col("by") * n_bins + F.col("bx")).cast("int").alias("k"), F.coalesce("a", F.lit(0.0)).alias("a"), F.coalesce("b", F.lit(0.0)).alias("b"))).alias("_s"))
 
     def part(name: str) -> Column:
@@ -332,25 +339,48 @@ def map_laplacian(pairs: DataFrame, keys: Sequence[str], n_bins: int) -> DataFra
     schema = pairs.select(*keys).schema.add("laplacian", "double")
 
     def score(batches):
-        axis = np.arange(n_bins, dtype=float)
-        xs, ys = np.tile(axis, n_bins), np.repeat(axis, n_bins)
-        distance = np.hypot(xs[:, None] - xs, ys[:, None] - ys)
-        weight = np.exp(-(distance**2) / (2 * np.median(distance) ** 2))
-        scale = 1 / np.sqrt(weight.sum(axis=1))
-        lap = (np.diag(weight.sum(axis=1)) - weight) * scale[:, None] * scale
-        norm = np.linalg.norm(lap)
+        graph = BinGraph(n_bins)
         for pdf in batches:
-            energy = []
-            for name in ("_a", "_b"):
-                m = np.zeros((len(pdf), size))
-                for r, (k, v) in enumerate(zip(pdf["_k"], pdf[name])):
-                    m[r, k] = v
-                energy.append(((m @ lap) * m).sum(axis=1))
-            yield pd.concat([pdf[list(keys)], pd.Series((energy[1] - energy[0]) / (norm * size), index=pdf.index, name="laplacian")], axis=1)
+            values = [graph.energy(k, b) - graph.energy(k, a) for k, a, b in zip(pdf["_k"], pdf["_a"], pdf["_b"])]
+            scaled = np.array(values, dtype=float) / (graph.norm * n_bins * n_bins)
+            yield pd.concat([pdf[list(keys)], pd.Series(scaled, index=pdf.index, name="laplacian")], axis=1)
 
     return arrays.mapInPandas(score, schema)
 
 
+class BinGraph:
+    """The normalised Laplacian of all bins of an n-by-n map, Gaussian weights with the median distance as width."""
+
+    def __init__(self, n: int):
+        self.n = n
+        step = np.minimum(np.arange(2 * n), 2 * n - np.arange(2 * n)).astype(float)
+        distance = np.hypot(step[:, None], step)
+        # pairs at each offset: (n - dx)(n - dy) for every sign
+        gap = np.arange(n, dtype=float)
+        times = np.outer(n - gap, n - gap) * np.outer(1 + (gap > 0), 1 + (gap > 0))
+        d = np.hypot(gap[:, None], gap).ravel()
+        order = np.argsort(d, kind="stable")
+        upto = np.cumsum(times.ravel()[order])
+        half = upto[-1] / 2
+        middle = [d[order[np.searchsorted(upto, r, side="left")]] for r in ((half, half + 1) if upto[-1] % 2 == 0 else (half + 0.5,))]
+        weight = np.exp(-(distance**2) / (2 * np.mean(middle) ** 2))
+        self.kernel, squared = np.fft.rfft2(weight), np.fft.rfft2(weight**2)
+        self.scale = 1 / np.sqrt(self._apply(self.kernel, np.ones((n, n))))
+        part = self.scale**2
+        self.norm = float(np.sqrt((part * self._apply(squared, part)).sum() + (1 - 2 * part).sum()))
+
+    def _apply(self, kernel: np.ndarray, values: np.ndarray) -> np.ndarray:
+        wide = np.fft.rfft2(values, s=(2 * self.n, 2 * self.n))
+        return np.fft.irfft2(wide * kernel, s=(2 * self.n, 2 * self.n))[: self.n, : self.n]
+
+    def energy(self, bins: np.ndarray, values: np.ndarray) -> float:
+        m = np.zeros(self.n * self.n)
+        m[bins] = values
+        m = m.reshape(self.n, self.n)
+        u = m * self.scale
+        return float((m * m).sum() - (u * self._apply(self.kernel, u)).sum())
+
+
 def map_stats(pairs: DataFrame, keys: Sequence[str], n_bins: int) -> DataFrame:
     """Correlation, divergences, marginal earth mover's distance and smoothness change of each map pair."""
     from wayfield.operators.maps import map_correlation, map_emd_marginal, map_js, map_kl

@@ -178,7 +178,7 @@ def decoder_room_metrics(
         *[c for a in axes for c in stat_aggs(f"r2_{a}", f"r2_{a}")],
         *sums,
     )
-    everything = rooms.groupBy(*groups).agg(
+    everything = [
         F.max("n_folds").alias("n_folds"),
         F.max("n_offsets").alias("n_offsets"),
         F.sum("n_timestamps_total").alias("n_timestamps_total"),
@@ -186,8 +186,8 @@ def decoder_room_metrics(
         *stat_aggs("rmse_mean", "rmse"),
         *[c for a in axes for c in stat_aggs(f"r2_{a}_mean", f"r2_{a}")],
         *[F.sum(f"{s}_{a}_total").alias(f"{s}_{a}_total") for s in ("sse", "sst") for a in axes],
-    )
-    both = rooms.unionByName(everything.withColumn(room, F.lit("All")))
+    ]
+    both = with_summary(rooms, groups, {room: F.lit("All")}, everything)
     sse = sum((F.col(f"sse_{a}_total") for a in axes), F.lit(0.0))
     sst = sum((F.col(f"sst_{a}_total") for a in axes), F.lit(0.0))
     return both.withColumn("r2_pooled_across_offsets", r2(sse, sst))
@@ -197,15 +197,18 @@ def decoder_ensemble_metrics(
     df: DataFrame,
     groups: Sequence[str] = ("project", "set_name"),
     room: str = "room",
-    row: str = "row_key",
+    row: str | Sequence[str] = "row_key",
     offset: str = "offset_no",
     fold: str = "fold",
     axes: Mapping[str, tuple[str, str]] = XY,
     mse: str = "distance",
 ) -> DataFrame:
-    """Scores of the mean prediction over offsets, and an ``All`` row that is the plain mean of the rooms' scores."""
+    """Scores of the mean prediction over offsets, and an ``All`` row that is the plain mean of the rooms' scores.
+
+    ``row`` names the column or columns that tell frames apart; numbers are cheaper than a text made of them.
+    """
     known = df.filter(F.col(room) != "All")
-    mean_rows = known.groupBy(*groups, room, row).agg(
+    mean_rows = known.groupBy(*groups, room, *([row] if isinstance(row, str) else row)).agg(
         *[F.min_by(t, offset).alias(t) for t, _ in axes.values()],
         *[F.avg(p).alias(p) for _, p in axes.values()],
     )

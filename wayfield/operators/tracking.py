@@ -371,18 +371,17 @@ def frame_at_time(ticks: DataFrame, frames: DataFrame, on: Sequence[str], tick:
     Ticks and frames are laid in one order, ticks before frames of the same time, and the next known frame is carried
     back, which stays linear where a range join would not.
     """
-    a = ticks.select(*on, F.col(tick).alias("_t"), F.lit(0).alias("_kind"), F.lit(None).cast("bigint").alias(frame), F.col(tick))
-    b = frames.select(*on, F.col(time).alias("_t"), F.lit(1).alias("_kind"), F.col(frame).cast("bigint").alias(frame), F.lit(None).cast("double").alias(tick))
+    a = ticks.select(*on, F.col(tick).alias("_t"), F.lit(0).alias("_kind"), F.lit(None).cast(frames.schema[frame].dataType).alias(frame), F.col(tick))
+    b = frames.select(*on, F.col(time).alias("_t"), F.lit(1).alias("_kind"), frame, F.lit(None).cast(ticks.schema[tick].dataType).alias(tick))
     both = in_order(a.unionByName(b), on, "_t", ["_kind", frame], next_known={"_hit": frame})
     return both.filter("_kind = 0").select(*on, tick, F.col("_hit").alias(frame))
 
 
 def top_n_per_stream(summary: DataFrame, n: int, by: str = "percent_long", stream: str = "stream", project: str = "session") -> DataFrame:
-    """The ``n`` worst projects of each stream. Spark keeps only each task's top rows before the shuffle."""
-    from pyspark.sql import Window as W
+    """The ``n`` worst projects of each stream, first per salt, so no task sorts a whole stream."""
+    from wayfield.operators.cells import top_rows
 
-    w = W.partitionBy(stream).orderBy(F.desc(by), project)
-    return summary.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    return top_rows(summary, [stream], [F.desc(by), F.col(project)], n).withColumnRenamed("_r", "rank")
 
 
 def worst_projects(summary: DataFrame, gaps: DataFrame, n: int = 20, by: str = "percent_long", project: str = "session") -> DataFrame:

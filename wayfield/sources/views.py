@@ -69,10 +69,20 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The five numbers that name a row of predictions, and their text.
+ROW = ["row_order", "row_line", "row_part", "row_supplier", "row_day"]
+ROW_KEY = f"concat_ws('-', {', '.join(f'cast({c} as string)' for c in ROW)}) row_key"
+
+
 def pred_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pred_keyed(spark, sf_dir).selectExpr(ROW_KEY, "* except (" + ", ".join(ROW) + ")")
+
+
+def pred_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pred_long`` with the numbers of ``ROW`` in place of ``row_key``: cheaper to hash, shuffle and compare than a text."""
     rows = table(spark, sf_dir, "lineitem").selectExpr(
-        "concat_ws('-', cast(l_orderkey as string), cast(l_linenumber as string), cast(l_partkey as string), cast(l_suppkey as string),"
-        " cast(datediff(cast(l_shipdate as date), date'1990-01-01') as string)) row_key",
+        "l_orderkey row_order", "l_linenumber row_line", "l_partkey row_part", "l_suppkey row_supplier",
+        "datediff(cast(l_shipdate as date), date'1990-01-01') row_day",
         "l_linenumber",
         "case l_returnflag when 'A' then 'A' when 'N' then 'a' else 'B' end actual_room",
         "case when l_linestatus = 'O' then 'test' else 'train' end set_name",
@@ -88,7 +98,7 @@ def pred_long(spark: SparkSession, sf_dir: str) -> DataFrame:
         " named_struct('predicted_room', 'a', 'ca', 0.9D, 'cb', -0.1D)))"
     )
     return rows.selectExpr("*", decoders).selectExpr(
-        "row_key",
+        *ROW,
         "offset_no",
         "cast((l_linenumber + offset_no) % 5 + 1 as int) fold",
         "actual_room",
