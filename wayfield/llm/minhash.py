@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.column import Column
 
 from wayfield.llm.store import written
 from wayfield.llm.text import NOT_SPACE, Words, blocks, grams, list_of, mix
@@ -100,13 +101,14 @@ def _sign(id_col: str, text: str, n: int, bands: int, rows: int, seed: int):
                     packed[full, w] = (low[:, w * each : (w + 1) * each] << (np.uint64(2) * np.arange(each, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(batch.schema.get_field_index(id_col)),
+                    batch.column(0),
+                    batch.column(2),
                     pa.array(counts),
                     *(pa.array(t.view(np.int64)) for t in total),
                     *(pa.array(np.ascontiguousarray(packed[:, w]).view(np.int64)) for w in range(4)),
                     list_of(keys.reshape(-1), np.concatenate([[0], np.cumsum(full * bands)])),
                 ],
-                names=["id", "n_shingles", "set_a", "set_b", *BITS, "bands"],
+                names=["id", "text_key", "n_shingles", "set_a", "set_b", *BITS, "bands"],
             )
 
     return run
@@ -138,8 +140,8 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: i
     if bands * rows != 128:
         raise ValueError("bands x rows must be 128: the low bits fill four longs")
     kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("id", kind), *(T.StructField(c, T.LongType()) for c in ["n_shingles", "set_a", "set_b", *BITS]), T.StructField("bands", T.ArrayType(T.LongType()))])
-    return docs.select(id_col, text).mapInArrow(_sign(id_col, text, n, bands, rows, seed), schema)
+    schema = T.StructType([T.StructField("id", kind), *(T.StructField(c, T.LongType()) for c in ["text_key", "n_shingles", "set_a", "set_b", *BITS]), T.StructField("bands", T.ArrayType(T.LongType()))])
+    return docs.select(id_col, text, _text_key(text).alias("text_key_")).mapInArrow(_sign(id_col, text, n, bands, rows, seed), schema)
 
 
 def close_enough(similarity: float, k: int, parts: list[str]) -> str:
@@ -173,14 +175,32 @@ def components(links: DataFrame) -> DataFrame:
     return pairs.selectExpr("u id", "v component").unionByName(pairs.selectExpr("v id", "v component").distinct())
 
 
-def _full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
-    """id, shingles and a wider signature, of the documents in ``ids``."""
-    needed = docs.selectExpr(f"`{id_col}` id", f"`{text}` text").join(ids.distinct().hint("merge"), "id", "left_semi").dropDuplicates(["id"])
+def _full_sets(docs: DataFrame, classes: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
+    """id (of the class), shingles and a wider signature, from one document of each of the ``classes`` (id, rep, text_key)."""
+    texts = docs.select(F.col(id_col).alias("doc"), F.col(text).alias("text"), _text_key(text).alias("key"))
+    needed = texts.join(classes.hint("merge"), F.expr("doc <=> rep and key = text_key")).dropDuplicates(["doc", "key", "id"]).select("id", "text")
     longs = T.ArrayType(T.LongType())
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("shingles", longs), T.StructField("wide", longs)])
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("shingles", longs), T.StructField("wide", longs)])
     return written(needed.mapInArrow(_sets(n, 19), schema), "sets")
 
 
+def _text_key(text: str) -> Column:
+    """Tells the texts of one id apart."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def _shared_ids(signed: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Links (a, b) between the classes that an id with several texts belongs to."""
+    rows = signed.filter("n_shingles > 0 and id is not null").select("id", F.struct("set_a", "set_b").alias("s"))
+    several = written(rows.groupBy("id").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).filter("lo <> hi"), "several")
+    if several.isEmpty():
+        return None
+    met = written(rows.join(several, "id").filter("s <> lo").select("s.*", F.col("lo.set_a").alias("lo_a"), F.col("lo.set_b").alias("lo_b")).distinct(), "shared")
+    names = classes.select("set_a", "set_b", F.col("cid").alias("a"))
+    other = names.withColumnsRenamed({"set_a": "lo_a", "set_b": "lo_b", "a": "b"})
+    return written(met.join(names, ["set_a", "set_b"]).join(other, ["lo_a", "lo_b"]).select("a", "b"), "shared-links")
+
+
 def _similar(left: str, right: str, percent: int) -> str:
     return f"(100 + {percent}) * size(array_intersect({left}, {right})) >= {percent} * (size({left}) + size({right}))"
 
@@ -204,19 +224,28 @@ def _rest(placed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, similarity: float = 0.75, pivot_rounds: int = 1) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id (smallest id linked to it, directly or not), kept."""
+    """One row per input row: id, n_shingles, component_id (smallest id linked to it, directly or not), kept, text_key.
+
+    Documents are compared by class, that is by set of shingles, so an id with several texts has several classes, which
+    it links. A component without any id keeps the rows of its smallest class.
+    """
     signed = written(signatures(docs, id_col, text, n), "signatures")
-    classes = signed.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", *BITS, "bands"))).alias("r"))
-    classes = written(classes.selectExpr("set_a", "set_b", "r.*"), "classes").withColumnRenamed("id", "rep")
-    buckets = classes.filter("rep is not null").selectExpr("rep id", "explode(bands) key")
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key", *BITS, "bands"))
+    classes = signed.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(first.alias("r"))
+    # numbered once, when they are written
+    classes = classes.select("set_a", "set_b", "r.*", F.monotonically_increasing_id().alias("cid")).drop("no_id").withColumnRenamed("id", "rep")
+    classes = written(classes, "classes")
+    buckets = classes.selectExpr("cid id", "explode(bands) key")
     crowded = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     # both sides of a join are tables of their own: Spark splits a hot key only where no aggregate sits below the join
-    met = written(buckets.join(written(crowded, "keys"), "key"), "crowded").join(classes.filter("rep is not null").select(F.col("rep").alias("id"), *BITS), "id")
+    met = written(buckets.join(written(crowded, "keys"), "key"), "crowded").join(classes.select(F.col("cid").alias("id"), *BITS), "id")
     met = written(met, "buckets")
     close = close_enough(similarity, BANDS * ROWS, BITS)
     met = written(met.alias("l").join(met.alias("r"), F.expr(f"l.key = r.key and l.id <> r.id and {close}"), "left_semi"), "candidates")
-    sets = _full_sets(docs, met.select("id"), id_col, text, n)
-    links, label = None, None
+    wanted = met.select("id").distinct().join(classes.select(F.col("cid").alias("id"), "rep", "text_key"), "id")
+    sets = _full_sets(docs, written(wanted, "wanted"), id_col, text, n)
+    links = _shared_ids(signed, classes)
+    label = None if links is None else components(links)
     for turn in range(pivot_rounds + 1):
         if label is None:
             placed = met.withColumn("component", F.col("id"))
@@ -237,6 +266,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         if not new.isEmpty():
             links = new if links is None else links.unionByName(new)
             label = components(links)
-    rows = signed.join(classes.select("set_a", "set_b", "rep"), ["set_a", "set_b"], "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("id")))
-    named = rows.withColumn("component", F.col("rep")) if label is None else rows.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    return named.selectExpr(f"id `{id_col}`", "n_shingles", "component component_id", "id <=> component kept")
+    names = classes.select("set_a", "set_b", "cid", "rep")
+    if label is None:
+        names = names.withColumn("component", F.col("rep")).withColumn("first", F.lit(True))
+    else:
+        label = written(label.withColumnsRenamed({"id": "cid", "component": "group"}), "labels")
+        members = written(names.join(label, "cid"), "members")
+        least = written(members.groupBy("group").agg(F.min("rep").alias("component"), F.min(F.struct("set_a", "set_b")).alias("least")), "least")
+        grouped = members.join(least, "group").select("set_a", "set_b", "component", (F.struct("set_a", "set_b") == F.col("least")).alias("first"))
+        alone = names.join(label.select("cid"), "cid", "left_anti").select("set_a", "set_b", F.col("rep").alias("component"), F.lit(True).alias("first"))
+        names = grouped.unionByName(alone)
+    names = written(names.select("set_a", "set_b", "component", "first"), "names").hint("merge")
+    empty = F.col("n_shingles") == 0
+    rows = signed.join(names, ["set_a", "set_b"], "left").withColumn("component", F.when(empty, F.col("id")).otherwise(F.col("component")))
+    kept = F.col("id").eqNullSafe(F.col("component")) & (F.col("id").isNotNull() | empty | F.col("first"))
+    return rows.select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"), kept.alias("kept"), "text_key")

@@ -6,16 +6,16 @@ per shard, and written as one file. The upper level holds all words (hash, exact
 word of the shard, its successors.
 
 Files: sorted lists are Elias-Fano coded (low bits packed, high parts in unary with a directory of zeros). A context's
-successors are the range between two monotone pointers; they are stored as context number and 40-bit word hash together,
-so the list rises over the whole shard and a successor is searched among the few entries with the same high part. Each
-has an 8-bit code of its smoothed probability.
+successors are the range between two monotone pointers, and a word is searched in that range alone; entries are context
+number and 40-bit word hash together, so the list rises over the whole shard. Each has a 16-bit code of its smoothed probability.
 
 Model: P(w | v) = c(vw) / (c(v) + mu) + mu / (c(v) + mu) * P(w), with P(w) = (c(w) + 1) / (N + V + 1): Dirichlet smoothing,
-so a context that was never seen leaves P(w). The first summand is what is coded, rounded down in steps of 0.03 in log10,
-so sums over w stay at most 1. A text is its words (A-Z lower-cased) and one end.
+so a context that was never seen leaves P(w). The first summand is what is coded, rounded down in steps of 0.001 in log10
+(16 bits reach 65 decades, more than any count), so sums over w stay at most 1. A text is its words (A-Z lower-cased) and one end.
 
 Scoring is a map: files are opened by memory map where the shared folder is mounted, elsewhere through an unlinked local
-copy; a block of text is looked up shard by shard. Null texts are empty, and an empty text is scored as its end. An empty
+copy, at most ``MAPPED`` at a time in a worker; some blocks of text together are looked up shard by shard, so the files that a
+task goes through grow with the corpus as its own text does not. Null texts are empty, and an empty text is scored as its end. An empty
 training set gives P(w) = 1 / 1 for any word. Rows are scored one by one, so repeated rows and ids do not matter.
 """
 
@@ -35,7 +35,10 @@ from wayfield.llm.text import NOT_SPACE, Words, blocks, mix
 
 END, BEGIN = np.uint64(0x0E4D0E4D0E4D0E4D), np.uint64(0x0B060B060B060B06)
 NEXT_BITS = 40
-STEP = 0.03
+STEP = 0.001
+MAPPED = 1024
+#: Tokens that are looked up at once.
+SLICE = 1 << 20
 MU = 300.0
 ONE = np.uint64(1)
 
@@ -95,13 +98,16 @@ class EliasFano:
         left -= np.where(byte > 0, upto[rows, byte - 1], 0)
         return word * 64 + byte * 8 + _SELECT[inside[rows, byte], left]
 
-    def find(self, x: np.ndarray) -> np.ndarray:
+    def find(self, x: np.ndarray, begin: np.ndarray | None = None, stop: np.ndarray | None = None) -> np.ndarray:
+        """``begin`` and ``stop``: search each only in its own range of indices."""
         if not self.n or not len(x):
             return np.full(len(x), -1, dtype=np.int64)
         shift = np.uint64(self.low_bits)
         part = (x >> shift).astype(np.int64)
         lo = np.where(part > 0, self._zero(np.maximum(part - 1, 0)) - part + 1, 0)
         hi = self._zero(part) - part
+        if begin is not None:
+            lo, hi = np.maximum(lo, begin), np.minimum(hi, stop)
         end = hi.copy()
         low = x & ((ONE << shift) - ONE)
         # successor among the entries with the same high part
@@ -154,7 +160,7 @@ def unpack(data: np.ndarray) -> tuple[dict, list[np.ndarray]]:
     return meta, arrays
 
 
-@lru_cache(maxsize=None)
+@lru_cache(maxsize=MAPPED)
 def _words_level(folder: str, name: str) -> tuple[EliasFano, np.ndarray]:
     meta, (low, high, zeros, counts) = unpack(mapped(folder, name))
     return EliasFano(meta["n"], meta["low_bits"], low, high, zeros), counts
@@ -184,23 +190,29 @@ class Pairs:
         """Word hashes (40 bits) and codes after one context: the range between its pointers."""
         rank = self.context.find(np.array([context], dtype=np.uint64))
         if rank[0] < 0:
-            return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint8)
+            return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint16)
         begin, end = self.pointer.get(np.append(rank, rank + 1)).astype(np.int64)
         return self.successor.get(np.arange(begin, end)) & ((ONE << np.uint64(NEXT_BITS)) - ONE), self.code[begin:end]
 
     def share(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """c(vw) / (c(v) + mu), as coded; 0 where the pair is not known."""
         known, which = np.unique(context, return_inverse=True)
-        rank = self.context.find(known)[which]
+        rank = self.context.find(known)
+        begin, stop = np.zeros((2, len(known)), dtype=np.int64)
+        seen = np.flatnonzero(rank >= 0)
+        if len(seen):
+            begin[seen], stop[seen] = (self.pointer.get(rank[seen] + i).astype(np.int64) for i in (0, 1))
         out = np.zeros(len(context))
-        there = np.flatnonzero(rank >= 0)
-        at = self.successor.find((rank[there].astype(np.uint64) << np.uint64(NEXT_BITS)) | (word[there] >> np.uint64(64 - NEXT_BITS)))
+        there = np.flatnonzero(rank[which] >= 0)
+        place = which[there]
+        wanted = (rank[place].astype(np.uint64) << np.uint64(NEXT_BITS)) | (word[there] >> np.uint64(64 - NEXT_BITS))
+        at = self.successor.find(wanted, begin[place], stop[place])
         found = at >= 0
         out[there[found]] = 10.0 ** (-STEP * self.code[at[found]])
         return out
 
 
-@lru_cache(maxsize=None)
+@lru_cache(maxsize=MAPPED)
 def _pairs_level(folder: str, name: str) -> Pairs:
     return Pairs(mapped(folder, name))
 
@@ -335,6 +347,11 @@ def _write_words(folder: str):
     return run
 
 
+def share_codes(times: np.ndarray, total: np.ndarray, mu: float) -> np.ndarray:
+    """c(vw) / (c(v) + mu) in steps of log10, rounded down."""
+    return np.ceil(np.log10((total + mu) / times) / STEP).astype(np.uint16)
+
+
 def _write_pairs(folder: str, words: list[str], documents: int, mu: float):
     def run(group: pa.Table) -> pa.Table:
         context, word, counts = [], [], []
@@ -346,7 +363,7 @@ def _write_pairs(folder: str, words: list[str], documents: int, mu: float):
         (c, w), times = _sum_by([np.concatenate(context), np.concatenate(word)], np.concatenate(counts))
         known, which = np.unique(c, return_inverse=True)
         total = np.where(known == BEGIN, documents, lookup(folder, words, known))[which]
-        code = np.minimum(255, np.ceil(np.log10((total + mu) / times) / STEP)).astype(np.uint8)
+        code = share_codes(times, total, mu)
         shard = group["shard"][0].as_py()
         name = put(folder, f"pairs-{shard}", Pairs.pack(c, w, code))
         return pa.table({"shard": [shard], "name": [name], "n": [len(c)], "total": [int(times.sum())]})
@@ -404,6 +421,9 @@ def train(docs: DataFrame, text: str = "text", mu: float = MU, shard_bytes: int
     return Model(folder, words, pairs, total, types, documents, mu)
 
 
+#: Bytes of text that are scored together.
+SCORED = 8 << 20
+
 SCORES = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -411,10 +431,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
     """id, n_tokens, n_known, train_tokens, base_score and score (log10) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in blocks(batches, text):
+        for batch, data, offsets in blocks(batches, text, SCORED):
             every, rows = tokens(Words(data, offsets, NOT_SPACE))
-            counts, plain, full = model.measure(every, contexts(every, rows))
-            sums = [np.add.reduceat(x, rows[:-1]) for x in ((counts > 0).astype(np.int64), plain, full)]
+            context, row = contexts(every, rows), np.repeat(np.arange(batch.num_rows), np.diff(rows))
+            sums = [np.zeros(batch.num_rows, dtype=kind) for kind in (np.int64, float, float)]
+            for at in range(0, len(every), SLICE):
+                # with the token before, whose count the first one's context needs
+                cut, drop = slice(max(0, at - 1), at + SLICE), min(at, 1)
+                counts, plain, full = (x[drop:] for x in model.measure(every[cut], context[cut]))
+                for total, x in zip(sums, (counts > 0, plain, full), strict=True):
+                    total += np.bincount(row[at : at + SLICE], weights=x, minlength=batch.num_rows).astype(total.dtype)
             values = [np.diff(rows).astype(np.int64), sums[0], np.full(batch.num_rows, model.tokens), sums[1], sums[2]]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v) for v in values)], names=[id_col, *(c.split()[0] for c in SCORES.split(", "))])
 

@@ -1,6 +1,7 @@
 """Words of UTF-8 text as NumPy arrays: the Arrow buffers of a batch are cut and hashed without a Python string.
 
-A batch is handled in blocks of a few megabytes, so memory is bounded by the block or by one longer text.
+A batch is handled in blocks of a few megabytes, or of one longer text. A long text is cut and hashed in pieces of 1 MB, and
+a word that goes on in the next piece keeps its hash, so beside its own bytes a text needs memory for its words alone.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 2 << 20
+PIECE = 1 << 20
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 
@@ -35,8 +37,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=4)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=1)
+def powers(size: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
+    """The multiplier's powers, and their inverses."""
+
     def grow(base: int) -> np.ndarray:
         out = np.ones(size, dtype=np.uint64)
         done = 1
@@ -50,10 +54,6 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return grow(_MULTIPLIER), grow(_INVERSE)
 
 
-def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(max(BLOCK_BYTES, 1 << (size - 1).bit_length()) if size else BLOCK_BYTES)
-
-
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column and the offsets of its rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -82,21 +82,45 @@ class Words:
     """Words of a block: ``starts`` and ``ends`` in bytes, ``rows`` (offsets into the words by row) and a 64-bit hash each."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, member: np.ndarray, lower: bool = True):
-        folded = LOWER[data] if lower else data
-        inside = member[folded]
-        first, last = inside.copy(), inside.copy()
-        first[1:] &= ~inside[:-1]
-        last[:-1] &= ~inside[1:]
-        edges = offsets[(offsets > 0) & (offsets < len(data))]
-        first[edges] = inside[edges]
-        last[edges - 1] = inside[edges - 1]
-        self.starts = np.flatnonzero(first)
-        self.ends = np.flatnonzero(last) + 1
+        starts, ends, hashes = [], [], []
+        # the last word of the piece before, if it may go on: its length and hash so far
+        length, carried = 0, np.zeros(1, dtype=np.uint64)
+        up, down = powers()
+        for begin in range(0, len(data), PIECE):
+            piece = data[begin : begin + PIECE]
+            folded = LOWER[piece] if lower else piece
+            inside = member[folded]
+            first, last = inside.copy(), inside.copy()
+            first[1:] &= ~inside[:-1]
+            last[:-1] &= ~inside[1:]
+            edges = offsets[np.searchsorted(offsets, begin, side="left") : np.searchsorted(offsets, begin + len(piece), side="left")] - begin
+            first[edges] = inside[edges]
+            edges = edges[edges > 0]
+            last[edges - 1] = inside[edges - 1]
+            s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
+            total = np.zeros(len(piece) + 1, dtype=np.uint64)
+            np.cumsum((folded.astype(np.uint64) + np.uint64(1)) * up[: len(piece)], out=total[1:])
+            raw = (total[e] - total[s]) * down[s]
+            if length and len(s) and s[0] == 0 and not (offsets == begin).any():
+                raw[:1] *= np.uint64(pow(_MULTIPLIER, length, 1 << 64))
+                raw[:1] += carried
+                starts[-1], ends[-1], hashes[-1] = starts[-1][:-1], ends[-1][:-1], hashes[-1][:-1]
+                s[0] = -length
+            open_ = len(e) > 0 and e[-1] == len(piece)
+            carried = raw[-1:].copy()
+            length = int(e[-1] - s[-1]) if open_ else 0
+            starts.append(s + begin)
+            ends.append(e + begin)
+            hashes.append(raw)
+
+        def joined(parts: list[np.ndarray]) -> np.ndarray:
+            whole = np.concatenate(parts or [np.zeros(0, dtype=np.int64)])
+            parts.clear()
+            return whole
+
+        self.starts, self.ends = joined(starts), joined(ends)
         self.rows = np.searchsorted(self.starts, offsets)
-        up, down = powers(len(data))
-        total = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum((folded.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-        self.hashes = mix((total[self.ends] - total[self.starts]) * down[self.starts])
+        self.hashes = mix(joined(hashes).view(np.uint64))
 
     @property
     def counts(self) -> np.ndarray:

@@ -37,6 +37,7 @@ END = b"\r\n\r\n"
 MANIFEST = "archive string, records long, bytes long"
 RECORD = "archive string, type string, record_id string, url string, refers_to string, payload_digest string, payload_bytes long"
 PIECE = 1 << 20
+TASK_BYTES = 256 << 20
 
 
 def record(kind: str, fields: dict[str, str], parts: list[bytes]) -> bytes:
@@ -223,15 +224,25 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url:
     """Write every row as a record; returns the manifest: archive, records, bytes."""
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url).cast("string").alias("url"), body.alias("payload"), F.sha2(body, 256).alias("digest"), F.octet_length(body).alias("n"))
-    firsts = rows.filter(F.col("n") >= least).groupBy("digest").agg(F.min("id").alias("first"))
-    named = rows.join(firsts, "digest", "left").withColumn("first", F.when(~F.col("id").eqNullSafe(F.col("first")) & (F.col("n") >= least), F.col("first")))
+    # only payloads that stand twice; written, so that Spark can split a payload that very many pages share
+    firsts = rows.filter(F.col("n") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("times"))
+    firsts = written(firsts.filter("times > 1").select(F.col("digest").alias("digest_f"), "first"), "firsts")
+    # small payloads, empty ones above all, refer to nothing and are spread by their ids
+    rows = rows.withColumn("k", F.when(F.col("n") >= least, F.col("digest")).otherwise(F.concat(F.lit("small "), F.xxhash64("id", "url").cast("string"))))
+    named = rows.join(firsts, F.expr("k = digest_f"), "left").withColumn("first", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")))
     records = named.select(F.col("id").cast("string").alias("key"), "url", "payload", "digest", F.col("first").cast("string").alias("first"))
     return written(records.mapInArrow(_writer(folder, archive_bytes, date), MANIFEST), "manifest")
 
 
 def read_archives(manifest: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
-    """One row per response or revisit record of the listed archives, with the payload if asked for."""
-    spread = manifest.select("archive", "records").repartition(F.col("archive"))
+    """One row per response or revisit record of the listed archives, with the payload if asked for.
+
+    Archives are dealt out evenly, to a task each, or to tasks of ``TASK_BYTES`` where there are more archives than cores.
+    """
+    archives, size = manifest.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    tasks = max(1, min(archives, manifest.sparkSession.sparkContext.defaultParallelism), min(archives, -(-size // TASK_BYTES)))
+    # a number given is kept: adaptive execution would merge the short manifest into one task
+    spread = manifest.select("archive", "records").repartitionByRange(tasks, "archive")
     return spread.mapInArrow(_reader(folder, payloads), RECORD + ", payload binary" * payloads)
 
 
