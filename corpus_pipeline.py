@@ -24,14 +24,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, and one of rows that repeat an id and text.
-
-    Rows without an id stay if any row without an id does.
-    """
-    kept = near_duplicates(docs).filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    """One document of each near-duplicate group stays, and one of rows that repeat an id and text, or a text without an id."""
+    kept = near_duplicates(docs).filter("kept").groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
     # tables of ids grow with the corpus: here and below they are merged with the texts, at any size, and not broadcast
-    kept = written(kept.select(F.struct("doc_id", "n").alias("k")), "kept").hint("merge")
-    rows = docs.select(F.struct("*").alias("d")).join(kept, F.expr("d.doc_id <=> k.doc_id"))
+    kept = written(kept.select(F.struct("doc_id", "text_key", "n").alias("k")), "kept").hint("merge")
+    rows = docs.select(F.struct("*").alias("d")).join(kept, F.expr("d.doc_id <=> k.doc_id and xxhash64(coalesce(d.text, '')) = k.text_key"))
     once = rows.filter("k.n = 1").select("d.*")
     return once.unionByName(rows.filter("k.n > 1").select("d.*").dropDuplicates(["doc_id", "text"]))
 
