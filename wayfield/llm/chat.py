@@ -10,8 +10,9 @@ as history, at most ``history`` tokens and what the budget leaves, then its own
 over its budget only by its last own turn, where that is longer than ``budget - own`` less the system turn. Loss is on the text of the window's own assistant turns, so every assistant text is a target
 once; system and history, which repeat, are masked.
 
-Prefix sums of a long conversation are made in blocks of ``block`` turns: sums inside blocks, then over blocks (a row each),
-so no task holds a whole conversation, and a window is only as long as its budget, or its longest turn.
+Turns are numbered in tasks dealt by ranges of (conversation, turn, role, beginning of the text), and prefix sums of a long
+conversation are made in blocks of ``block`` of these numbers: sums inside blocks, then over blocks (a row each). So no task
+holds a whole conversation, whatever its turn numbers are, and a window is only as long as its budget, or its longest turn.
 
 Turns are ordered by number (null first), then role, then text; repeated rows are turns of their own. Null texts and roles
 are empty; a null conversation id is one conversation. An empty table gives no window.
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
+from wayfield.llm.order import numbered as in_order
 from wayfield.llm.store import written
 
 # Fixed values of the template.
@@ -56,16 +58,14 @@ def numbered(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     rows = turns.select(
         F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")
     )
-    rows = written(rows.withColumn("tokens", (tokens(F.col("text")) + MARKS).cast("long")), "turns")
-    # a block is a range of turn numbers; repeated numbers stay together
-    rows = rows.withColumn("block", F.floor(F.col("turn") / block))
-    sums = rows.groupBy("conv", "block").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("c"))
-    over = Window.partitionBy("conv").orderBy(F.col("block").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("conv").alias("conv_b"), F.col("block").alias("block_b"), F.coalesce(F.sum("t").over(over), F.lit(0)).alias("t0"), F.coalesce(F.sum("c").over(over), F.lit(0)).alias("c0"))
-    inside = Window.partitionBy("conv", "block").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    rows = rows.withColumns({"i": F.row_number().over(inside) - 1, "s": F.coalesce(F.sum("tokens").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
-    rows = rows.join(sums, F.expr("conv <=> conv_b and block <=> block_b"))
-    return rows.select("conv", (F.col("c0") + F.col("i")).alias("n"), "role", "text", "tokens", (F.col("t0") + F.col("s")).alias("before"))
+    rows = rows.withColumns({"tokens": (tokens(F.col("text")) + MARKS).cast("long"), "head": F.substring("text", 1, 64)})
+    rows = in_order(rows, "conv", ["turn", "role", "head"], "turns", ("text",)).drop("turn", "head").withColumn("block", F.floor(F.col("n") / block))
+    sums = rows.groupBy("conv", "block").agg(F.sum("tokens").alias("t"))
+    over = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("conv").alias("conv_b"), F.col("block").alias("block_b"), F.coalesce(F.sum("t").over(over), F.lit(0)).alias("t0"))
+    inside = Window.partitionBy("conv", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("s", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(sums, F.expr("conv <=> conv_b and block = block_b"))
+    return rows.select("conv", "n", "role", "text", "tokens", (F.col("t0") + F.col("s")).alias("before"))
 
 
 def windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", budget: int = 512, own: int = 256, history: int = 128, tokens=token_estimate) -> DataFrame:

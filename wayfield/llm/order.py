@@ -44,14 +44,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place)], names=[*batch.schema.names, "n"])
 
 
-def numbered(rows: DataFrame, key: str, order: list[str], name: str = "numbered") -> DataFrame:
+def numbered(rows: DataFrame, key: str, order: list[str], name: str = "numbered", within: tuple[str, ...] = ()) -> DataFrame:
     """``rows`` with ``n``: 0, 1, ... inside each ``key`` in the order given, nulls first; written, so it is worked out once.
 
-    Rows that are equal in key and order columns share a task, which streams them. A column called ``n`` or ``part`` is replaced.
+    Rows that are equal in key and order columns share a task, which streams them, ordered by the columns ``within``. A column called ``n`` or ``part`` is replaced.
     """
     rows = rows.select(key, *[c for c in rows.columns if c not in (key, "n", "part")])
     sort = [F.col(c).asc_nulls_first() for c in (key, *order)]
-    ranges = rows.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("part", F.spark_partition_id())
+    ranges = rows.repartitionByRange(*sort).sortWithinPartitions(*sort, *(F.col(c).asc_nulls_first() for c in within)).withColumn("part", F.spark_partition_id())
     ranges = written(ranges.mapInArrow(_count, f"{_ddl(ranges)}, n long"), name)
     runs = ranges.groupBy(key, "part").agg(F.count(F.lit(1)).alias("run_rows"))
     before = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

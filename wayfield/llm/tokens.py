@@ -7,14 +7,16 @@ interval join of token spans with sections is a search in two sorted arrays. A s
 A token that crosses a boundary counts once, by ``rule``: "first" (the section of its first byte), "last" (of its last
 byte), or "most" (the section with most of its bytes, the earlier of equals). Section counts add up to the document's.
 
-Null fields are empty. An empty document has one section without tokens. Repeated rows get equal results. Texts over
-``PIECE`` characters are encoded in pieces that begin at a space before a letter, where the vocabulary's own splitting
-begins a piece as well, so tokens are the same; a longer run without such a place is cut hard.
+Null fields are empty. A document has a section for every field, empty ones too; of a document of empty fields the separators
+are the only tokens. Repeated rows get equal results. Texts over ``PIECE`` characters are encoded in pieces that begin where
+the vocabulary's own splitting begins a token as well, at a space before a letter or, where there is none, at a change
+between letters, digits and marks, so tokens are the same. Only a run of more than ``PIECE`` characters of one kind is cut hard.
 """
 
 from __future__ import annotations
 
 import base64
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -49,13 +51,23 @@ def vocabulary(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), lengths
 
 
+def _kind(c: str) -> str:
+    kind = unicodedata.category(c)[0]
+    return " " if c.isspace() else kind if kind in "LN" else "-"
+
+
+def _changes(text: str, at: int) -> bool:
+    """Does a token begin here because letters, digits or marks end? An apostrophe may belong to what follows it."""
+    before, after = _kind(text[at - 1]), _kind(text[at])
+    return before != after and " " not in (before, after) and text[at - 1] != "'"
+
+
 def pieces(text: str, size: int = PIECE) -> Iterator[str]:
     at = 0
     while len(text) - at > size:
-        end = at + size
-        while end > at + size // 2 and not (text[end] == " " and text[end + 1 : end + 2].isalpha() and not text[end - 1].isspace()):
-            end -= 1
-        end = end if end > at + size // 2 else at + size
+        back, ahead = range(at + size, at + size // 2, -1), range(at + size, min(at + 2 * size, len(text)))
+        end = next((i for i in back if text[i] == " " and text[i + 1 : i + 2].isalpha() and not text[i - 1].isspace()), None)
+        end = end or next((i for i in back if _changes(text, i)), None) or next((i for i in ahead if _changes(text, i)), at + size)
         yield text[at:end]
         at = end
     yield text[at:]

@@ -16,6 +16,8 @@ Rows of labels that repeat an id count once (toxic if any says so); null labels
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import re
 from collections import Counter
@@ -112,7 +114,10 @@ def weigh(text: str | None, machine) -> tuple[float, int, int]:
         else:
             spared.append((start, end))
     if spared and hits:
-        hits = {at: w for at, w in hits.items() if not any(a <= at < b for a, b in spared)}
+        # the furthest end of all phrases that begin up to each start
+        spared.sort()
+        begins, ends = [a for a, _ in spared], list(itertools.accumulate((b for _, b in spared), max))
+        hits = {at: w for at, w in hits.items() if not (k := bisect.bisect_right(begins, at)) or ends[k - 1] <= at}
     return sum(hits.values()), len(hits), words
 
 
@@ -150,8 +155,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     spark = docs.sparkSession
     one = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label).cast("int").alias("y"))
     chosen = written(one.orderBy(F.xxhash64(id_col), id_col).limit(max_labelled), "labelled")
-    # at most max_labelled ids
-    sample = docs.select(id_col, F.col(text).alias("t")).join(F.broadcast(chosen), id_col).select("t", "y")
+    # at most max_labelled rows: an id that rows repeat is learned from once
+    sample = docs.select(id_col, F.col(text).alias("t")).join(F.broadcast(chosen), id_col)
+    sample = sample.groupBy(id_col).agg(F.min_by("t", F.xxhash64("t")).alias("t"), F.max("y").alias("y")).select("t", "y")
     sample = written(sample.repartition(max(1, spark.sparkContext.defaultParallelism)), "sample")
     toxic, clean = sample.filter("y = 1").select("t"), sample.filter("y = 0").select("t")
     seen = toxic.mapInArrow(_toxic_terms, "term string, before string").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
