@@ -170,3 +170,32 @@ def test_gauss_smoothing_against_numpy(spark, block):
     want = np.convolve(np.nan_to_num(pdf["x"]), kernel / kernel.sum(), mode="same")
     want[np.isnan(pdf["x"])] = np.nan
     np.testing.assert_allclose(got["smoothed"].astype(float), want, atol=1e-9)
+
+
+def test_crowds_nulls_and_strings_are_cut_by_their_ties(spark):
+    from wayfield.plans import ordered
+
+    rng = np.random.default_rng(21)
+    # one value of the order column holds most rows, and many have none
+    rows = [(1, None if i % 5 == 0 else ("same" if i % 3 else f"s{int(rng.integers(0, 40)):02}"), i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "g int, o string, i int").repartition(7)
+    slices = ordered.slice_borders(df, ["g"], "o", ["i"], 200)
+    cut = ordered.with_slices(df, ["g"], "o", 200, ["i"], slices)
+    sizes = [r["count"] for r in cut.groupBy("_slice").count().collect()]
+    assert len(sizes) > 10 and max(sizes) < 800 and cut.filter("not _split").count() == 0
+    got = ordered.in_order(df, ["g"], "o", ["i"], index="n", lag={"before": "i"}, running={"sum": F.col("i")}, rows_per_slice=200, slices=slices).toPandas().sort_values("n")
+    want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or "", r[2]))
+    assert got["i"].tolist() == [r[2] for r in want] and got["n"].tolist() == list(range(4000))
+    assert got["sum"].tolist() == np.cumsum([r[2] for r in want]).tolist()
+    assert got["before"].tolist()[1:] == [r[2] for r in want][:-1]
+
+
+def test_shared_slices_are_measured_once(spark, monkeypatch):
+    from wayfield.plans import ordered
+
+    df = spark.range(3000).selectExpr("id % 2 g", "id t")
+    slices = ordered.slice_borders(df, ["g"], "t", (), 100)
+    monkeypatch.setattr(ordered, "slice_borders", lambda *a, **k: pytest.fail("measured again"))
+    once = ordered.in_order(df, ["g"], "t", index="n", rows_per_slice=100, slices=slices)
+    twice = ordered.in_order(once, ["g"], "t", running={"c": F.lit(1)}, rows_per_slice=100, slices=slices)
+    assert twice.filter("c <> n + 1").count() == 0 and twice.count() == 3000

@@ -107,13 +107,14 @@ def transition_padding(df: DataFrame, seconds: float, keys: Sequence[str], time:
     A change happens at the first row of the new room. The latest change at or before a row and the earliest one
     after it are carried along the order, so no pair of rows is ever compared.
     """
-    from wayfield.plans.ordered import in_order
+    from wayfield.plans.ordered import in_order, slice_borders
 
-    marked = in_order(df, keys, time, ties, index="_i", lag={"_before": room})
+    slices = slice_borders(df, keys, time, ties)
+    marked = in_order(df, keys, time, ties, index="_i", lag={"_before": room}, slices=slices)
     changed = marked.withColumn(
         "_change", F.when((F.col("_i") > 0) & ~F.col(room).eqNullSafe(F.col("_before")), F.col(time))
     )
-    near = in_order(changed, keys, time, ties, last_known={"_prev": "_change"}, next_known={"_next": "_change"})
+    near = in_order(changed, keys, time, ties, last_known={"_prev": "_change"}, next_known={"_next": "_change"}, slices=slices)
     close = (F.col(time) - F.col("_prev") <= seconds) | (F.col("_next") - F.col(time) <= seconds)
     return near.filter(~F.coalesce(close, F.lit(False))).select(*df.columns)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wayfield.functions.numeric import hypot2, percent, ratio, safe_corr
 from wayfield.plans.ordered import ROWS_PER_SLICE, in_order, quantiles
-from wayfield.session import cut_lineage
+from wayfield.session import cut_lineage, stored
 
 KEYS = ("session", "stream")
 # Frame states. A missing frame is 0; interpolated frames are 2 to 4 by the kind of their gap.
@@ -265,9 +265,10 @@ def interp_share(df: DataFrame, keys: Sequence[str], count: str = "interp", limi
 
 
 def _deltas(df: DataFrame, keys: Sequence[str], time: str, ties: Sequence[str], rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """Times, frame distances and their inverses: three numbers a frame, worked out once for all their consumers."""
     out = in_order(df.select(*keys, time, *ties), keys, time, ties, lag={"_pt": time}, rows_per_slice=rows_per_slice)
     dt = F.col(time) - F.col("_pt")
-    return out.select(*keys, F.col(time).alias("t"), dt.alias("dt"), F.when(dt > 0, F.try_divide(F.lit(1.0), dt)).alias("fps"))
+    return stored(out.select(*keys, F.col(time).alias("t"), dt.alias("dt"), F.when(dt > 0, F.try_divide(F.lit(1.0), dt)).alias("fps")))
 
 
 def fps_stats(df: DataFrame, keys: Sequence[str] = KEYS, time: str = "ts", ties: Sequence[str] = ("frame_id",), unit: float = 1.0) -> DataFrame:

@@ -3,64 +3,87 @@
 Tracking operators need a row order inside a session, a room or a fold, and one such group may hold a large part of
 the table. A window partitioned by the group alone would then run in one task. The helpers here split every large
 group into *slices* of its order column, run ordinary Spark windows inside the slices, and carry the few values that
-cross a border (counts, sums, last rows) in a table with one row per slice of a large group. Group sizes are measured
-first; where no group is above ``rows_per_slice`` the plan is the plain window.
+cross a border (counts, sums, last rows) in a table with one row per slice of a large group. Groups are measured
+first, by a sample; where none is above ``rows_per_slice`` the plan is the plain window.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from wayfield.session import cut_lineage
+from wayfield.session import stored
 
 ROWS_PER_SLICE = 2_000_000
-_FANOUT = 1 << 20
+#: Sampled rows that stand for one slice's rows.
+SAMPLES = 64
+
+
+@dataclass(frozen=True)
+class Slices:
+    """Where the large groups of one (table, keys, order) are cut; measured once and passed along a chain of steps.
+
+    ``borders`` has a row per large group, None if there is none: ``_tops`` and, between them, ``_inner`` places (order, ties).
+    """
+
+    keys: tuple[str, ...]
+    order: Column
+    ties: tuple[str, ...]
+    borders: DataFrame | None
+
+
+def _place(order: Column, ties: Sequence[str]) -> Column:
+    return F.struct(order.alias("o"), *[F.col(t).alias(f"t{i}") for i, t in enumerate(ties)])
+
+
+def slice_borders(df: DataFrame, keys: Sequence[str], order: str | Column, ties: Sequence[str] = (), rows_per_slice: int = ROWS_PER_SLICE) -> Slices:
+    """Cut every group of more than about ``rows_per_slice`` rows at equal shares of its rows, by one pass over keys, order and ties.
+
+    The sketch of a group is a uniform sample of its places, ``SAMPLES`` for each slice; groups with more than one slice's worth are
+    cut at every half slice. Places are compared as they are sorted, so any type of order will do, rows without an order
+    come first, and rows that crowd at one value of it are cut by their ties, whatever the skew. The sample only chooses the
+    plan, never the result; it is stored before it is used, so repeated tasks see the same cuts.
+    """
+    order = F.col(order) if isinstance(order, str) else order
+    rate = min(1.0, SAMPLES / rows_per_slice)
+    sample = df.select(*keys, _place(order, ties).alias("_p"))
+    sample = sample.filter(F.rand(11) < rate) if rate < 1 else sample
+    step = max(1, int(rate * rows_per_slice / 2))
+    lists = sample.groupBy(*keys).agg(F.sort_array(F.collect_list("_p")).alias("_s")).filter(F.size("_s") > rate * rows_per_slice)
+    cuts = F.array_distinct(F.transform(F.sequence(F.lit(step), F.size("_s") - 1, F.lit(step)), lambda i: F.get(F.col("_s"), i)))
+    # two levels of about the square root of their number: a row compares itself with few of them
+    fan = F.ceil(F.sqrt(F.size("_c"))).cast("int")
+    starts = F.sequence(F.lit(1), F.size("_c"), F.col("_fan"))
+    borders = lists.select(*keys, cuts.alias("_c")).withColumn("_fan", fan).select(
+        *keys, "_fan", F.transform(starts, lambda i: F.get(F.col("_c"), i - 1)).alias("_tops"), F.transform(starts, lambda i: F.slice(F.col("_c"), i, F.col("_fan"))).alias("_inner")
+    )
+    borders = stored(borders)
+    return Slices(tuple(keys), order, tuple(ties), None if borders.isEmpty() else borders)
 
 
 def with_slices(
-    df: DataFrame, keys: Sequence[str], order: str | Column, rows_per_slice: int = ROWS_PER_SLICE, levels: int = 2
+    df: DataFrame, keys: Sequence[str], order: str | Column, rows_per_slice: int = ROWS_PER_SLICE, ties: Sequence[str] = (), slices: Slices | None = None
 ) -> DataFrame | None:
-    """Add ``_slice`` (BIGINT, ascending with ``order`` inside a group) and ``_split`` (is the group split at all).
+    """Add ``_slice`` (BIGINT, ascending with order and ties inside a group) and ``_split`` (is the group split at all).
 
-    A group above the limit is cut into equal widths of its order column; a slice that is still above the limit, as
-    when rows crowd into a short time, is cut once more. Group sizes are measured first, by one aggregate over the key
-    and order columns; if no group is above the limit the result is None and the caller keeps its plain plan.
-    The joined table of large groups has one row per group (or slice) above the limit, so at most ``rows / rows_per_slice`` rows.
-    Rows without an order value go to slice 0.
+    ``slices`` are measured here unless they are given. If no group is large the result is None and the caller keeps its
+    plain plan. The joined table has a row per large group, so at most ``rows / rows_per_slice`` rows.
     """
+    slices = slices or slice_borders(df, keys, order, ties, rows_per_slice)
+    if slices.borders is None:
+        return None
+    place = _place(slices.order, slices.ties)
     keys = list(keys)
-    order = F.col(order) if isinstance(order, str) else order
-    out = df.withColumn("_o", order.cast("double")).withColumn("_slice", F.lit(0).cast("bigint"))
-    out = out.withColumn("_split", F.lit(False))
-    for level in range(levels):
-        on = keys + ["_slice"]
-        large = (
-            out.groupBy(*on)
-            .agg(F.count(F.lit(1)).alias("_n"), F.min("_o").alias("_lo"), F.max("_o").alias("_hi"))
-            .filter((F.col("_n") > rows_per_slice) & (F.col("_hi") > F.col("_lo")))
-            .withColumn("_parts", F.least(F.ceil(F.col("_n") * 4 / F.lit(rows_per_slice)), F.lit(_FANOUT - 1)))
-            .drop("_n")
-        )
-        if large.isEmpty():
-            if level == 0:
-                return None
-            out = out.withColumn("_slice", F.col("_slice") * F.lit(_FANOUT))
-            continue
-        large = cut_lineage(large)
-        place = F.least(
-            F.floor((F.col("_o") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_parts")), F.col("_parts") - 1
-        )
-        out = (
-            out.join(large, on, "left")
-            .withColumn("_slice", F.col("_slice") * F.lit(_FANOUT) + F.coalesce(place, F.lit(0)))
-            .withColumn("_split", F.col("_split") | F.col("_parts").isNotNull())
-            .drop("_lo", "_hi", "_parts")
-        )
-    return out.drop("_o")
+    joined = df.withColumn("_at", place).join(slices.borders, keys, "left") if keys else df.withColumn("_at", place).join(F.broadcast(slices.borders))
+    outer = F.size(F.filter("_tops", lambda b: b <= F.col("_at")))
+    inner = F.size(F.filter(F.get(F.col("_inner"), F.col("_outer") - 1), lambda b: b <= F.col("_at")))
+    number = F.when(F.col("_outer") > 0, (F.col("_outer") - 1) * F.col("_fan") + inner).otherwise(0)
+    joined = joined.withColumn("_outer", outer).withColumns({"_slice": F.coalesce(number, F.lit(0)).cast("bigint"), "_split": F.col("_tops").isNotNull()})
+    return joined.select(*df.columns, "_slice", "_split")
 
 
 def in_order(
@@ -75,6 +98,7 @@ def in_order(
     last_known: Mapping[str, str] | None = None,
     next_known: Mapping[str, str] | None = None,
     rows_per_slice: int = ROWS_PER_SLICE,
+    slices: Slices | None = None,
 ) -> DataFrame:
     """Add order-dependent columns to each group of ``keys``, rows ordered by ``order`` then ``ties``.
 
@@ -82,12 +106,13 @@ def in_order(
     name -> expression summed over all rows so far, this one included. ``last_known`` / ``next_known``: new name ->
     column whose latest (earliest) non-missing value at or before (after) this row is wanted.
 
-    One shuffle on (keys, slice) serves all of them, the join of carried values included.
+    One shuffle on (keys, slice) serves all of them, the join of carried values included. ``slices``: the cuts of the
+    same keys, order and ties, where a step before has measured them (``slice_borders``).
     """
     keys = list(keys)
     lag, lead, running = dict(lag or {}), dict(lead or {}), dict(running or {})
     last_known, next_known = dict(last_known or {}), dict(next_known or {})
-    sliced = with_slices(df, keys, order, rows_per_slice)
+    sliced = with_slices(df, keys, order, rows_per_slice, ties, slices)
     split_groups = sliced is not None
     sliced = sliced if split_groups else df
     for name, expr in running.items():
