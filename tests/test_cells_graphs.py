@@ -193,3 +193,15 @@ def test_top_rows_beyond_the_pruning_limit(spark):
     df = spark.range(9000).selectExpr("id cell", "cast(id % 2 as string) room", "cast(id as double) score")
     got = C.top_rows(df, ["room"], [F.desc("score")], 3000).collect()
     assert len(got) == 6000 and all(r._r == (8999 - r.cell) // 2 + 1 for r in got)
+
+
+@pytest.mark.parametrize("in_order", [False, True])
+def test_kernel_grids_of_interleaved_keys(spark, monkeypatch, in_order):
+    """Fewer grids held than keys: sums stay the same; in key order a task sends each grid once."""
+    rng = np.random.default_rng(30)
+    pdf = pd.DataFrame({"k": np.arange(4000) % 8, "sx": rng.random(4000), "sy": rng.random(4000), "tx": rng.random(4000), "ty": rng.random(4000)})
+    df = spark.createDataFrame(pdf).repartition(3)
+    want = M.kernel_mapping(df, ["k"], 9, 0.0, 1.0, 0.1).toPandas().sort_values(["k", "gx", "gy"]).reset_index(drop=True)
+    monkeypatch.setattr(M, "HELD", 6 * 81 * 3)
+    got = M.kernel_mapping(df, ["k"], 9, 0.0, 1.0, 0.1, in_key_order=in_order).toPandas().sort_values(["k", "gx", "gy"]).reset_index(drop=True)
+    pd.testing.assert_frame_equal(got, want)
