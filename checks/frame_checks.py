@@ -344,3 +344,19 @@ def sort_keys(spark, sf):
 def room_order(spark, sf):
     rooms = V.table(spark, sf, "events").selectExpr("event_type room").distinct()
     return FR.room_order(rooms, ["RAIL", "AIR"])
+
+
+@check(
+    "columns_long",
+    """select row_id, 'cell' kind, 'Cell_'||i label, cast(null as double) angle, case i when 1 then rate else spikes::double end "value" from activity, unnest([1, 2]) t(i)
+      union all select row_id, 'allo', cast(null as varchar), a, hd+a from activity, unnest([-90.0, 0.0, 45.5]::double[]) t(a)""",
+    "value angle",
+)
+def columns_long(spark, sf):
+    """A session table as recorded, a column per cell and per angle to a wall, made long."""
+    wide = V.activity(spark, sf).select(
+        "row_id", F.col("rate").alias("Cell_1"), F.col("spikes").cast("double").alias("Cell_2"), *[(F.col("hd") + a).alias(f"Allo_{a:g}") for a in (-90.0, 0.0, 45.5)]
+    )
+    cells = T.columns_long(wide, "Cell", ["row_id"]).select("row_id", F.lit("cell").alias("kind"), "label", F.lit(None).cast("double").alias("angle"), "value")
+    walls = T.columns_long(wide, "Allo_", ["row_id"], "angle", angle=True)
+    return cells.unionByName(walls.select("row_id", F.lit("allo").alias("kind"), F.lit(None).cast("string").alias("label"), "angle", "value"))

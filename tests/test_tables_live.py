@@ -58,6 +58,15 @@ def test_room_columns_survive_case_insensitive_names():
     assert D.column_suffixes(["A", "B", "a"]) == {"A": "A", "B": "B", "a": "a2"}
 
 
+def test_skipped_files_are_listed(spark, tmp_path):
+    spark.range(5).coalesce(1).write.parquet(str(tmp_path / "good"))
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part-broken.parquet").write_bytes(b"not a parquet file")
+    skipped = T.skipped_files(spark, str(tmp_path), r"part-.*\.parquet", "id long", glob="*.parquet").collect()
+    assert [r["_source_file"].rsplit("/", 1)[-1] for r in skipped] == ["part-broken.parquet"]
+    assert T.collect_files(spark, str(tmp_path), r"part-.*\.parquet", "id long", glob="*.parquet", skip_unreadable=True).count() == 5
+
+
 def live_source(spark, tmp_path, batches, shuffle):
     df, pdf = track(spark, 300, 3)
     rng = np.random.default_rng(0)

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from wayfield.functions.numeric import corr_from_sums, finite, ratio
+from wayfield.functions.numeric import corr_from_sums, finite
 from wayfield.operators.maps import hd_sectors, mean_map, smooth_map
 from wayfield.plans.ordered import in_order
 from wayfield.session import cut_lineage

@@ -65,6 +65,15 @@ def collect_files(
     return out
 
 
+def skipped_files(
+    spark: SparkSession, folder: str, pattern: str, schema: T.StructType | str, fmt: str = "parquet", glob: str | None = None, parents: Sequence[str] | None = None
+) -> DataFrame:
+    """``_source_file`` of every file that ``collect_files`` matches and, with ``skip_unreadable``, takes no row from: unreadable ones, and empty ones."""
+    listed = collect_files(spark, folder, pattern, None, "binaryFile", glob, parents).select("_source_file")
+    read = collect_files(spark, folder, pattern, schema, fmt, glob, parents, skip_unreadable=True)
+    return listed.join(read.select("_source_file").distinct(), "_source_file", "left_anti")
+
+
 def stats_files(spark: SparkSession, folder: str, name: str, schema: T.StructType | str | None = None, fmt: str = "parquet", parents: Sequence[str] | None = None) -> DataFrame:
     """All files of one name below a folder, optionally only under listed parent folders, as one table."""
     import re
@@ -97,3 +106,15 @@ def stream_split(wide: DataFrame, ids: Sequence[str] = ("session", "frame_id", "
     if not packed:
         raise ValueError("no stream columns")
     return wide.select(*ids, F.explode(F.array(*packed)).alias("_s")).select(*ids, "_s.*")
+
+
+def columns_long(wide: DataFrame, prefix: str, ids: Sequence[str], label: str = "label", value: str = "value", angle: bool = False) -> DataFrame:
+    """Wide to long over the columns of one prefix (``Cell``, ``Allo_``, ``Ego_``): a row per frame and column.
+
+    The label is the column's name, or with ``angle`` the number behind the prefix, in degrees. Missing values stay as rows.
+    """
+    names = [c for c in wide.columns if c.startswith(prefix) and c not in ids]
+    if not names:
+        raise ValueError(f"no column begins with {prefix}")
+    packed = [F.struct((F.lit(float(c.removeprefix(prefix))) if angle else F.lit(c)).alias(label), finite(F.col(f"`{c}`")).alias(value)) for c in names]
+    return wide.select(*ids, F.explode(F.array(*packed)).alias("_s")).select(*ids, "_s.*")
