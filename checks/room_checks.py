@@ -130,12 +130,13 @@ def points_in_polygon(spark, sf):
 
 @check(
     "points_covered_by_polygon",
-    "select room, count(*) n from ("
+    "select row_key, offset_no, room, x, y from ("
     + inside_sql("pred_points p", "row_key, offset_no, p.room, x, y", "p.x", "p.y", "p.room")
-    + ") where odd or border group by room",
+    + ") where odd or border",
+    "x y",
 )
 def points_covered_by_polygon(spark, sf):
-    return R.points_in_polygon(pred_points(spark, sf), V.POLYGONS, edge=True).groupBy("room").agg(F.count(F.lit(1)).alias("n"))
+    return R.points_in_polygon(pred_points(spark, sf), V.POLYGONS, edge=True).drop("fold")
 
 
 # every order's lines, in a fixed order, are the vertices of one outline
