@@ -199,3 +199,11 @@ def test_shared_slices_are_measured_once(spark, monkeypatch):
     once = ordered.in_order(df, ["g"], "t", index="n", rows_per_slice=100, slices=slices)
     twice = ordered.in_order(once, ["g"], "t", running={"c": F.lit(1)}, rows_per_slice=100, slices=slices)
     assert twice.filter("c <> n + 1").count() == 0 and twice.count() == 3000
+
+
+def test_one_long_trace_is_filled_by_many_tasks(spark):
+    bounds = spark.createDataFrame([(1, -7, 30_000_000), (2, 5, 4)], "cell int, lo long, hi long").filter("hi >= lo")
+    bins = S.dense_bins(bounds, ["cell"])
+    parts = bins.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"), F.min("bin").alias("lo"), F.max("bin").alias("hi")).collect()
+    assert len(parts) >= 6 and sum(r.n for r in parts) == 30_000_008 and max(r.n for r in parts) < 15_000_000
+    assert min(r.lo for r in parts) == -7 and max(r.hi for r in parts) == 30_000_000
