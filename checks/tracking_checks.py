@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import check, define
 from wayfield.operators import tracking as K
+from wayfield.session import stored
 from wayfield.sources import views as V
 
 # thresholds for the test events: frames of one session lie hours apart
@@ -36,16 +37,26 @@ define(
       from tframes f left join truns r on r.session=f.session and r.stream=f.stream and r.run=f.run""",
 )
 define(
-    "tspeeds",
-    """with n as (select r.session, r.stream, r.run, f.speed from truns r join tframes f on f.session=r.session and f.stream=r.stream
-        and (f.idx between r.start_idx-5 and r.start_idx-1 or f.idx between r.end_idx+1 and r.end_idx+5) where speed is not null),
+    "twindow",
+    """select session, stream, case when median(dt)>0 then greatest(1, round_even(100000/median(dt), 0)::int) else 1 end w from tframes group by all""",
+)
+
+
+def speeds_sql(source: str, width: str) -> str:
+    """Runs beside the median and MAD of the speeds of ``width`` frames on each side."""
+    return f"""with n as (select r.session, r.stream, r.run, f.speed from {source} r join tframes f on f.session=r.session and f.stream=r.stream
+        and (f.idx between r.start_idx-{width} and r.start_idx-1 or f.idx between r.end_idx+1 and r.end_idx+{width}) where speed is not null),
       m as (select session, stream, run, median(speed) med from n group by all),
       d as (select m.session, m.stream, m.run, med v_local_median, nullif(median(abs(speed-med)), 0) mad from n join m
         on n.session=m.session and n.stream=m.stream and n.run=m.run group by all)
       select r.*, v_local_median, mad v_local_mad, (gap_avg_speed-v_local_median)/mad z_avg_speed, (gap_peak_speed-v_local_median)/mad z_peak_speed,
         coalesce(greatest((gap_avg_speed-v_local_median)/mad, (gap_peak_speed-v_local_median)/mad)>=3, false) is_too_fast
-      from truns r left join d on d.session=r.session and d.stream=r.stream and d.run=r.run""",
-)
+      from truns r left join d on d.session=r.session and d.stream=r.stream and d.run=r.run"""
+
+
+define("tspeeds", speeds_sql("truns", "5"))
+define("trun_windows", "select truns.*, w from truns join twindow on twindow.session=truns.session and twindow.stream=truns.stream")
+define("tspeeds_timed", speeds_sql("trun_windows", "w"))
 _RUN = "session, stream, start_idx, end_idx, length_frames, t_start, t_end, duration, distance, p_mean_run, gap_avg_speed, gap_peak_speed"
 _RUN_D = "t_start t_end duration distance p_mean_run gap_avg_speed gap_peak_speed"
 
@@ -59,8 +70,9 @@ def runs(spark, sf):
 
 
 def fast_runs(spark, sf):
-    f = frames(spark, sf)
-    return K.gap_speed_outliers(f, K.gap_runs(f, LONG_TIME, LONG_DISTANCE), WINDOW, Z)
+    # frames and runs have several readers each
+    f = stored(frames(spark, sf))
+    return K.gap_speed_outliers(f, stored(K.gap_runs(f, LONG_TIME, LONG_DISTANCE)), WINDOW, Z)
 
 
 def states(spark, sf):
@@ -150,11 +162,21 @@ _SUMMARY_D = (
 )
 
 
+_SETTINGS = ("bin_width_s", "long_time_threshold_s", "long_dist_threshold_cm", "speed_max_cm_s", "z_speed_thresh", "v_local_window_s", "lowP_thresh")
+
+
+def settings_sql(speed_max: str, window_seconds: str) -> str:
+    """The report columns that name the source and the settings."""
+    values = ("86400", "20000", "50", speed_max, "3", window_seconds, "0.5")
+    label = "split_part(stream, '_', 1) source, stream='PC_HeadPos' is_primary"
+    return ", ".join([label, *[f"{v}::double {n}" for n, v in zip(_SETTINGS, values)]])
+
+
 def summary(spark, sf):
     return K.report_tables(V.tracking(spark, sf), LONG_TIME, LONG_DISTANCE, BIN, WINDOW, Z)["summary"]
 
 
-@check("tracking_summary", "select * from tsummary", _SUMMARY_D, 8)
+@check("tracking_summary", f"select *, {settings_sql('null', 'null')} from tsummary", _SUMMARY_D, 8)
 def tracking_summary(spark, sf):
     return summary(spark, sf).withColumn("length_max", F.col("length_max").cast("double"))
 
@@ -200,6 +222,30 @@ def report_tables(spark, sf):
     return out
 
 
+_REPORT_RUN = f"{_RUN}, is_long_time, is_long_distance, is_long, v_local_median, z_avg_speed, z_peak_speed"
+
+
+@check(
+    "report_gap_runs",
+    f"""select *, is_too_fast_absolute or is_too_fast_relative is_too_fast from (
+      select {_REPORT_RUN}, coalesce(greatest(gap_avg_speed, gap_peak_speed)>=0.002, false) is_too_fast_absolute, is_too_fast is_too_fast_relative,
+      {settings_sql('0.002', '100000')} from tspeeds_timed)""",
+    _RUN_D + " v_local_median z_avg_speed z_peak_speed",
+)
+def report_gap_runs(spark, sf):
+    """Every row of the gap report, with windows of a given time and a limit on the speed."""
+    t = K.report_tables(V.tracking(spark, sf), LONG_TIME, LONG_DISTANCE, BIN, None, Z, speed_max=0.002, window_seconds=100000.0)
+    return t["gap_runs"].drop("run", "v_local_mad")
+
+
+@check(
+    "report_timebins", "select *, split_part(stream, '_', 1) source, stream='PC_HeadPos' is_primary from ttimebins",
+    "mean_speed mean_speed_provided mean_p frac_low_p pct_short pct_long_time pct_long_distance pct_long bin_start bin_end",
+)
+def report_timebins(spark, sf):
+    return K.report_tables(V.tracking(spark, sf), LONG_TIME, LONG_DISTANCE, BIN, WINDOW, Z)["per_timebin"]
+
+
 @check(
     "stream_composition",
     f"""select stream, {', '.join(f"100.0*sum(frames_{n})/sum(frames_total) percent_{n}" for n in ("missing", "valid", "short", "long_time", "long_distance"))}

@@ -67,7 +67,7 @@ def test_skipped_files_are_listed(spark, tmp_path):
     assert T.collect_files(spark, str(tmp_path), r"part-.*\.parquet", "id long", glob="*.parquet", skip_unreadable=True).count() == 5
 
 
-def live_source(spark, tmp_path, batches, shuffle):
+def live_source(spark, tmp_path, batches, shuffle, files_per_batch=1):
     df, pdf = track(spark, 300, 3)
     rng = np.random.default_rng(0)
     pdf = pdf.sort_values("ts")
@@ -81,13 +81,13 @@ def live_source(spark, tmp_path, batches, shuffle):
         piece = piece.assign(event_time=pd.to_datetime(piece["ts"], unit="s", utc=True))
         piece["event_time"] = piece["event_time"].astype("datetime64[us, UTC]")
         piece.assign(x=piece["x"].astype(object).where(piece["x"].notna(), None).astype("float64")).to_parquet(folder / f"{i:03}.parquet")
-    stream = L.read_stream(spark, str(folder), schema, files_per_batch=1).withColumn("x", F.nanvl("x", F.lit(None).cast("double")))
+    stream = L.read_stream(spark, str(folder), schema, files_per_batch=files_per_batch).withColumn("x", F.nanvl("x", F.lit(None).cast("double")))
     return df, stream
 
 
-@pytest.mark.parametrize("shuffle", [False, True])
-def test_live_gap_runs_span_batches(spark, tmp_path, shuffle):
-    df, stream = live_source(spark, tmp_path, 5, shuffle)
+@pytest.mark.parametrize("shuffle, files_per_batch", [(False, 1), (True, 1), (True, 2), (True, None)])
+def test_live_gap_runs_span_batches(spark, tmp_path, shuffle, files_per_batch):
+    df, stream = live_source(spark, tmp_path, 5, shuffle, files_per_batch)
     out = L.run_available(L.stream_gap_runs(stream, 4.0, 3.0, delay="20 seconds", idle_seconds=1e6)).toPandas()
     frames = K.track_frames(df)
     end = frames.agg(F.max("ts")).first()[0] - 20
@@ -99,6 +99,22 @@ def test_live_gap_runs_span_batches(spark, tmp_path, shuffle):
     pd.testing.assert_frame_equal(a, b)
 
 
+def test_idle_streams_close_their_open_run(spark, tmp_path):
+    # session 1 ends inside a run; session 2 goes on, so event time passes the end of session 1
+    rows = [(1, "a", i, float(i), 1.0 * i, 0.0, 0.5, int(i >= 6)) for i in range(10)] + [(2, "a", 100 + i, float(i), 0.0, 0.0, None, 0) for i in range(400)]
+    schema = "session long, stream string, frame_id long, ts double, x double, y double, p double, interp int"
+    df = spark.createDataFrame(rows, schema).withColumn("event_time", F.timestamp_micros(((F.col("ts") + 1000) * 1_000_000).cast("long")))
+    folder = str(tmp_path / "in")
+    df.filter("ts < 200").coalesce(1).write.parquet(folder)
+    df.filter("ts >= 200").coalesce(1).write.mode("append").parquet(folder)
+    stream = L.read_stream(spark, folder, df.schema, files_per_batch=1)
+    got = L.run_available(L.stream_gap_runs(stream, 2.0, 5.0, delay="5 seconds", idle_seconds=100.0)).collect()
+    assert [(r["session"], r["start_idx"], r["end_idx"], r["duration"], r["distance"], r["p_mean_run"]) for r in got] == [(1, 6, 9, 3.0, 3.0, 0.5)]
+    assert got[0]["is_long_time"] and not got[0]["is_long_distance"]
+    still_open = L.run_available(L.stream_gap_runs(stream, 2.0, 5.0, delay="5 seconds", idle_seconds=1e6))
+    assert still_open.count() == 0
+
+
 def test_live_timebins_equal_batch(spark, tmp_path):
     df, stream = live_source(spark, tmp_path, 4, True)
     out = L.run_available(L.stream_timebins(stream, "50 seconds", "20 seconds"))

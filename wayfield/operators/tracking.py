@@ -389,19 +389,43 @@ def worst_projects(summary: DataFrame, gaps: DataFrame, n: int = 20, by: str = "
     return summary.join(gaps, project, "left").orderBy(F.desc(by), project).limit(n)
 
 
-def report_tables(df: DataFrame, long_time: float, long_distance: float, bin_width: float, window: int, z_threshold: float, keys: Sequence[str] = KEYS, low_p: float = 0.5, speed_max: float | None = None) -> dict[str, DataFrame]:
+def source_of(stream: str = "stream") -> Column:
+    """The tracker a stream comes from: its name up to the first underscore."""
+    return F.split_part(F.col(stream), F.lit("_"), F.lit(1))
+
+
+def label_streams(table: DataFrame, primary: str, stream: str = "stream") -> DataFrame:
+    """Add ``source`` and ``is_primary``, false for a stream without a name."""
+    return table.withColumns({"source": source_of(stream), "is_primary": F.coalesce(F.col(stream) == primary, F.lit(False))})
+
+
+def report_tables(
+    df: DataFrame, long_time: float, long_distance: float, bin_width: float, window: int | None, z_threshold: float, keys: Sequence[str] = KEYS,
+    low_p: float = 0.5, speed_max: float | None = None, window_seconds: float | None = None, primary: str = "PC_HeadPos", stream: str = "stream",
+) -> dict[str, DataFrame]:
     """The four report tables: ``summary``, ``gap_runs``, ``per_timebin`` and ``fps_stats``.
 
-    Frames and runs feed several tables each, so both are written once to the checkpoint folder.
+    Speeds around a gap are taken from ``window`` frames on each side or, if that is None, from ``window_seconds`` at each
+    stream's median frame distance. The first three tables say where a stream comes from (``source``, ``is_primary``);
+    summary and gap runs carry the settings they were made with, NULL for one that was not set. Frames and runs feed
+    several tables each, so both are written once to the checkpoint folder.
     """
+    if (window is None) == (window_seconds is None):
+        raise ValueError("give either window or window_seconds")
+    # The names of the settings in the report files
+    settings = {
+        "bin_width_s": bin_width, "long_time_threshold_s": long_time, "long_dist_threshold_cm": long_distance, "speed_max_cm_s": speed_max,
+        "z_speed_thresh": z_threshold, "v_local_window_s": window_seconds, "lowP_thresh": low_p,
+    }
+    made_with = {n: F.lit(None if v is None else float(v)).cast("double") for n, v in settings.items()}
     frames = cut_lineage(track_frames(df, keys))
-    runs = gap_speed_outliers(frames, gap_runs(frames, long_time, long_distance, keys), window, z_threshold, speed_max, keys)
-    runs = cut_lineage(runs)
+    around = local_window(frames, window_seconds, keys) if window is None else window
+    runs = cut_lineage(gap_speed_outliers(frames, stored(gap_runs(frames, long_time, long_distance, keys)), around, z_threshold, speed_max, keys))
     states = classify_frames(frames, runs, keys)
     return {
-        "summary": tracking_summary(states, runs, low_p, keys),
-        "gap_runs": runs,
-        "per_timebin": tracking_timebins(states, bin_width, low_p, keys),
+        "summary": label_streams(tracking_summary(states, runs, low_p, keys), primary, stream).withColumns(made_with),
+        "gap_runs": label_streams(runs, primary, stream).withColumns(made_with),
+        "per_timebin": label_streams(tracking_timebins(states, bin_width, low_p, keys), primary, stream),
         "fps_stats": fps_stats(df, keys),
     }
 

@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from wayfield.functions.numeric import ratio
 from wayfield.operators.rooms import Room, assign_room
@@ -44,47 +44,59 @@ def stream_room_label(frames: DataFrame, rooms: Sequence[Room], time: str = "ts"
 
 
 _RUN = "start_idx bigint, end_idx bigint, length_frames bigint, t_start double, t_end double, duration double, distance double, p_mean_run double, is_long_time boolean, is_long_distance boolean"
-_STATE = (
+# one stream's frames so far and its open run; ``shift`` is the event time of ts = 0, ``timer`` the wake-up time or -1
+_OPEN = (
     "shift double, frames bigint, is_open boolean, start_idx bigint, length bigint, t_start double, t_end double, x0 double, y0 double, x1 double, y1 double, p_sum double, p_n bigint, "
-    "held array<struct<ts double, tie bigint, x double, y double, p double, gap boolean>>"
+    "timer bigint"
 )
-_EMPTY = (0.0, 0, False, 0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0, [])
-
-
-def stream_gap_runs(
-    frames: DataFrame, long_time: float, long_distance: float, delay: str = "10 minutes", idle_seconds: float = 86400.0, keys: Sequence[str] = KEYS, tie: str = "frame_id"
-) -> DataFrame:
-    """Interpolated runs of each stream, emitted when a later frame closes them.
-
-    Frames are held until the watermark passes them and then taken in time order, so late frames up to ``delay`` find
-    their place and a run may span any number of batches. A stream without frames for ``idle_seconds`` of event time
-    after its last one closes its open run. State per stream is one open run and the frames within ``delay`` of its last
-    one, also on a first batch, when there is no watermark yet. Runs are found by array differences; a step holds the
-    frames that one batch has of a stream, which ``files_per_batch`` bounds.
-    """
-    keys = list(keys)
-    source = frames.withWatermark("event_time", delay).select(
-        *keys, "event_time", (F.unix_micros("event_time") / 1e6).alias("at"), "ts", F.col(tie).cast("bigint").alias("tie"), "x", "y", "p",
-        ((F.col("interp") > 0) & F.col("x").isNotNull() & F.col("y").isNotNull()).alias("gap"),
-    )
-    types = dict(frames.select(*keys).dtypes)
-    schema = ", ".join([f"{k} {types[k]}" for k in keys]) + ", " + _RUN
-
-    columns = ["ts", "tie", "x", "y", "p", "gap"]
-    hold = pd.Timedelta(delay.replace("interval ", "")).total_seconds()
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        shift, n, is_open, start, length, t0, t1, x0, y0, x1, y1, p_sum, p_n, held = state.get if state.exists else _EMPTY
-        parts = [pd.DataFrame([tuple(r) for r in held], columns=columns)] if held else []
-        for pdf in batches:
-            if len(pdf):
-                # event time in seconds of ts = 0, to compare frames with the watermark
-                shift = pdf["at"].iloc[0] - pdf["ts"].iloc[0]
-                parts.append(pdf[columns])
-        frames = pd.concat(parts, ignore_index=True).sort_values(["ts", "tie"], kind="stable") if parts else pd.DataFrame(columns=columns)
+_NOTHING = (0.0, 0, False, 0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0, -1)
+_FRAME = "ts double, tie bigint, x double, y double, p double, gap boolean"
+_FRAME_COLUMNS = ["ts", "tie", "x", "y", "p", "gap"]
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _as_rows(frames: pd.DataFrame) -> list[tuple]:
+    """Frames as state rows, missing numbers as None."""
+    return [(float(r[0]), int(r[1]), *(None if v is None or v != v else float(v) for v in r[2:5]), bool(r[5])) for r in frames.itertuples(index=False, name=None)]
+
+
+class GapRuns(StatefulProcessor):
+    """Runs of one stream: a value state for the open run, a list state for frames before the watermark, one timer."""
+
+    def __init__(self, keys: Sequence[str], long_time: float, long_distance: float, hold: float, idle_seconds: float) -> None:
+        self.columns = [*keys, *[c.split()[0] for c in _RUN.split(", ")]]
+        self.long_time, self.long_distance, self.hold, self.idle_seconds = long_time, long_distance, hold, idle_seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", _OPEN)
+        self.held = handle.getListState("held", _FRAME)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        parts = [pdf for pdf in rows if len(pdf)]
+        if parts:
+            new = pd.concat(parts, ignore_index=True)
+            yield from self._advance(key, new[_FRAME_COLUMNS], float(new["at"].iloc[0] - new["ts"].iloc[0]), timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._advance(key, None, None, timerValues)
+
+    def close(self) -> None:
+        pass
+
+    def _advance(self, key: tuple, new: pd.DataFrame | None, new_shift: float | None, times) -> Iterator[pd.DataFrame]:
+        """Take the frames that the watermark has passed in time order; write what changed."""
+        stored = self.open.get() if self.open.exists() else None
+        before_state = tuple(stored) if stored is not None else _NOTHING
+        shift, n, is_open, start, length, t0, t1, x0, y0, x1, y1, p_sum, p_n, timer = before_state
+        shift = shift if new_shift is None else new_shift
+        watermark = times.getCurrentWatermarkInMs()
+        old = pd.DataFrame([tuple(r) for r in self.held.get()] if self.held.exists() else [], columns=_FRAME_COLUMNS)
+        frames = old if new is None else new if old.empty else pd.concat([old, new], ignore_index=True)
+        frames = frames.sort_values(["ts", "tie"], kind="stable")
         # frames this far behind the stream's last one can get no earlier neighbour: Spark drops what comes later than that
-        own = frames["ts"].iloc[-1] + shift - hold if len(frames) else -np.inf
-        mark = max(state.getCurrentWatermarkMs() / 1000, own)
+        own = frames["ts"].iloc[-1] + shift - self.hold if len(frames) else -np.inf
+        mark = max(watermark / 1000, own)
         ready = (frames["ts"] + shift <= mark).to_numpy(dtype=bool)
         keep, done = frames[~ready], frames[ready]
         ts, x, y, p = (done[c].to_numpy(dtype=float) for c in ("ts", "x", "y", "p"))
@@ -100,7 +112,8 @@ def stream_gap_runs(
 
         def close() -> None:
             duration, distance = t1 - t0, ((x1 - x0) ** 2 + (y1 - y0) ** 2) ** 0.5
-            out.append((*key, start, start + length - 1, length, t0, t1, duration, distance, p_sum / p_n if p_n else None, duration >= long_time, distance >= long_distance))
+            mean_p = p_sum / p_n if p_n else None
+            out.append((*key, start, start + length - 1, length, t0, t1, duration, distance, mean_p, duration >= self.long_time, distance >= self.long_distance))
 
         for k, begin in enumerate(begins):
             end = int(ends[k]) if k < len(ends) else len(gap)
@@ -113,21 +126,54 @@ def stream_gap_runs(
                 close()
                 is_open = False
         n += len(gap)
-        idle = t1 + shift + idle_seconds
-        if is_open and not len(keep) and idle <= state.getCurrentWatermarkMs() / 1000:
+        idle = t1 + shift + self.idle_seconds
+        if is_open and not len(keep) and idle <= watermark / 1000:
             close()
             is_open = False
-        left = [(float(r[0]), int(r[1]), *(None if v != v or v is None else float(v) for v in r[2:5]), bool(r[5])) for r in keep.itertuples(index=False, name=None)]
-        state.update((float(shift), n, bool(is_open), start, length, t0, t1, x0, y0, x1, y1, p_sum, p_n, left))
         # wake up when the watermark reaches the first held frame, or when an open run has waited long enough
-        if left:
-            state.setTimeoutTimestamp(max(int((left[0][0] + shift) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        wake = -1
+        if len(keep):
+            wake = max(int((keep["ts"].iloc[0] + shift) * 1000) + 1, watermark + 1)
         elif is_open:
-            state.setTimeoutTimestamp(int(idle * 1000) + 1)
+            wake = int(idle * 1000) + 1
+        if len(done):
+            self.held.put(_as_rows(keep)) if len(keep) else self.held.clear()
+        elif new is not None:
+            self.held.appendList(_as_rows(new))
+        if wake != timer:
+            if timer > watermark:
+                self.handle.deleteTimer(timer)
+            if wake >= 0:
+                self.handle.registerTimer(wake)
+        after_state = (float(shift), n, bool(is_open), start, length, t0, t1, x0, y0, x1, y1, p_sum, p_n, wake)
+        if after_state != before_state:
+            self.open.update(after_state)
         if out:
-            yield pd.DataFrame(out, columns=[*keys, "start_idx", "end_idx", "length_frames", "t_start", "t_end", "duration", "distance", "p_mean_run", "is_long_time", "is_long_distance"])
+            yield pd.DataFrame(out, columns=self.columns)
+
+
+def stream_gap_runs(
+    frames: DataFrame, long_time: float, long_distance: float, delay: str = "10 minutes", idle_seconds: float = 86400.0, keys: Sequence[str] = KEYS, tie: str = "frame_id"
+) -> DataFrame:
+    """Interpolated runs of each stream, emitted when a later frame closes them.
 
-    return source.groupBy(*keys).applyInPandasWithState(step, schema, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    Frames are held until the watermark passes them and then taken in time order, so late frames up to ``delay`` find
+    their place and a run may span any number of batches. A stream without frames for ``idle_seconds`` of event time
+    after its last one closes its open run. State per stream is one open run and the frames within ``delay`` of its last
+    one, also on a first batch, when there is no watermark yet; a batch that readies no frame only appends to it. Runs
+    are found by array differences; a step holds the frames that one batch has of a stream, which ``files_per_batch``
+    bounds. The session is set to the RocksDB state store, which list states and timers need.
+    """
+    keys = list(keys)
+    frames.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    source = frames.withWatermark("event_time", delay).select(
+        *keys, "event_time", (F.unix_micros("event_time") / 1e6).alias("at"), "ts", F.col(tie).cast("bigint").alias("tie"), "x", "y", "p",
+        ((F.col("interp") > 0) & F.col("x").isNotNull() & F.col("y").isNotNull()).alias("gap"),
+    )
+    types = dict(frames.select(*keys).dtypes)
+    schema = ", ".join([f"{k} {types[k]}" for k in keys]) + ", " + _RUN
+    hold = pd.Timedelta(delay.replace("interval ", "")).total_seconds()
+    return source.groupBy(*keys).transformWithStateInPandas(GapRuns(keys, long_time, long_distance, hold, idle_seconds), schema, "append", "EventTime")
 
 
 def run_available(df: DataFrame, timeout: float = 3600) -> DataFrame:
