@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from checks.registry import check, define
@@ -216,6 +218,79 @@ def affine_report(spark, sf):
     )
 
 
+# a map of each kind per part, made from the means of its lines: turn by one radian, shift, mirror, glide, shear, identity by part % 6
+define(
+    "kind_maps",
+    """select cell, cell%6 kind, case when cell%6=0 then cos(1) when cell%6 in (2, 3) then -1 else 1 end a,
+      case cell%6 when 0 then -sin(1) when 4 then ux else 0 end b,
+      case cell%6 when 0 then mx+my when 1 then ux when 2 then 2*mx when 3 then 2*mx when 4 then uy else 0 end tx,
+      case when cell%6=0 then sin(1) else 0 end c, case when cell%6=0 then cos(1) else 1 end d,
+      case cell%6 when 0 then my-mx when 1 then uy when 3 then uy+1 else 0 end ty
+      from (select cell, avg(sx) mx, avg(sy) my, avg(tx) ux, avg(ty) uy from part_points group by cell)""",
+)
+
+
+def kind_maps(spark, sf):
+    means = part_points(spark, sf).groupBy("cell").agg(F.avg("sx").alias("mx"), F.avg("sy").alias("my"), F.avg("tx").alias("ux"), F.avg("ty").alias("uy"))
+    kind = F.col("cell") % 6
+
+    def pick(other: float, **by_kind):
+        out = F.lit(float(other))
+        for k, v in by_kind.items():
+            out = F.when(kind == int(k[1:]), F.lit(v)).otherwise(out)
+        return out.cast("double")
+
+    mx, my, ux, uy = (F.col(c) for c in ("mx", "my", "ux", "uy"))
+    return means.select(
+        "cell", kind.alias("kind"),
+        pick(1, k0=math.cos(1), k2=-1, k3=-1).alias("a"), pick(0, k0=-math.sin(1), k4=ux).alias("b"),
+        pick(0, k0=mx + my, k1=ux, k2=2 * mx, k3=2 * mx, k4=uy).alias("tx"),
+        pick(0, k0=math.sin(1)).alias("c"), pick(1, k0=math.cos(1)).alias("d"), pick(0, k0=my - mx, k1=uy, k3=uy + 1).alias("ty"),
+    )
+
+
+def kinds_sql(tolerance: str) -> str:
+    """Fixed points of ``kind_maps`` by rank: for rank 1 what is left of the shift off the larger column, and the larger row's line."""
+    return f"""select *, case rank when 2 then 'unique' when 1 then case when off<{tolerance} then 'line' else 'none' end
+        else case when sqrt(tx^2+ty^2)<{tolerance} then 'all' else 'translation' end end fixed_case,
+      case when rank=2 then (m22*tx-m12*ty)/det when rank=1 and off<{tolerance} then r1*rb/(r1^2+r2^2) end fixed_x,
+      case when rank=2 then (m11*ty-m21*tx)/det when rank=1 and off<{tolerance} then r2*rb/(r1^2+r2^2) end fixed_y,
+      case when rank=1 and off<{tolerance} then -r2/sqrt(r1^2+r2^2) end dir_x, case when rank=1 and off<{tolerance} then r1/sqrt(r1^2+r2^2) end dir_y
+      from (select *, case when m11=0 and m12=0 and m21=0 and m22=0 then 0 when abs(det)>1e-9 then 2 else 1 end rank,
+        case when u1^2+u2^2>0 then abs(u1*ty-u2*tx)/sqrt(u1^2+u2^2) end off from (
+        select *, m11*m22-m12*m21 det, m11^2+m21^2>=m12^2+m22^2 left_col, case when left_col then m11 else m12 end u1, case when left_col then m21 else m22 end u2,
+          m11^2+m12^2>=m21^2+m22^2 top, case when top then m11 else m21 end r1, case when top then m12 else m22 end r2, case when top then tx else ty end rb
+        from (select *, 1-a m11, -b m12, -c m21, 1-d m22 from kind_maps)))"""
+
+
+@check(
+    "fixed_set_kinds", f"select cell, kind, rank, fixed_case, fixed_x, fixed_y, dir_x, dir_y from ({kinds_sql('1e-6')})", "fixed_x fixed_y dir_x dir_y", 9,
+)
+def fixed_set_kinds(spark, sf):
+    """Maps of every kind: turns, shifts, mirrors, glides, shears and the identity."""
+    return A.fixed_set(kind_maps(spark, sf)).select("cell", "kind", "rank", "fixed_case", "fixed_x", "fixed_y", "dir_x", "dir_y")
+
+
+_KIND_PARTS = f"""select k.*, q.reflection, q.angle_deg, q.max_eigenvalue*q.min_eigenvalue area_scale, sqrt(k.tx^2+k.ty^2) translation,
+  sqrt((k.a-1)^2+k.b^2+k.c^2+(k.d-1)^2)<0.1 and sqrt(k.tx^2+k.ty^2)<0.1 is_identity
+  from ({kinds_sql('1e-5')}) k join ({decompose_sql("select * from kind_maps")}) q on q.cell=k.cell"""
+
+
+@check(
+    "affine_report_kinds",
+    f"""select cell, kind, is_identity, case when is_identity then 'all' else fixed_case end fixed_case, line_type, area_scale, translation,
+      case when is_identity then 'No remapping beyond noise.' when line_type='reflection_axis' then 'Mirror remapping: axis is fixed pointwise.'
+        when line_type='stationary_line' then 'Stationary line exists, but not a mirror flip.' when fixed_case='unique' then 'Remapping pivots around a stationary point.'
+        when fixed_case='all' then 'No remapping.' else 'No simple invariant structure detected.' end message
+      from (select *, case when not is_identity and fixed_case='line' then
+        case when reflection and abs(dir_x*cos(radians(angle_deg))+dir_y*sin(radians(angle_deg)))>0.99 then 'reflection_axis' else 'stationary_line' end end line_type
+        from ({_KIND_PARTS}))""",
+    "area_scale translation", 9,
+)
+def affine_report_kinds(spark, sf):
+    return A.affine_report(kind_maps(spark, sf)).select("cell", "kind", "is_identity", "fixed_case", "line_type", "area_scale", "translation", "message")
+
+
 @check(
     "rotate_points",
     """select row_id, cos(radians(30))*(-x)-sin(radians(30))*y x_rot, sin(radians(30))*(-x)+cos(radians(30))*y y_rot from positions""",
