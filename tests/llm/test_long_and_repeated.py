@@ -147,3 +147,31 @@ def test_a_document_of_nulls_has_a_section_per_field(spark):
     docs = spark.createDataFrame([(1, None, None, None)], "doc_id long, source string, lang string, text string")
     rows = tokens.section_tokens(docs).collect()
     assert len(rows) == 3 and sum(r.n_tokens for r in rows) == rows[0].doc_tokens
+
+
+def test_triples_are_searched_between_the_pointers_of_their_pair():
+    rng = np.random.default_rng(4)
+    place = np.sort(rng.choice(500, 3000))
+    place = place[(place % 3 != 0) | (place == 0)]
+    word = rng.integers(0, 1 << 40, len(place)).astype(np.uint64)
+    order = np.lexsort((word, place))
+    place, word = place[order], word[order]
+    share = rng.integers(1, 60_000, len(place)).astype(np.uint16)
+    some = np.unique(place)
+    rest = rng.integers(1, 60_000, len(some)).astype(np.uint16)
+    level = ngram.Triples(np.frombuffer(ngram.Triples.pack(600, place, word, share, rest), dtype=np.uint8))
+    got, left = level.share(place, word << np.uint64(24))
+    assert np.allclose(got, ngram.decode(share)) and np.allclose(left, ngram.decode(rest)[np.searchsorted(some, place)])
+    none, all_left = level.share(np.array([3, 599]), word[:2] << np.uint64(24))
+    assert (none == 0).all() and (all_left == 1).all()
+    unknown, left = level.share(place, (word ^ np.uint64(1)) << np.uint64(24))
+    assert (unknown > 0).mean() < 0.01 and (left < 1).all()
+
+
+def test_tables_of_frequent_pairs_never_miss_one():
+    rng = np.random.default_rng(5)
+    for n in (1, 3, 1000, 70_000):
+        context, word = rng.integers(0, 1 << 63, n).astype(np.uint64), rng.integers(0, 1 << 40, n).astype(np.uint64)
+        table = ngram.bit_table(context, word)
+        assert ngram.in_table(table, context, word).all()
+        assert ngram.in_table(table, context, word ^ np.uint64(1 << 39)).mean() < 0.05 or n < 10

@@ -1,17 +1,22 @@
 """Language-model scores from an Elias-Fano trie of n-grams in memory-mapped files.
 
-Counting: tasks count words and word pairs of their texts with NumPy and send sorted, packed counts to shards by hash (a
-frequent word's pairs are spread over all shards). Each shard is merged by one task, bounded by ``shard_bytes`` of text
-per shard, and written as one file. The upper level holds all words (hash, exact count), the lower level, for each context
-word of the shard, its successors.
+Counting: tasks count words, word pairs and word triples of their texts with NumPy and send sorted, packed counts to shards
+by hash (a frequent word's pairs and triples are spread over all shards). Each shard is merged by one task, bounded by
+``shard_bytes`` of text per shard, and written as one file. The first level holds all words (hash, exact count), the second,
+for each context word of the shard, its successors, the third the successors of each such pair. The third level keeps the
+triples that occur twice or more. Both pairs of such a triple do so too: shards write a bit table of their pairs of that
+kind, and a triple that has a pair outside the tables is not sent. The tables may pass too much, never too little; counts decide.
 
 Files: sorted lists are Elias-Fano coded (low bits packed, high parts in unary with a directory of zeros). A context's
 successors are the range between two monotone pointers, and a word is searched in that range alone; entries are context
-number and 40-bit word hash together, so the list rises over the whole shard. Each has a 16-bit code of its smoothed probability.
+number and 40-bit word hash together, so the list rises over the whole shard. Each has a 16-bit code of its probability.
 
 Model: P(w | v) = c(vw) / (c(v) + mu) + mu / (c(v) + mu) * P(w), with P(w) = (c(w) + 1) / (N + V + 1): Dirichlet smoothing,
 so a context that was never seen leaves P(w). The first summand is what is coded, rounded down in steps of 0.001 in log10
-(16 bits reach 65 decades, more than any count), so sums over w stay at most 1. A text is its words (A-Z lower-cased) and one end.
+(16 bits reach 65 decades, more than any count), so sums over w stay at most 1. A pair uv with kept triples uvw has
+P(w | uv) = c(uvw) / (c(uv) + nu) + (1 - kept / (c(uv) + nu)) * P(w | v), where kept is the sum of its kept counts: what the
+dropped triples leave goes to the level above, and sums stay at most 1. c(uv) is read back from its code, exact up to about
+430 and at most 0.3 % high beyond. A text is its words (A-Z lower-cased) and one end.
 
 Scoring is a map: files are opened by memory map where the shared folder is mounted, elsewhere through an unlinked local
 copy, at most ``MAPPED`` at a time in a worker; some blocks of text together are looked up shard by shard, so the files that a
@@ -40,6 +45,8 @@ MAPPED = 1024
 #: Tokens that are looked up at once.
 SLICE = 1 << 20
 MU = 300.0
+#: Weight of the level above for a context of two words.
+NU = 3.0
 ONE = np.uint64(1)
 
 _SELECT = np.zeros((256, 8), dtype=np.uint8)
@@ -194,29 +201,108 @@ class Pairs:
         begin, end = self.pointer.get(np.append(rank, rank + 1)).astype(np.int64)
         return self.successor.get(np.arange(begin, end)) & ((ONE << np.uint64(NEXT_BITS)) - ONE), self.code[begin:end]
 
-    def share(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """c(vw) / (c(v) + mu), as coded; 0 where the pair is not known."""
+    def place(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The index of each pair among the successors, or -1."""
         known, which = np.unique(context, return_inverse=True)
         rank = self.context.find(known)
         begin, stop = np.zeros((2, len(known)), dtype=np.int64)
         seen = np.flatnonzero(rank >= 0)
         if len(seen):
             begin[seen], stop[seen] = (self.pointer.get(rank[seen] + i).astype(np.int64) for i in (0, 1))
-        out = np.zeros(len(context))
+        out = np.full(len(context), -1, dtype=np.int64)
         there = np.flatnonzero(rank[which] >= 0)
         place = which[there]
-        wanted = (rank[place].astype(np.uint64) << np.uint64(NEXT_BITS)) | (word[there] >> np.uint64(64 - NEXT_BITS))
-        at = self.successor.find(wanted, begin[place], stop[place])
-        found = at >= 0
-        out[there[found]] = 10.0 ** (-STEP * self.code[at[found]])
+        wanted = (rank[place].astype(np.uint64) << np.uint64(NEXT_BITS)) | short(word[there])
+        out[there] = self.successor.find(wanted, begin[place], stop[place])
         return out
 
+    def share(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """c(vw) / (c(v) + mu), as coded; 0 where the pair is not known."""
+        at = self.place(context, word)
+        return np.where(at >= 0, decode(self.code[at]), 0.0) if len(self.code) else np.zeros(len(at))
+
 
 @lru_cache(maxsize=MAPPED)
 def _pairs_level(folder: str, name: str) -> Pairs:
     return Pairs(mapped(folder, name))
 
 
+class Triples:
+    """The lowest level of one shard: for each entry of the pairs' list, pointers to its successors; codes as there.
+
+    The last successor of a pair that has any is a mark whose code is the weight of the level above.
+    """
+
+    MARK = np.uint64((1 << NEXT_BITS) - 1)
+
+    def __init__(self, data: np.ndarray):
+        meta, arrays = unpack(data)
+        lists = [EliasFano(m["n"], m["low_bits"], *arrays[3 * i : 3 * i + 3]) for i, m in enumerate(meta["lists"])]
+        self.pointer, self.successor = lists
+        self.code = arrays[6]
+
+    @staticmethod
+    def pack(pairs: int, place: np.ndarray, word: np.ndarray, share: np.ndarray, rest: np.ndarray) -> bytes:
+        """``place`` and ``word`` are sorted together; ``rest`` is that of each distinct place."""
+        ends = np.append(np.flatnonzero(place[1:] != place[:-1]) + 1, len(place))
+        place = np.insert(place, ends, place[ends - 1])
+        word = np.insert(word, ends, Triples.MARK)
+        code = np.insert(share, ends, rest)
+        pointer = np.searchsorted(place, np.arange(pairs + 1)).astype(np.uint64)
+        lists = [EliasFano.build(pointer, len(place) + 1), EliasFano.build((place.astype(np.uint64) << np.uint64(NEXT_BITS)) | word, pairs << NEXT_BITS)]
+        parts = [x.parts() for x in lists]
+        return pack({"lists": [p[0] for p in parts]}, [a for p in parts for a in p[1]] + [code])
+
+    def share(self, place: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The share of a word after each pair, and the weight of the level above (1 for a pair without successors)."""
+        begin, stop = (self.pointer.get(place + i).astype(np.int64) for i in (0, 1))
+        there = np.flatnonzero(stop > begin)
+        out, rest = np.zeros(len(place)), np.ones(len(place))
+        begin, stop = begin[there], stop[there]
+        at = self.successor.find((place[there].astype(np.uint64) << np.uint64(NEXT_BITS)) | short(word[there]), begin, stop - 1)
+        out[there] = np.where(at >= 0, decode(self.code[at]), 0.0)
+        rest[there] = decode(self.code[stop - 1])
+        return out, rest
+
+
+@lru_cache(maxsize=MAPPED)
+def _triples_level(folder: str, name: str) -> Triples:
+    return Triples(mapped(folder, name))
+
+
+def short(words: np.ndarray) -> np.ndarray:
+    return words >> np.uint64(64 - NEXT_BITS)
+
+
+def decode(code: np.ndarray) -> np.ndarray:
+    return 10.0 ** (-STEP * code)
+
+
+def _bits(context: np.ndarray, word: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of a pair in a table of ``size`` bits, a power of two."""
+    key = mix(context * np.uint64(5) + word)
+    return key & np.uint64(size - 1), (key >> np.uint64(32)) & np.uint64(size - 1)
+
+
+def bit_table(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """A table that holds these pairs (words of 40 bits), 16 bits or more for each."""
+    size = 1 << max(6, (16 * len(context) - 1).bit_length())
+    table = np.zeros(size, dtype=np.uint8)
+    for at in _bits(context, word, size):
+        table[at] = 1
+    return np.packbits(table, bitorder="little")
+
+
+def in_table(table: np.ndarray, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    one, two = (table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 for at in _bits(context, word, 8 * len(table)))
+    return (one & two).astype(bool)
+
+
+@lru_cache(maxsize=MAPPED)
+def _often_table(folder: str, name: str) -> np.ndarray:
+    return mapped(folder, name)
+
+
 def lookup(folder: str, names: list[str], words: np.ndarray) -> np.ndarray:
     """Training counts of words."""
     out = np.zeros(len(words), dtype=np.int64)
@@ -333,6 +419,51 @@ def _count_pairs(text: str, shards: int, group: int = 8):
     return run
 
 
+def _count_triples(text: str, folder: str, often: list[str], group: int = 8):
+    """Packed counts of a word after a pair, by the pair's shard, of triples whose two pairs are both in the tables."""
+    shards = len(often)
+
+    def frequent(every: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        shard = shard_of_pair(context, every, shards).astype(np.uint32)
+        by = np.argsort(shard, kind="stable")
+        bounds = np.searchsorted(shard[by], np.arange(shards + 1))
+        out = np.zeros(len(every), dtype=bool)
+        for s, name in enumerate(often):
+            mine = by[bounds[s] : bounds[s + 1]]
+            if name and len(mine):
+                out[mine] = in_table(_often_table(folder, name), context[mine], short(every[mine]))
+        return out, shard
+
+    def emit(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch | None:
+        every, context = (np.concatenate(x) for x in zip(*held, strict=True))
+        out, shard = frequent(every, context)
+        last = np.flatnonzero(out[1:] & out[:-1] & (context[1:] != BEGIN)) + 1
+        shard = shard[last - 1]
+        by = last[np.argsort(shard, kind="stable")]
+        bounds = np.searchsorted(np.sort(shard), np.arange(shards + 1))
+        rows = []
+        for s in range(shards):
+            mine = by[bounds[s] : bounds[s + 1]]
+            if len(mine):
+                (u, v, w), times = _sum_by([context[mine - 1], short(context[mine]), short(every[mine])], np.ones(len(mine), dtype=np.int64))
+                rows.append((s, len(u), _planes(u, 8) + _planes(v, 5) + _planes(w, 5) + _planes(times, 4)))
+        return _batch(rows) if rows else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for _, data, offsets in blocks(batches, text):
+            every, rows = tokens(Words(data, offsets, NOT_SPACE))
+            held.append((every, contexts(every, rows)))
+            if len(held) == group:
+                if (out := emit(held)) is not None:
+                    yield out
+                held = []
+        if held and (out := emit(held)) is not None:
+            yield out
+
+    return run
+
+
 def _write_words(folder: str):
     def run(group: pa.Table) -> pa.Table:
         keys, counts = [], []
@@ -342,7 +473,7 @@ def _write_words(folder: str):
         (words,), total = _sum_by([np.concatenate(keys)], np.concatenate(counts))
         meta, arrays = EliasFano.build(words, 1 << 64).parts()
         name = put(folder, f"words-{group['shard'][0].as_py()}", pack(meta, [*arrays, total]))
-        return pa.table({"shard": [group["shard"][0].as_py()], "name": [name], "n": [len(words)], "total": [int(total.sum())]})
+        return pa.table({"shard": [group["shard"][0].as_py()], "name": [name], "often": [""], "n": [len(words)], "total": [int(total.sum())]})
 
     return run
 
@@ -366,19 +497,56 @@ def _write_pairs(folder: str, words: list[str], documents: int, mu: float):
         code = share_codes(times, total, mu)
         shard = group["shard"][0].as_py()
         name = put(folder, f"pairs-{shard}", Pairs.pack(c, w, code))
-        return pa.table({"shard": [shard], "name": [name], "n": [len(c)], "total": [int(times.sum())]})
+        twice = times >= 2
+        often = put(folder, f"often-{shard}", bit_table(c[twice], w[twice]).tobytes()) if twice.any() else ""
+        return pa.table({"shard": [shard], "name": [name], "often": [often], "n": [len(c)], "total": [int(times.sum())]})
 
     return run
 
 
-FILES = "shard long, name string, n long, total long"
+def count_of(code: np.ndarray, total: np.ndarray, mu: float) -> np.ndarray:
+    """The largest count with this code: the count itself up to about 430, at most 0.3 % more beyond."""
+    return np.floor(10.0 ** (-STEP * (code.astype(float) - 1)) * (total + mu) * (1 - 1e-12))
+
+
+def _write_triples(folder: str, words: list[str], pairs: list[str], documents: int, mu: float, nu: float):
+    def run(group: pa.Table) -> pa.Table:
+        columns = [[], [], [], []]
+        for n, packed in zip(group["n"].to_pylist(), group["packed"].to_pylist(), strict=True):
+            view, at = memoryview(packed), 0
+            for column, width in zip(columns, (8, 5, 5, 4), strict=True):
+                column.append(_unplanes(view[at : at + width * n], n, width))
+                at += width * n
+        (u, v, w), times = _sum_by([np.concatenate(c) for c in columns[:3]], np.concatenate(columns[3]).astype(np.int64))
+        kept = times >= 2
+        u, v, w, times = u[kept], v[kept], w[kept], times[kept]
+        shard = group["shard"][0].as_py()
+        if not len(u):
+            return pa.table({"shard": [shard], "name": [""], "often": [""], "n": [0], "total": [0]})
+        level = _pairs_level(folder, pairs[shard])
+        begins = np.flatnonzero(np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])))
+        which = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(u))))
+        place = level.place(u[begins], v[begins] << np.uint64(64 - NEXT_BITS))
+        known, context = np.unique(u[begins], return_inverse=True)
+        before = np.where(known == BEGIN, documents, lookup(folder, words, known))[context]
+        total = count_of(level.code[place], before, mu) + nu
+        rest = np.ceil(-np.log10(1 - np.add.reduceat(times, begins) / total) / STEP).astype(np.uint16)
+        share = share_codes(times, total[which], 0.0)
+        name = put(folder, f"triples-{shard}", Triples.pack(level.successor.n, place[which], w, share, rest))
+        return pa.table({"shard": [shard], "name": [name], "often": [""], "n": [len(u)], "total": [int(times.sum())]})
+
+    return run
+
+
+FILES = "shard long, name string, often string, n long, total long"
 
 
 class Model:
     """A trie in the shared folder: where its files are, and the totals of the training texts."""
 
-    def __init__(self, folder: str, words: list[str], pairs: list[str], tokens: int, types: int, documents: int, mu: float):
-        self.folder, self.words, self.pairs, self.tokens, self.types, self.documents, self.mu = folder, words, pairs, tokens, types, documents, mu
+    def __init__(self, folder: str, words: list[str], pairs: list[str], triples: list[str], tokens: int, types: int, documents: int, mu: float):
+        self.folder, self.words, self.pairs, self.triples = folder, words, pairs, triples
+        self.tokens, self.types, self.documents, self.mu = tokens, types, documents, mu
 
     def measure(self, every: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each token: its training count, log10 of the smoothed word probability, and of the model's probability."""
@@ -386,22 +554,31 @@ class Model:
         counts = lookup(self.folder, self.words, distinct)[which]
         plain = (counts + 1) / (self.tokens + self.types + 1)
         # the token before is a token of the same row, but for a row's first
-        before = np.empty_like(counts)
+        before = np.zeros_like(counts)
         before[1:] = counts[:-1]
         before[context == BEGIN] = self.documents
-        share = np.zeros(len(every))
+        share, third, rest = np.zeros(len(every)), np.zeros(len(every)), np.ones(len(every))
         shard = shard_of_pair(context, every, max(1, len(self.pairs))).astype(np.uint32)
         by = np.argsort(shard, kind="stable")
         bounds = np.searchsorted(shard[by], np.arange(len(self.pairs) + 1))
         for s, name in enumerate(self.pairs):
             mine = by[bounds[s] : bounds[s + 1]]
             if name and len(mine):
-                share[mine] = _pairs_level(self.folder, name).share(context[mine], every[mine])
-        return counts, np.log10(plain), np.log10(share + self.mu / (before + self.mu) * plain)
-
-
-def train(docs: DataFrame, text: str = "text", mu: float = MU, shard_bytes: int = 24 << 20) -> Model:
-    """Count ``docs`` and write the trie; the driver keeps the list of files, one for each ``shard_bytes`` of text."""
+                level = _pairs_level(self.folder, name)
+                at = level.place(context[mine], every[mine])
+                mine, at = mine[at >= 0], at[at >= 0]
+                share[mine] = decode(level.code[at])
+                if self.triples[s]:
+                    # the pair is the context of the token after it, in the same row
+                    more = mine + 1 < len(every)
+                    more[more] = context[mine[more] + 1] != BEGIN
+                    after = mine[more] + 1
+                    third[after], rest[after] = _triples_level(self.folder, self.triples[s]).share(at[more], every[after])
+        return counts, np.log10(plain), np.log10(third + rest * (share + self.mu / (before + self.mu) * plain))
+
+
+def train(docs: DataFrame, text: str = "text", mu: float = MU, nu: float = NU, shard_bytes: int = 24 << 20) -> Model:
+    """Count ``docs`` and write the trie; the driver keeps the list of files, three for each ``shard_bytes`` of text."""
     spark = docs.sparkSession
     folder = fresh(spark, "ngrams")
     size, documents = docs.agg(F.sum(F.octet_length(text)), F.count(F.lit(1))).first()
@@ -415,10 +592,13 @@ def train(docs: DataFrame, text: str = "text", mu: float = MU, shard_bytes: int
     words, total, types = [""] * word_shards, 0, 0
     for row in files(_count_words(text, word_shards), _write_words(folder)):
         words[row["shard"]], total, types = row["name"], total + row["total"], types + row["n"]
-    pairs = [""] * pair_shards
+    pairs, often, triples = ([""] * pair_shards for _ in range(3))
     for row in files(_count_pairs(text, pair_shards), _write_pairs(folder, words, documents, mu)):
-        pairs[row["shard"]] = row["name"]
-    return Model(folder, words, pairs, total, types, documents, mu)
+        pairs[row["shard"]], often[row["shard"]] = row["name"], row["often"]
+    if any(often):
+        for row in files(_count_triples(text, folder, often), _write_triples(folder, words, pairs, documents, mu, nu)):
+            triples[row["shard"]] = row["name"]
+    return Model(folder, words, pairs, triples, total, types, documents, mu)
 
 
 #: Bytes of text that are scored together.
